@@ -23,6 +23,15 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stage_path
+    from .token_store import read_store, write_store
+
+    path = stage_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", 2)
+    return read_store(spark, path)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
@@ -36,11 +45,27 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_token_store": op3_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_source_mix": op7_source_mix,
+    "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
