@@ -63,3 +63,17 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Id sets up to this size are broadcast; larger ones are joined by key.
+BROADCAST_IDS = 500_000
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` with a broadcast hint where it has ``most`` rows at most; a plain shuffled join is left beyond."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``drop`` (column doc_id, distinct, written before). Null ids stay."""
+    return docs.join(sized(drop.select(F.col("doc_id").alias("dropped_id"))), F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, stage_path
+from .common import ascii_lower, sized, stage, stage_path
 
 #: Arrival files in one micro-batch; members of a group that meet one copy of the kept text.
 FILES_PER_BATCH, MEMBERS_PER_COPY = 512, 512
@@ -76,12 +76,12 @@ def current_state(spark, out: str) -> DataFrame:
 def mixed_digests(docs: DataFrame, ledger: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Digests under which different texts lie: every member's bytes against those of the row that is kept.
 
-    Texts move by doc_id, so evenly, and only members of groups move again. A large group meets several copies
+    Texts move once by doc_id, so evenly, and only members of groups, which are written, move again. A large group meets several copies
     of its kept text, so that no task takes all of it."""
     groups = ledger.filter("group_size > 1").select(F.col("doc_id").alias("l_doc"), F.col("digest").alias("l_digest"), "group_size", F.col("keep.doc_id").alias("keep_doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     on = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("digest") == F.col("l_digest"))
-    members = texts.join(groups, on).select("doc_id", "digest", "norm", "group_size", "keep_doc")
+    members = stage(texts.join(groups, on).select("doc_id", "digest", "norm", "group_size", "keep_doc"), "members")
     copies = F.ceil(F.col("group_size") / F.lit(MEMBERS_PER_COPY)).cast("int")
     left = members.select("digest", "norm", (F.pmod(F.xxhash64("doc_id"), copies)).cast("int").alias("salt"))
     kept = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_doc"))).select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
@@ -112,8 +112,15 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def keep_last(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that share a doc_id and a text are told apart by none of their columns, so one of them is taken."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("k_doc"), F.col("text_sha256").alias("k_sha"))
-    rows = docs.withColumn("k_own", sha256(normalised(F.col("text"))))
-    out = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("k_own") == F.col("k_sha")), "left_semi")
-    return out.drop("k_own")
+    Rows that share a doc_id and a text are the same row again: one of them is taken where their group keeps that doc_id."""
+    key = ["doc_id", "text_sha256"]
+    ledger = dedup(docs).groupBy(*key).agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    odd = stage(ledger.filter("NOT kept OR rows > 1").select(F.col("doc_id").alias("l_doc"), F.col("text_sha256").alias("l_sha"), "kept"), "odd-rows")
+    own = docs.withColumn("row_sha", sha256(normalised(F.col("text"))))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (F.col("row_sha") == F.col("l_sha"))
+    out = own.join(sized(odd.drop("kept")), on, "left_anti").select(*docs.columns)
+    repeated = odd.filter("kept")
+    if repeated.isEmpty():
+        return out
+    once = own.join(repeated, on).dropDuplicates(["l_doc", "l_sha"]).select(*docs.columns)
+    return out.unionByName(once)
