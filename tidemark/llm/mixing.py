@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, sized, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -54,27 +54,25 @@ def draw(seed: int) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def with_copies(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Adds source_size, target, rate and copies to rows that have doc_id and source. Rows keep their partition."""
+    t = sized(targets.withColumnRenamed("source", "t_source"), BROADCAST_SOURCES)
+    out = rows.join(t, F.col("source").cast("string").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    whole = F.floor("rate")
+    return out.withColumn("copies", (whole + F.when(draw(seed) < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0))).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken. Texts are read once."""
     sizes = stage(document_sizes(docs), "sizes")
     targets = stage(source_targets(sizes, weights, share, most), "targets")
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    t = targets.withColumnRenamed("source", "t_source")
-    out = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = out.withColumn("rate", rate)
-    whole = F.floor("rate")
-    copies = whole + F.when(draw(seed) < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0))
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-
+    return with_copies(sizes, targets, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
-def emit(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every document's row, ``copies`` times.
 
-    Copies are joined to the documents by doc_id; rows that share a doc_id share one rate only where they share a source."""
-    mixed = mix(docs, **settings).select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), "copies").distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source"))
-    names = docs.columns
-    out = docs.join(mixed.filter("copies > 0"), on).withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*names)
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs``, as many times as it is taken, with its own columns."""
+    targets = stage(source_targets(document_sizes(docs), weights, share, most), "targets")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"))
+    taken = with_copies(own, targets, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")

@@ -32,12 +32,24 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import replay
+
+    return replay(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -45,6 +57,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -62,8 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op3_token_store": op3_token_store,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_source_mix": op7_source_mix,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
@@ -97,6 +118,12 @@ spam AS (SELECT page_id, CASE WHEN list_contains(string_split(host, '.'), 'spam-
   WHEN list_contains(string_split(host, '.'), 'online-casino') THEN 'casino host' END AS name FROM p)
 SELECT p.page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN name IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN hit.rule IS NULL THEN name END AS method_rule FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1 JOIN spam ON spam.page_id = p.page_id""",
+    "op4_token_counts": rf"""
+WITH n AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS words,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D!-/:-@\[-`{{-~]+|[!-/:-@\[-`{{-~]')) AS BIGINT) AS pieces FROM documents),
+left_ AS (SELECT * FROM n WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+v AS (SELECT source, lang, 'words' AS version, CASE WHEN words >= 1000 THEN pieces ELSE words END AS n FROM left_ UNION ALL SELECT source, lang, 'pieces', pieces FROM left_)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM v GROUP BY source, lang, version""",
     "op5_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_UPPER_LOWER}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM n WINDOW g AS (PARTITION BY t)""",

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, without
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOC
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component (or whose component has no name), with all their columns."""
+    """The rows of ``docs`` whose doc_id names its component, and rows without doc_id, with all their columns."""
     found = near_duplicates(docs, distance)
-    drop = found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("d_doc")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("d_doc")), "left_anti")
+    drop = stage(found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-copies")
+    return without(docs, drop)
