@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_staged: list[str] = []
+_records: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     at = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
-    _staged.append(at)
+    for paths in _records:
+        paths.append(at)
     return at
 
 
@@ -43,14 +45,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the staged tables made so far; call it once the results built on them are written."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables and forget them; for when the results built on them are written."""
     hadoop = spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 
+@contextmanager
+def recorded(paths: list[str]):
+    """Within the block, tables that are staged are also noted in ``paths``."""
+    _records.append(paths)
+    try:
+        yield
+    finally:
+        _records.remove(paths)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch holds, as single texts may be megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -74,6 +86,12 @@ def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All of a table's columns as one, so that no other name can clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id isn't in ``drop`` (column doc_id, distinct, written before). Null ids stay."""
-    return docs.join(sized(drop.select(F.col("doc_id").alias("dropped_id"))), F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    keyed = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("own_id"))
+    return keyed.join(sized(drop.select(F.col("doc_id").alias("drop_id"))), F.col("own_id") == F.col("drop_id"), "left_anti").select("row.*")

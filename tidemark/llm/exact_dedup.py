@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, stage, stage_path
+from .common import as_row, ascii_lower, sized, stage, stage_path
 
 #: Arrival files in one micro-batch; members of a group that meet one copy of the kept text.
 FILES_PER_BATCH, MEMBERS_PER_COPY = 512, 512
@@ -116,11 +116,10 @@ def keep_last(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "text_sha256"]
     ledger = dedup(docs).groupBy(*key).agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
     odd = stage(ledger.filter("NOT kept OR rows > 1").select(F.col("doc_id").alias("l_doc"), F.col("text_sha256").alias("l_sha"), "kept"), "odd-rows")
-    own = docs.withColumn("row_sha", sha256(normalised(F.col("text"))))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (F.col("row_sha") == F.col("l_sha"))
-    out = own.join(sized(odd.drop("kept")), on, "left_anti").select(*docs.columns)
-    repeated = odd.filter("kept")
+    own = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("own_doc"), sha256(normalised(F.col("text"))).alias("own_sha"))
+    on = F.col("own_doc").eqNullSafe(F.col("l_doc")) & (F.col("own_sha") == F.col("l_sha"))
+    out = own.join(sized(odd.drop("kept")), on, "left_anti").select("row.*")
+    repeated = odd.filter("kept").drop("kept")
     if repeated.isEmpty():
         return out
-    once = own.join(repeated, on).dropDuplicates(["l_doc", "l_sha"]).select(*docs.columns)
-    return out.unionByName(once)
+    return out.unionByName(own.join(repeated, on).dropDuplicates(["l_doc", "l_sha"]).select("row.*"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, sized, stage
+from .common import WORD, as_row, sized, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -73,6 +73,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs``, as many times as it is taken, with its own columns."""
     targets = stage(source_targets(document_sizes(docs), weights, share, most), "targets")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"))
+    own = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"))
     taken = with_copies(own, targets, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return taken.select("row.*")
