@@ -138,7 +138,7 @@ def html_text(c: Column, entities: bool = True) -> Column:
     else:
         for name, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
             bare = F.replace(bare, F.lit(name), F.lit(sign))
-    text = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    text = F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
     return F.when(text != "", text)
 
 

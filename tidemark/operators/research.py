@@ -106,11 +106,12 @@ class RidgeRanker:
 
     def fit(self, frame: DataFrame) -> RidgeRanker:
         require_finite(frame, self.features)
+        every, some = frame.agg(F.bool_and(self.label), F.bool_or(self.label)).first()
+        if every is None or every or not some:
+            raise ValueError("the label needs rows of both classes")
         n = len(self.features) + 1
         a, b = np.zeros((n, n)), np.zeros(n)
         for i, j, value in gram(class_weights(frame, self.label), self.features, self.label).collect():
-            if value is None:
-                raise ValueError("the label needs rows of both classes")
             if j < 0:
                 b[i] = value
             else:
