@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..adapters import driver_tables as T
-from ..contract import FIXTURE, FIXTURE_RESEARCH, SMALL_FIXTURE
+from ..contract import FIXTURE, FIXTURE_RESEARCH, SMALL_FIXTURE, Contract
 from ..functions import scalars as S
 from ..functions.scalars import r6
 from ..functions.windows import percentile_rank
@@ -40,17 +41,17 @@ def query(sql: str | None = None):
     return put
 
 
-def places(name: str) -> int:
-    return 4 if "dollar_volume" in name and not name.startswith(("log", "return", "dollar")) else 6
+def _dollars(name: str) -> bool:
+    return "dollar_volume" in name and not name.startswith(("log", "return", "dollar"))
 
 
 def S6(*names: str) -> str:
-    return ", ".join(f"round({n}, {places(n)}) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"CAST(CAST({n} AS REAL) AS DOUBLE) AS {n}" if _dollars(n) else f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Rounded for comparison: 6 places, dollar amounts 4."""
-    return df.withColumns({n: F.round(F.col(n), places(n)) + F.lit(0.0) for n in names})
+    """Rounded for comparison: 6 places; dollar amounts, which often end in a tie there, to single precision."""
+    return df.withColumns({n: F.col(n).cast("float").cast("double") if _dollars(n) else r6(F.col(n)) for n in names})
 
 
 BASE = ("return_5d", "return_20d", "distance_to_60d_high", "average_dollar_volume_20d", "average_volume_20d", "median_dollar_volume_prior_20d", "volume_zscore_20", "relative_strength_20d")
@@ -822,14 +823,28 @@ def k12_recent_uplift(spark, sf_dir):
     return rounded(K.recent_uplift(_pairs(spark, sf_dir)), "recent_uplift")
 
 
-@query()
+def _grid(name: str, values, scored: str, order: str) -> str:
+    """Summary per grid value of a scored CTE (columns g, decision_date, ticker, v and the labels), with the choice."""
+    return f"""{scored},
+gk AS (SELECT *, row_number() OVER (PARTITION BY g, decision_date ORDER BY v DESC, ticker) AS k FROM gs),
+gd AS (SELECT g, decision_date, avg(CASE WHEN k <= 10 THEN CAST(is_explosion AS INT) END) AS p, avg(CAST(is_explosion AS INT)) AS b, avg(CASE WHEN k <= 10 THEN CAST(is_severe_downside AS INT) END) AS dn, avg(CASE WHEN k <= 10 THEN CAST(is_catastrophic_loss AS INT) END) AS ct, avg(CASE WHEN k <= 10 THEN forward_return END) AS r, sum(CASE WHEN k <= 10 THEN CAST(is_explosion AS INT) END) AS h FROM gk GROUP BY 1, 2),
+ge AS (SELECT g, avg(r) AS es FROM (SELECT g, r, row_number() OVER (PARTITION BY g ORDER BY r) AS z, count(*) OVER (PARTITION BY g) AS n FROM gd) WHERE z <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE))) GROUP BY 1),
+gm AS (SELECT gd.g AS {name}, sum(h) / CAST(count(*) * 10 AS DOUBLE) AS precision_at_10, avg(b) AS base_explosion_rate, avg(dn) AS downside_at_10, avg(ct) AS catastrophic_loss_at_10, avg(r) AS basket_return, avg(CASE WHEN p >= 0.1 AND p > b THEN 1 ELSE 0 END) AS passing_date_rate, max(es) AS expected_shortfall_10 FROM gd JOIN ge ON ge.g = gd.g GROUP BY 1)
+SELECT {name}, row_number() OVER (ORDER BY {order}) = 1 AS chosen, {S6(*_SU)} FROM (SELECT *, max(precision_at_10) OVER () AS best FROM gm)"""
+
+
+_BASE0 = "(SELECT {} FROM gm WHERE weight = 0)"
+_OK = f"CASE WHEN downside_at_10 <= {_BASE0.format('downside_at_10')} + 1e-12 AND catastrophic_loss_at_10 <= {_BASE0.format('catastrophic_loss_at_10')} + 1e-12 AND expected_shortfall_10 >= {_BASE0.format('expected_shortfall_10')} - 1e-12 THEN 0 ELSE 1 END"
+
+
+@query("WITH " + _grid("weight", None, f"{_BLEND}, gs AS (SELECT g, decision_date, ticker, (1 - g) * p1 + g * p2 AS v, is_explosion, is_severe_downside, is_catastrophic_loss, forward_return FROM pc, (SELECT unnest([CAST(0 AS DOUBLE), 0.25, 0.5, 0.75, 1]) AS g))", f"{_OK}, round(precision_at_10, 12) DESC, round(passing_date_rate, 12) DESC, round(downside_at_10, 12), round(catastrophic_loss_at_10, 12), round(expected_shortfall_10, 12) DESC, weight"))
 def k05_choose_blend(spark, sf_dir):
     v = _blendable(spark, sf_dir).withColumn("spy_return_20d", F.lit(0.0))
     out = K.choose_blend(v, "s1", "s2", FIXTURE_RESEARCH, FIXTURE)
     return rounded(out, *_SU).select("weight", "chosen", *_SU)
 
 
-@query()
+@query("WITH " + _grid("risk_lambda", None, f"{_RISK}, gs AS (SELECT g, decision_date, ticker, -row_number() OVER (PARTITION BY g, decision_date ORDER BY NOT pool, CASE WHEN pool THEN br + least(g, q) END, CASE WHEN pool THEN s2 END, br, ticker) AS v, is_explosion, is_severe_downside, is_catastrophic_loss, forward_return FROM r2, (SELECT unnest([CAST(0 AS DOUBLE), 1, 2, 3]) AS g))", "CASE WHEN precision_at_10 >= best - 0.005 - 1e-12 THEN 0 ELSE 1 END, round(downside_at_10, 12), round(catastrophic_loss_at_10, 12), risk_lambda"))
 def k06_choose_lambda(spark, sf_dir):
     v = _blendable(spark, sf_dir).withColumn("spy_return_20d", F.lit(0.0))
     return rounded(K.choose_lambda(v, "s1", "s2", FIXTURE_RESEARCH, FIXTURE), *_SU).select("risk_lambda", "chosen", *_SU)
@@ -852,6 +867,84 @@ def k04_boosted_risk(spark, sf_dir):
     return FX.boosted(spark, sf_dir, _stored(spark, sf_dir), risk=True)
 
 
+# More of the same families
+
+
+@query(f"WITH {Q.BARS} SELECT min(dt) AS first_dt, max(dt) AS last_dt FROM bars")
+def e01_date_bounds(spark, sf_dir):
+    return P.bounds(T.bars(spark, sf_dir))
+
+
+@query(f"WITH {Q.RANKING} SELECT decision_date, count(*) AS rows FROM rnk GROUP BY 1")
+def e17_group_sizes(spark, sf_dir):
+    return R.rank_dates(T.bars(spark, sf_dir), FIXTURE).groupBy("decision_date").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {Q.RANKING}, k AS (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY round(score, 6) DESC, ticker) AS k FROM rnk) SELECT ticker, decision_date, rank FROM k WHERE k <= 5")
+def f32_top_five(spark, sf_dir):
+    r = R.rank_dates(T.bars(spark, sf_dir), FIXTURE).withColumn("s", F.round("score", 6))
+    return R.top_n(r, "s", 5).select("ticker", "decision_date", "rank")
+
+
+@query("SELECT ticker FROM (SELECT 'P' || p_partkey AS ticker FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 UNION SELECT 'SPY')")
+def h04_universe(spark, sf_dir):
+    return ST.universe(FX.directories(spark, sf_dir), ~F.arrays_overlap("flags", F.array(F.lit("etf"), F.lit("test_issue"))))
+
+
+@query(f"WITH {Q.DAYS}, s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a.idx AS i, b.idx AS j FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN dcal a ON a.session = CAST(o_orderdate AS DATE) LEFT JOIN dcal b ON b.session = CAST(l_shipdate AS DATE)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, j - i AS age_sessions FROM s")
+def f39_session_age(spark, sf_dir):
+    li = T.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("ship"))
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("ordered"))
+    return C.session_age(li.join(o, "l_orderkey"), T.daily_calendar(spark), "ordered", "ship").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "age_sessions")
+
+
+_LATEST = Q.RANKING.replace("cal AS (", "cal AS (SELECT dt, idx - (SELECT max(idx) - 59 FROM cal0) AS idx FROM cal0 WHERE idx > (SELECT max(idx) - 60 FROM cal0)),\nunused AS (", 1).replace("cal AS (SELECT dt, idx -", "cal0 AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS idx FROM (SELECT DISTINCT dt FROM bars)),\ncal AS (SELECT dt, idx -", 1)
+
+
+@query(f"WITH {_LATEST} SELECT ticker, decision_date, round(score, 6) + 0.0 AS score, rank FROM rnk")
+def j04_rank_latest(spark, sf_dir):
+    return rounded(R.rank_latest(T.bars(spark, sf_dir), FIXTURE), "score")
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT CAST(conv_id AS VARCHAR) AS ticker FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS z FROM st) WHERE z = 1 AND state <> 'active'")
+def j09_retained(spark, sf_dir):
+    f = FX.stored(FX.conversation_filings(spark, sf_dir), "conversations")
+    who = f.select("ticker").distinct()
+    return X.retained(who, X.transaction_states(f, who))
+
+
+@query(f"WITH {_SHORT}, {_COVER} SELECT d.decision_date, round(avg(CASE WHEN cs.n = 60 THEN 1 ELSE 0 END), 6) + 0.0 AS alt_filing_coverage, round(avg(CASE WHEN cs.n = 60 THEN 1 ELSE 0 END), 6) + 0.0 AS alt_insider_coverage, round(avg(CASE WHEN p.si IS NULL THEN 0 ELSE 1 END), 6) + 0.0 AS alt_short_interest_coverage FROM dec d JOIN cs ON cs.ticker = d.ticker AND cs.decision_date = d.decision_date LEFT JOIN pair p ON p.ticker = d.ticker AND p.decision_date = d.decision_date GROUP BY 1")
+def e15_coverage_by_date(spark, sf_dir):
+    return rounded(B.coverage_by_date(B.alternative_features(FX.external(spark, sf_dir))), "alt_filing_coverage", "alt_insider_coverage", "alt_short_interest_coverage")
+
+
+@query(ORACLE["j14_backtest"].split("SELECT decision_date, result_date, CASE WHEN why")[0] + """, rec AS (SELECT precision_at_k AS p, base_explosion_rate AS b, why, CASE WHEN why IS NULL THEN precision_at_k >= 0.1 AND precision_at_k > base_explosion_rate END AS ok FROM z)
+SELECT count(CASE WHEN why IS NULL THEN 1 END) AS valid_dates, count(why) AS invalid_dates, round(avg(CASE WHEN why IS NULL THEN p END), 6) + 0.0 AS precision_at_10, round(avg(CASE WHEN why IS NULL THEN b END), 6) + 0.0 AS base_explosion_rate, count(CASE WHEN ok THEN 1 END) AS passing_days, CASE WHEN count(why) = 0 AND count(*) = 30 THEN 'COMPLETE' ELSE 'INCONCLUSIVE' END AS conclusion FROM rec""")
+def e12_backtest_summary(spark, sf_dir):
+    out = BT.summary(BT.backtest(T.bars(spark, sf_dir), FIXTURE), 30)
+    return rounded(out.select("valid_dates", "invalid_dates", "precision_at_10", "base_explosion_rate", "passing_days", "conclusion"), "precision_at_10", "base_explosion_rate")
+
+
+SHORT = Contract(lookback=21, horizon=3, min_average_dollar_volume=200_000.0, min_median_dollar_volume_prior=150_000.0, max_candidates=80)
+
+
+@query()
+def k07_walk_forward(spark, sf_dir):
+    """The whole loop at a lookback of 21 and a horizon of 3: folds, ridge, boosted trees, blend, risk re-rank, scored test dates."""
+    b = FE.with_index(T.bars(spark, sf_dir))
+    cand = R.candidates(FE.base_features(b, SHORT), SHORT)
+    ranked = FE.cross_sectional_ranks(cand, R.SIGNALS)
+    v6 = R.score(cand).select("ticker", F.col("decision_date").alias("dt"), F.col("score").alias("rank_v6_score"), F.col("rank").alias("rank_v6"))
+    names = [f"xrank_{s}" for s in R.SIGNALS]
+    rows = ranked.join(v6, ["ticker", "dt"]).select("ticker", F.col("dt").alias("decision_date"), "rank_v6_score", "rank_v6", F.col("market_return_20d").alias("spy_return_20d"), *names)
+    outcomes = FX.stored(L.with_outcomes(rows, L.forward_labels(b, SHORT)), "outcomes")
+    quality = FX.stored(L.date_quality(outcomes, SHORT).withColumn("date_valid", F.col("outcome_coverage") > 0.5), "quality")
+    whole = outcomes.filter("forward_return IS NOT NULL")
+    panel = FX.stored(L.mature(whole, SHORT), "panel")
+    out = K.run_research(panel, quality, dataclasses.replace(FIXTURE_RESEARCH, locked_test_dates=8), SHORT, 2, names)
+    return out.select("fold", "ticker", "decision_date", r6(F.col("ridge")).alias("ridge"), "adjusted", "blend_weight", "risk_lambda")
+
+
 # L: streams
 
 
