@@ -34,6 +34,29 @@ class Panel:
         return agg(c).over(self.ordered.rowsBetween(-(n - 1) - last, -last))
 
 
+class Rolls:
+    """Rolling aggregates of named columns, each computed once however many expressions use it.
+
+    ``get`` notes what is needed and gives the guarded value; ``add`` puts all noted windows on a table in one stage."""
+
+    AGGS = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
+
+    def __init__(self, panel: Panel):
+        self.panel, self.noted = panel, {}
+
+    def _note(self, agg: str, column: str, n: int) -> Column:
+        self.noted[f"_{agg}_{column}_{n}"] = (agg, column, n)
+        return F.col(f"_{agg}_{column}_{n}")
+
+    def get(self, agg: str, column: str, n: int) -> Column:
+        return F.when(self._note("count", column, n) == n, self._note(agg, column, n))
+
+    def add(self, df):
+        frames = {n: self.panel.ordered.rowsBetween(-(n - 1), 0) for _, _, n in self.noted.values()}
+        made = [(F.count(c) if a == "count" else self.AGGS[a](c)).over(frames[n]).alias(name) for name, (a, c, n) in self.noted.items()]
+        return df.select("*", *made)
+
+
 def average_rank(c: Column, by: Sequence[str]) -> Column:
     """Ascending rank within the group, ties averaged."""
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, c))

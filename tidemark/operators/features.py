@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contract import Contract
 from ..functions.scalars import finite
-from ..functions.windows import Panel, percentile_rank
+from ..functions.windows import Panel, Rolls, percentile_rank
 from ..schemas import require_columns
 from . import calendar as C
 from .panel import with_session_index
@@ -95,49 +95,54 @@ def research_features(bars: DataFrame, contract: Contract = Contract()) -> DataF
         F.pow(F.log(ratio(F.col("_high"), F.col("_low"))), 2).alias("_pk"),
     )
     r, dv, close = F.col("_r"), F.col("_dv"), F.col("close")
-    total, moves = P.roll(F.sum, r, 20), P.roll(F.sum, F.abs(r), 20)
-    vol = {n: P.roll(F.stddev_samp, r, n) for n in (5, 20, 59)}
-    m5, m20, dvs = P.roll(F.avg, dv, 5), P.roll(F.avg, dv, 20), P.roll(F.stddev_samp, dv, 20)
-    covariance = P.roll(F.avg, r * F.col("_dlv"), 20) - P.roll(F.avg, r, 20) * P.roll(F.avg, F.col("_dlv"), 20)
-    both = vol[20] * P.roll(F.stddev_samp, F.col("_dlv"), 20)
-    hi20, lo20, hi60, lo60 = P.roll(F.max, close, 20), P.roll(F.min, close, 20), P.roll(F.max, close, 60), P.roll(F.min, close, 60)
-    zero_if = lambda ok, value: F.when(ok, value).otherwise(0.0)
     data = data.select(
-        "*",
-        *[change(n).alias(f"return_{n}d") for n in (1, 2, 10, 40, 59)],
-        *[(ratio(P.lag("close", 5), P.lag("close", n)) - 1.0).alias(f"momentum_{n}d_ex_last_5d") for n in (20, 40)],
-        P.roll(F.avg, (r > 0).cast("double"), 20).alias("positive_day_fraction_20d"),
+        "*", F.abs(r).alias("_ar"), (r * F.col("_dlv")).alias("_rdlv"), (r > 0).cast("double").alias("_up"), F.when(r < 0, r * r).otherwise(0.0).alias("_down"),
+        (F.col("volume") == 0).cast("double").alias("_idle"), (ratio(F.abs(r), dv) * 1_000_000.0).alias("_illiquid"),
+    )
+    w = Rolls(P)
+    total, moves = w.get("sum", "_r", 20), w.get("sum", "_ar", 20)
+    vol = {n: w.get("std", "_r", n) for n in (5, 20, 59)}
+    m5, m20, dvs = w.get("avg", "_dv", 5), w.get("avg", "_dv", 20), w.get("std", "_dv", 20)
+    covariance = w.get("avg", "_rdlv", 20) - w.get("avg", "_r", 20) * w.get("avg", "_dlv", 20)
+    both = vol[20] * w.get("std", "_dlv", 20)
+    hi20, lo20, hi60, lo60 = w.get("max", "close", 20), w.get("min", "close", 20), w.get("max", "close", 60), w.get("min", "close", 60)
+    zero_if = lambda ok, value: F.when(ok, value).otherwise(0.0)
+    made = [
         zero_if(moves > 1e-12, ratio(F.abs(total), moves)).alias("trend_efficiency_20d"),
         (ratio(close, hi20) - 1.0).alias("distance_to_20d_high"),
         (ratio(close, lo20) - 1.0).alias("distance_to_20d_low"),
         F.when(F.abs(hi60 - lo60) > 1e-12, ratio(close - lo60, hi60 - lo60)).otherwise(0.5).alias("range_position_60d"),
         *[zero_if(vol[n] > 1e-6, vol[n]).alias(f"realized_volatility_{n}d") for n in vol],
-        F.sqrt(P.roll(F.avg, F.when(r < 0, r * r).otherwise(0.0), 20)).alias("downside_volatility_20d"),
-        P.roll(F.max, r, 20).alias("max_daily_return_20d"),
-        P.roll(F.min, r, 20).alias("min_daily_return_20d"),
-        zero_if(vol[20] > 1e-6, ratio(P.roll(F.max, F.abs(r), 20), vol[20])).alias("jump_ratio_20d"),
-        P.roll(F.avg, F.col("_tr"), 5).alias("normalized_atr_5d"),
-        P.roll(F.avg, F.col("_tr"), 20).alias("normalized_atr_20d"),
-        P.roll(F.avg, F.col("_pk"), 20).alias("parkinson_range_20d"),
-        P.roll(F.avg, F.col("_intraday"), 5).alias("intraday_return_mean_5d"),
-        P.roll(F.avg, F.col("_gap"), 5).alias("overnight_gap_mean_5d"),
-        P.roll(F.avg, F.col("_location"), 5).alias("close_location_mean_5d"),
+        F.sqrt(w.get("avg", "_down", 20)).alias("downside_volatility_20d"),
+        w.get("max", "_r", 20).alias("max_daily_return_20d"),
+        w.get("min", "_r", 20).alias("min_daily_return_20d"),
+        zero_if(vol[20] > 1e-6, ratio(w.get("max", "_ar", 20), vol[20])).alias("jump_ratio_20d"),
         F.log1p(m20).alias("log_average_dollar_volume_20d"),
         zero_if(m20 > 0, ratio(m5, m20) - 1.0).alias("dollar_volume_ratio_5d_20d"),
         zero_if(dvs > 1e-6, ratio(dv - m20, dvs)).alias("dollar_volume_zscore_20d"),
-        P.roll(F.avg, (F.col("volume") == 0).cast("double"), 20).alias("zero_volume_fraction_20d"),
-        P.roll(F.avg, ratio(F.abs(r), dv) * 1_000_000.0, 20).alias("amihud_20d"),
         zero_if(F.abs(both) > 1e-12, ratio(covariance, both)).alias("return_dollar_volume_correlation_20d"),
-    )
+    ]
+    means = {
+        "positive_day_fraction_20d": ("_up", 20), "normalized_atr_5d": ("_tr", 5), "normalized_atr_20d": ("_tr", 20), "parkinson_range_20d": ("_pk", 20),
+        "intraday_return_mean_5d": ("_intraday", 5), "overnight_gap_mean_5d": ("_gap", 5), "close_location_mean_5d": ("_location", 5),
+        "zero_volume_fraction_20d": ("_idle", 20), "amihud_20d": ("_illiquid", 20),
+    }
+    made += [w.get("avg", c, n).alias(name) for name, (c, n) in means.items()]
+    changes = [change(n).alias(f"return_{n}d") for n in (1, 2, 10, 40, 59)] + [(ratio(P.lag("close", 5), P.lag("close", n)) - 1.0).alias(f"momentum_{n}d_ex_last_5d") for n in (20, 40)]
+    data = w.add(data.select("*", *changes)).select("*", *made)
     data = with_market(data, {"_r": "_m", "return_5d": "_m5", "return_20d": "spy_return_20d", "realized_volatility_20d": "spy_realized_volatility_20d", "distance_to_60d_high": "spy_distance_to_60d_high"}, contract)
     m = F.col("_m")
-    mm = P.roll(F.avg, m, 40)
-    cov = P.roll(F.avg, r * m, 40) - P.roll(F.avg, r, 40) * mm
-    var = P.roll(F.avg, m * m, 40) - mm * mm
-    data = data.select("*", zero_if(var > 1e-12, ratio(cov, var)).alias("beta_40d"), (F.col("return_5d") - F.col("_m5")).alias("excess_return_5d"), (F.col("return_20d") - F.col("spy_return_20d")).alias("excess_return_20d"))
-    data = data.withColumn("_e", r - F.col("beta_40d") * m)
-    noise = P.roll(F.stddev_samp, F.col("_e"), 20)
-    data = data.select("*", P.roll(F.sum, F.col("_e"), 20).alias("residual_momentum_20d"), zero_if(noise > 1e-6, noise).alias("idiosyncratic_volatility_20d"))
+    data = data.select("*", (r * m).alias("_rm"), (m * m).alias("_mm"))
+    v = Rolls(P)
+    mean_m = v.get("avg", "_m", 40)
+    cov = v.get("avg", "_rm", 40) - v.get("avg", "_r", 40) * mean_m
+    var = v.get("avg", "_mm", 40) - mean_m * mean_m
+    betas = [zero_if(var > 1e-12, ratio(cov, var)).alias("beta_40d"), (F.col("return_5d") - F.col("_m5")).alias("excess_return_5d"), (F.col("return_20d") - F.col("spy_return_20d")).alias("excess_return_20d")]
+    data = v.add(data).select("*", *betas).withColumn("_e", r - F.col("beta_40d") * m)
+    u = Rolls(P)
+    noise = u.get("std", "_e", 20)
+    rest = [u.get("sum", "_e", 20).alias("residual_momentum_20d"), zero_if(noise > 1e-6, noise).alias("idiosyncratic_volatility_20d")]
+    data = u.add(data).select("*", *rest)
     return data.drop(*[c for c in data.columns if c.startswith("_")])
 
 

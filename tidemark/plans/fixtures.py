@@ -80,7 +80,7 @@ def short_interest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with revisions: a tenth more, observed 20 sessions after settlement, for some suppliers and months."""
     cal = T.daily_calendar(spark)
-    first = short_interest_read(spark, sf_dir)
+    first = stored(short_interest_read(spark, sf_dir), "positions")
     key = F.expr("cast(substring(symbol, 2) AS long)")
     late = first.filter((key + F.month("settlement_date")) % 11 == 0).join(F.broadcast(cal.select(F.col("session").alias("settlement_date"), (F.col("idx") + 21).alias("k"))), "settlement_date")
     late = late.join(F.broadcast(cal.select(F.col("idx").alias("k"), F.col("close_ts").alias("seen"))), "k")

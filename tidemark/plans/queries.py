@@ -54,12 +54,17 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("float").cast("double") if _dollars(n) else r6(F.col(n)) for n in names})
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars by way of a written table, which is what operators meet in use: they read it several times, pruned and filtered."""
+    return FX.stored(T.bars(spark, sf_dir), "bars")
+
+
 BASE = ("return_5d", "return_20d", "distance_to_60d_high", "average_dollar_volume_20d", "average_volume_20d", "median_dollar_volume_prior_20d", "volume_zscore_20", "relative_strength_20d")
 
 
 def top_of_day(spark: SparkSession, sf_dir: str, contract=FIXTURE) -> DataFrame:
     """The screen: the last date that has candidates, its ten best, flagged names replaced."""
-    ranking = R.rank_dates(T.bars(spark, sf_dir), contract)
+    ranking = R.rank_dates(bars(spark, sf_dir), contract)
     last = ranking.agg(F.max("decision_date").alias("decision_date"))
     return R.replace_flagged(ranking.join(F.broadcast(last), "decision_date"), T.statuses(spark, sf_dir), contract.inspect).filter(F.col("rank") <= contract.top_k)
 
@@ -74,14 +79,14 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q.BARS} SELECT * FROM bars WHERE dt = DATE '1996-06-01'")
 def a01_scan_one_date(spark, sf_dir):
     path = FX.scratch(spark, "bars")
-    T.bars(spark, sf_dir).repartition("dt").write.partitionBy("dt").parquet(path)
+    bars(spark, sf_dir).repartition("dt").write.partitionBy("dt").parquet(path)
     return ST.scan_bars(spark, path, "1996-06-01").select("ticker", "dt", "open", "high", "low", "close", "raw_close", "volume")
 
 
 @query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume + CASE WHEN dt >= DATE '1996-10-01' THEN 1 ELSE 0 END AS volume FROM bars WHERE dt >= DATE '1996-06-01' AND dt < DATE '1997-02-01'")
 def a02_upsert_bars(spark, sf_dir):
     path = FX.scratch(spark, "bars")
-    bars = T.bars(spark, sf_dir)
+    bars = bars(spark, sf_dir)
     ST.upsert_bars(bars.filter("dt >= '1996-06-01' AND dt < '1996-12-01'"), path, FX.scratch(spark, "staging"))
     ST.upsert_bars(bars.filter("dt >= '1996-10-01' AND dt < '1997-02-01'").withColumn("volume", F.col("volume") + 1), path, FX.scratch(spark, "staging"))
     return ST.scan_bars(spark, path)
@@ -90,7 +95,7 @@ def a02_upsert_bars(spark, sf_dir):
 @query(f"WITH {Q.RANKING} SELECT ticker, decision_date, round(score, 6) + 0.0 AS score, rank, 'rank-v6' AS strategy_version, count(*) OVER () AS universe_size FROM rnk WHERE decision_date = (SELECT max(decision_date) FROM rnk)")
 def a03_ledger_append_and_scan(spark, sf_dir):
     path = FX.scratch(spark, "ledger")
-    ranking = R.rank_dates(T.bars(spark, sf_dir), FIXTURE)
+    ranking = R.rank_dates(bars(spark, sf_dir), FIXTURE)
     day = ranking.join(F.broadcast(ranking.agg(F.max("decision_date").alias("decision_date"))), "decision_date")
     day = day.withColumn("strategy_version", F.lit(FIXTURE.strategy)).withColumn("universe_size", F.count("*").over(Window.partitionBy("decision_date")))
     ST.append_ledger(day.cache(), path)
@@ -164,7 +169,7 @@ def a12_snapshot_round_trip(spark, sf_dir):
 SELECT ticker, dt, o AS adjusted_open, h AS adjusted_high, l AS adjusted_low, round(ln(1 + dv), 6) + 0.0 AS log_dollar_volume, round(ln(close / p), 6) + 0.0 AS log_return,
 round(greatest(h - l, abs(h - p), abs(l - p)) / p, 6) + 0.0 AS true_range, round(CASE WHEN abs(h - l) > 1e-12 THEN (close - l) / (h - l) ELSE 0.5 END, 6) + 0.0 AS close_location FROM a WHERE p IS NOT NULL""")
 def b03_adjusted_prices(spark, sf_dir):
-    b = T.bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     f = F.col("close") / F.col("raw_close")
     p = F.lag("close").over(Window.partitionBy("ticker").orderBy("dt"))
     b = b.select("ticker", "dt", (F.col("open") * f).alias("o"), (F.col("high") * f).alias("h"), (F.col("low") * f).alias("l"), "close", (F.col("raw_close") * F.col("volume")).alias("dv"), p.alias("p")).filter("p IS NOT NULL")
@@ -243,26 +248,26 @@ def b24_name_checks(spark, sf_dir):
 
 @query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume FROM bars WHERE volume % 10 <> 0")
 def c01_valid_bars(spark, sf_dir):
-    bad = T.bars(spark, sf_dir).withColumn("low", F.when(F.col("volume") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("low")))
+    bad = bars(spark, sf_dir).withColumn("low", F.when(F.col("volume") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("low")))
     return P.checked_bars(bad, "drop")
 
 
 @query(f"""WITH {Q.FEATURES}, b AS (SELECT * FROM feat WHERE ticker = 'SPY') SELECT c.dt, CASE WHEN b.dt IS NULL THEN 'missing' WHEN NOT history_complete_60d THEN 'insufficient_history' WHEN raw_close < 5 THEN 'low_price' WHEN average_dollar_volume_20d < 400000 THEN 'low_dollar_volume'
 WHEN coalesce(valid_price_volume_sessions_prior_20d, -1) < 18 THEN 'insufficient_liquidity_history' WHEN coalesce(median_dollar_volume_prior_20d, -1) < 250000 THEN 'low_median_dollar_volume' END AS reason FROM cal c LEFT JOIN b ON b.dt = c.dt""")
 def c05_benchmark_reason(spark, sf_dir):
-    return R.benchmark_reason(FE.base_features(T.bars(spark, sf_dir), FIXTURE), FIXTURE)
+    return R.benchmark_reason(FE.base_features(bars(spark, sf_dir), FIXTURE), FIXTURE)
 
 
 @query(f"""WITH {Q.BARS}, b AS (SELECT c.dt, idx, x.dt IS NOT NULL AS there FROM cal c LEFT JOIN bars x ON x.dt = c.dt AND x.ticker = 'S000003')
 SELECT dt AS session, CASE WHEN NOT there THEN 'spy_missing_on_decision_date' WHEN count(CASE WHEN there THEN 1 END) OVER (ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) < 60 THEN 'spy_history_incomplete' END AS problem FROM b""")
 def c07_history_problems(spark, sf_dir):
-    b = T.bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     return P.benchmark_problems(b, C.indexed(b, "dt"), 60, "S000003")
 
 
 @query(f"WITH {Q.FEATURES} SELECT CAST(count(*) FILTER (WHERE return_20d IS NULL OR distance_to_60d_high IS NULL) AS BIGINT) AS bad_rows, CAST(count(*) FILTER (WHERE return_20d IS NULL) AS BIGINT) AS bad_return_20d, CAST(count(*) FILTER (WHERE distance_to_60d_high IS NULL) AS BIGINT) AS bad_distance_to_60d_high FROM feat")
 def c08_not_finite(spark, sf_dir):
-    return P.not_finite(FE.base_features(T.bars(spark, sf_dir), FIXTURE), ["return_20d", "distance_to_60d_high"])
+    return P.not_finite(FE.base_features(bars(spark, sf_dir), FIXTURE), ["return_20d", "distance_to_60d_high"])
 
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
@@ -289,7 +294,7 @@ _LABEL = ("forward_return", "max_adverse_return")
 
 @query(f"WITH {Q.BARS}{Q.LABELS} SELECT ticker, dt, result_date, close, future_close, future_min_close, {S6(*_LABEL)} FROM lab")
 def d03_forward_labels(spark, sf_dir):
-    return rounded(L.forward_labels(T.bars(spark, sf_dir), FIXTURE), *_LABEL)
+    return rounded(L.forward_labels(bars(spark, sf_dir), FIXTURE), *_LABEL)
 
 
 @query(f"WITH {Q.DAYS}{Q.FILINGS} SELECT CAST(o_orderkey AS VARCHAR) AS accession_number, f.at AS available_at, d.session, f.idx FROM file f LEFT JOIN dcal d ON d.idx = f.idx")
@@ -315,7 +320,7 @@ def d10_window_coverage(spark, sf_dir):
 
 @query(f"WITH {Q.BARS} SELECT c.dt AS session, c.idx, count(b.ticker) AS observations FROM cal c LEFT JOIN bars b ON b.dt = c.dt AND b.volume > 1000 GROUP BY 1, 2")
 def d16_observations_by_session(spark, sf_dir):
-    b = T.bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     days = b.filter("volume > 1000").groupBy(F.col("dt").alias("session")).agg(F.count("*").alias("n"))
     return C.indexed(b, "dt").join(days, "session", "left").select("session", "idx", F.coalesce("n", F.lit(0)).alias("observations"))
 
@@ -328,7 +333,7 @@ def d17_snapshot_as_of(spark, sf_dir):
 
 @query(f"""WITH {Q.RANKING} SELECT r.ticker, r.decision_date, c2.dt AS result_date FROM rnk r JOIN cal c ON c.dt = r.decision_date JOIN cal c2 ON c2.idx = c.idx + 14 WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = r.ticker AND b.dt = c2.dt)""")
 def d18_missing_outcomes(spark, sf_dir):
-    b = T.bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     return E.ledger_requirements(R.rank_dates(b, FIXTURE), C.indexed(b, "dt"), b, FIXTURE)
 
 
@@ -341,7 +346,7 @@ SELECT * FROM a WHERE action IS NOT NULL""")
 def d19_work_list(spark, sf_dir):
     s = T.read(spark, sf_dir, "supplier")
     req = s.select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker")).union(s.filter("s_suppkey < 5").select(F.concat(F.lit("X"), F.col("s_suppkey").cast("string"))))
-    return P.work_list(T.bars(spark, sf_dir), req, 20)
+    return P.work_list(bars(spark, sf_dir), req, 20)
 
 
 @query("""SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00') WHERE k = 1""")
@@ -355,24 +360,24 @@ def d20_newest_known(spark, sf_dir):
 
 @query(f"WITH {Q.BARS} SELECT ticker, count(*) AS rows, max(dt) AS last_dt FROM bars GROUP BY ticker")
 def e02_history(spark, sf_dir):
-    return P.history(T.bars(spark, sf_dir))
+    return P.history(bars(spark, sf_dir))
 
 
 @query(f"WITH {Q.BARS}, {_READY} SELECT ticker FROM ready")
 def e03_ready_tickers(spark, sf_dir):
-    return P.ready_tickers(T.bars(spark, sf_dir), 20)
+    return P.ready_tickers(bars(spark, sf_dir), 20)
 
 
 @query(f"""WITH {Q.BARS}, {_READY}, req AS (SELECT {Q.TICKER.format("s_suppkey")} AS ticker FROM supplier), n AS (SELECT count(*) AS ready FROM ready WHERE ticker IN (SELECT ticker FROM req))
 SELECT (SELECT count(*) FROM req) AS requested, ready, ready / CAST((SELECT count(*) FROM req) AS DOUBLE) AS coverage, (SELECT max(dt) FROM bars) AS as_of, true AS fresh FROM n""")
 def e04_sync_report(spark, sf_dir):
-    return P.sync_report(T.bars(spark, sf_dir), T.statuses(spark, sf_dir).select("ticker"), 20)
+    return P.sync_report(bars(spark, sf_dir), T.statuses(spark, sf_dir).select("ticker"), 20)
 
 
 @query(f"""WITH {Q.MATURED} SELECT decision_date, max(result_date) AS result_date, count(*) AS universe_size, count(forward_return) AS outcome_count, count(forward_return) / CAST(count(*) AS DOUBLE) AS outcome_coverage,
 count(*) >= 10 AND count(*) = count(forward_return) AS date_valid, CASE WHEN count(*) < 10 THEN 'eligible_universe_below_top_10' WHEN count(*) <> count(forward_return) THEN 'complete_universe_outcomes_required' END AS invalid_reason FROM outc GROUP BY decision_date""")
 def e05_date_quality(spark, sf_dir):
-    b = FE.with_index(T.bars(spark, sf_dir))
+    b = FE.with_index(bars(spark, sf_dir))
     return L.date_quality(L.with_outcomes(R.rank_dates(b, FIXTURE), L.forward_labels(b, FIXTURE)), FIXTURE)
 
 
@@ -382,7 +387,7 @@ def _stored(spark, sf_dir):
 
 
 def _matured(spark, sf_dir):
-    b = FE.with_index(T.bars(spark, sf_dir))
+    b = FE.with_index(bars(spark, sf_dir))
     ranking = R.rank_dates(b, FIXTURE)
     ledger = ranking.withColumn("universe_size", F.count("*").over(Window.partitionBy("decision_date"))).withColumn("strategy_version", F.lit(FIXTURE.strategy))
     return L.mature(L.with_outcomes(ledger, L.forward_labels(b, FIXTURE)), FIXTURE)
@@ -402,7 +407,7 @@ def e06_daily_rankings(spark, sf_dir):
 
 @query(f"WITH {Q.BARS}{Q.LABELS}, k AS (SELECT ticker, forward_return, row_number() OVER (PARTITION BY ticker ORDER BY forward_return) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM lab) SELECT ticker, round(avg(forward_return), 6) + 0.0 AS expected_shortfall FROM k WHERE k <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE))) GROUP BY ticker")
 def e11_expected_shortfall(spark, sf_dir):
-    return rounded(E.shortfall(L.forward_labels(T.bars(spark, sf_dir), FIXTURE), "forward_return", ["ticker"], 0.1), "expected_shortfall")
+    return rounded(E.shortfall(L.forward_labels(bars(spark, sf_dir), FIXTURE), "forward_return", ["ticker"], 0.1), "expected_shortfall")
 
 
 @query(f"""WITH {Q.DECISIONS}{Q.FILINGS}, h AS (SELECT d.ticker, d.decision_date, d.d_idx, f.idx, f.form, replace(f.form, '/A', '') AS base, f.items FROM dec d JOIN file f ON f.ticker = d.ticker AND f.idx BETWEEN d.d_idx - 59 AND d.d_idx AND f.at <= d.cutoff)
@@ -426,7 +431,7 @@ def e14_insider_features(spark, sf_dir):
 
 @query(f"WITH {Q.BARS}, a AS (SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, min(dt) AS first_dt, max(dt) AS last_dt, round(sum(close), 2) AS close_sum, CAST(sum(volume) AS BIGINT) AS volume_sum FROM bars) SELECT *, sha256(concat_ws('|', rows, tickers, first_dt, last_dt, printf('%.2f', close_sum), volume_sum)) AS digest FROM a")
 def e16_fingerprint(spark, sf_dir):
-    return P.fingerprint(T.bars(spark, sf_dir))
+    return P.fingerprint(bars(spark, sf_dir))
 
 
 _WEIGHED = f"""WITH {Q.MATURED}, x AS (SELECT * FROM mat WHERE is_explosion IS NOT NULL), w AS (SELECT *, 1 / CAST(count(*) OVER (PARTITION BY decision_date) AS DOUBLE) AS d, count(*) OVER () AS n FROM x)"""
@@ -465,7 +470,7 @@ def e23_inverted_keys(spark, sf_dir):
 
 @query(f"WITH {Q.FEATURES} SELECT ticker, dt, idx, history_complete_60d, valid_price_volume_sessions_prior_20d, {S6(*BASE)} FROM feat")
 def f01_base_features(spark, sf_dir):
-    return rounded(FE.base_features(T.bars(spark, sf_dir), FIXTURE), *BASE).select("ticker", "dt", "idx", "history_complete_60d", "valid_price_volume_sessions_prior_20d", *BASE)
+    return rounded(FE.base_features(bars(spark, sf_dir), FIXTURE), *BASE).select("ticker", "dt", "idx", "history_complete_60d", "valid_price_volume_sessions_prior_20d", *BASE)
 
 
 def _roll(agg: str, x: str, n: int) -> str:
@@ -506,17 +511,17 @@ _ALL = (*FE.STOCK_FEATURES, *FE.MARKET_FEATURES)
 
 @query(f"WITH {RESEARCH_SQL} SELECT ticker, dt, {S6(*_ALL)} FROM rf")
 def f11_research_features(spark, sf_dir):
-    return rounded(FE.research_features(T.bars(spark, sf_dir), FIXTURE).select("ticker", "dt", *_ALL), *_ALL)
+    return rounded(FE.research_features(bars(spark, sf_dir), FIXTURE).select("ticker", "dt", *_ALL), *_ALL)
 
 
 @query(f"WITH {Q.RANKING} SELECT ticker, decision_date, round(score, 6) + 0.0 AS score, rank FROM rnk")
 def f27_ranking(spark, sf_dir):
-    return rounded(R.rank_dates(T.bars(spark, sf_dir), FIXTURE), "score")
+    return rounded(R.rank_dates(bars(spark, sf_dir), FIXTURE), "score")
 
 
 @query(f"WITH {Q.CANDIDATES} SELECT ticker, dt, liquidity_rank FROM cand")
 def f29_candidates(spark, sf_dir):
-    return R.candidates(FE.base_features(T.bars(spark, sf_dir), FIXTURE), FIXTURE).select("ticker", "dt", "liquidity_rank")
+    return R.candidates(FE.base_features(bars(spark, sf_dir), FIXTURE), FIXTURE).select("ticker", "dt", "liquidity_rank")
 
 
 _PCT = ("return_5d", "return_20d", "average_dollar_volume_20d")
@@ -524,7 +529,7 @@ _PCT = ("return_5d", "return_20d", "average_dollar_volume_20d")
 
 @query(f"WITH {Q.CANDIDATES}, x AS (SELECT ticker, dt, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _PCT)} FROM cand) SELECT ticker, dt, {', '.join(f'round(CASE WHEN count(*) OVER (PARTITION BY dt) > 1 THEN 2 * ({Q.average_rank(c, chr(100) + chr(116))} - 1) / (count(*) OVER (PARTITION BY dt) - 1) - 1 ELSE 0 END, 6) + 0.0 AS xrank_{c}' for c in _PCT)} FROM x")
 def f30_percentile_ranks(spark, sf_dir):
-    c = rounded(R.candidates(FE.base_features(T.bars(spark, sf_dir), FIXTURE), FIXTURE), *_PCT)
+    c = rounded(R.candidates(FE.base_features(bars(spark, sf_dir), FIXTURE), FIXTURE), *_PCT)
     return c.select("ticker", "dt", *[r6(percentile_rank(F.col(x), ["dt"])).alias(f"xrank_{x}") for x in _PCT])
 
 
@@ -572,12 +577,12 @@ def f38_longest_streak(spark, sf_dir):
 
 @query(f"WITH {Q.RANKING}, f AS (SELECT *, CAST(substr(ticker, 2) AS INT) % 9 = 0 AS flagged FROM rnk), w AS (SELECT *, coalesce(sum(CASE WHEN flagged THEN 0 ELSE 1 END) OVER (PARTITION BY decision_date ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 30 AS checked FROM f) SELECT ticker, decision_date, round(score, 6) + 0.0 AS score, row_number() OVER (PARTITION BY decision_date ORDER BY rank) AS rank, checked FROM w WHERE NOT (checked AND flagged)")
 def g03_replace_flagged(spark, sf_dir):
-    return rounded(R.replace_flagged(R.rank_dates(T.bars(spark, sf_dir), FIXTURE), T.statuses(spark, sf_dir)), "score")
+    return rounded(R.replace_flagged(R.rank_dates(bars(spark, sf_dir), FIXTURE), T.statuses(spark, sf_dir)), "score")
 
 
 @query(f"WITH {Q.RANKING} SELECT DISTINCT ticker FROM rnk WHERE rank <= 30")
 def g05_leaders(spark, sf_dir):
-    return R.leaders(R.rank_dates(T.bars(spark, sf_dir), FIXTURE))
+    return R.leaders(R.rank_dates(bars(spark, sf_dir), FIXTURE))
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name, c_acctbal AS balance, NULL AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS BIGINT) FROM supplier")
@@ -689,14 +694,14 @@ FROM last30 l LEFT JOIN pl ON pl.decision_date = l.decision_date LEFT JOIN daily
 SELECT decision_date, result_date, CASE WHEN why IS NULL THEN 'VALID' ELSE 'INVALID' END AS status, why AS invalid_reason, CASE WHEN why IS NULL OR why <> 'insufficient_history' THEN n END AS universe_size, CASE WHEN why IS NULL THEN CAST(round(precision_at_k * 10) AS BIGINT) END AS hits_at_10,
 CASE WHEN why IS NULL THEN round(basket_return, 6) + 0.0 END AS basket_return_14, CASE WHEN why IS NULL THEN precision_at_k >= 0.1 AND precision_at_k > base_explosion_rate END AS passed FROM z""")
 def j14_backtest(spark, sf_dir):
-    out = BT.backtest(T.bars(spark, sf_dir), FIXTURE)
+    out = BT.backtest(bars(spark, sf_dir), FIXTURE)
     return rounded(out.select("decision_date", "result_date", "status", "invalid_reason", "universe_size", "hits_at_10", "basket_return_14", "passed"), "basket_return_14")
 
 
 @query(f"""WITH {Q.BARS}, {_READY} SELECT b.ticker, count(*) AS rows, bool_or(CAST(substr(b.ticker, 2, 6) AS VARCHAR) < '000050' AND b.ticker <> 'SPY') AS in_requested, bool_or(b.ticker <> 'SPY' AND substr(b.ticker, 2, 6) < '000050' AND b.ticker IN (SELECT ticker FROM ready)) AS in_ready FROM bars b GROUP BY 1""")
 def j16_split_panel(spark, sf_dir):
     req = T.read(spark, sf_dir, "supplier").filter("s_suppkey < 50").select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker"))
-    return P.split_panel(T.bars(spark, sf_dir), req, 20).groupBy("ticker").agg(F.count("*").alias("rows"), F.bool_or("in_requested").alias("in_requested"), F.bool_or("in_ready").alias("in_ready"))
+    return P.split_panel(bars(spark, sf_dir), req, 20).groupBy("ticker").agg(F.count("*").alias("rows"), F.bool_or("in_requested").alias("in_requested"), F.bool_or("in_ready").alias("in_ready"))
 
 
 # K: research
@@ -704,7 +709,7 @@ def j16_split_panel(spark, sf_dir):
 
 def _quality(spark, sf_dir):
     """Date quality at a horizon of 3: every session with a bar of each of two suppliers."""
-    b = T.bars(spark, sf_dir)
+    b = bars(spark, sf_dir)
     cal = C.later_session(C.indexed(b, "dt"), 3)
     n = b.groupBy(F.col("dt").alias("session")).agg(F.count("*").alias("n"))
     return cal.join(n, "session").filter("result_date IS NOT NULL").select(F.col("session").alias("decision_date"), "result_date", (F.col("n") > 20).alias("date_valid"))
@@ -852,7 +857,7 @@ def k06_choose_lambda(spark, sf_dir):
 
 @query()
 def j13_research_panel(spark, sf_dir):
-    panel, _ = K.research_panel(T.bars(spark, sf_dir), FIXTURE)
+    panel, _ = K.research_panel(bars(spark, sf_dir), FIXTURE)
     return panel.select("ticker", "decision_date", "rank_v6", "universe_size", "date_valid", "is_explosion", "ranking_relevance", *[r6(F.col(c)).alias(c) for c in ("xrank_return_5d", "xrank_beta_40d")])
 
 
@@ -872,17 +877,17 @@ def k04_boosted_risk(spark, sf_dir):
 
 @query(f"WITH {Q.BARS} SELECT min(dt) AS first_dt, max(dt) AS last_dt FROM bars")
 def e01_date_bounds(spark, sf_dir):
-    return P.bounds(T.bars(spark, sf_dir))
+    return P.bounds(bars(spark, sf_dir))
 
 
 @query(f"WITH {Q.RANKING} SELECT decision_date, count(*) AS rows FROM rnk GROUP BY 1")
 def e17_group_sizes(spark, sf_dir):
-    return R.rank_dates(T.bars(spark, sf_dir), FIXTURE).groupBy("decision_date").agg(F.count("*").alias("rows"))
+    return R.rank_dates(bars(spark, sf_dir), FIXTURE).groupBy("decision_date").agg(F.count("*").alias("rows"))
 
 
 @query(f"WITH {Q.RANKING}, k AS (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY round(score, 6) DESC, ticker) AS k FROM rnk) SELECT ticker, decision_date, rank FROM k WHERE k <= 5")
 def f32_top_five(spark, sf_dir):
-    r = R.rank_dates(T.bars(spark, sf_dir), FIXTURE).withColumn("s", F.round("score", 6))
+    r = R.rank_dates(bars(spark, sf_dir), FIXTURE).withColumn("s", F.round("score", 6))
     return R.top_n(r, "s", 5).select("ticker", "decision_date", "rank")
 
 
@@ -903,7 +908,7 @@ _LATEST = Q.RANKING.replace("cal AS (", "cal AS (SELECT dt, idx - (SELECT max(id
 
 @query(f"WITH {_LATEST} SELECT ticker, decision_date, round(score, 6) + 0.0 AS score, rank FROM rnk")
 def j04_rank_latest(spark, sf_dir):
-    return rounded(R.rank_latest(T.bars(spark, sf_dir), FIXTURE), "score")
+    return rounded(R.rank_latest(bars(spark, sf_dir), FIXTURE), "score")
 
 
 @query(f"WITH RECURSIVE {_FOLD} SELECT CAST(conv_id AS VARCHAR) AS ticker FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS z FROM st) WHERE z = 1 AND state <> 'active'")
@@ -921,7 +926,7 @@ def e15_coverage_by_date(spark, sf_dir):
 @query(ORACLE["j14_backtest"].split("SELECT decision_date, result_date, CASE WHEN why")[0] + """, rec AS (SELECT precision_at_k AS p, base_explosion_rate AS b, why, CASE WHEN why IS NULL THEN precision_at_k >= 0.1 AND precision_at_k > base_explosion_rate END AS ok FROM z)
 SELECT count(CASE WHEN why IS NULL THEN 1 END) AS valid_dates, count(why) AS invalid_dates, round(avg(CASE WHEN why IS NULL THEN p END), 6) + 0.0 AS precision_at_10, round(avg(CASE WHEN why IS NULL THEN b END), 6) + 0.0 AS base_explosion_rate, count(CASE WHEN ok THEN 1 END) AS passing_days, CASE WHEN count(why) = 0 AND count(*) = 30 THEN 'COMPLETE' ELSE 'INCONCLUSIVE' END AS conclusion FROM rec""")
 def e12_backtest_summary(spark, sf_dir):
-    out = BT.summary(BT.backtest(T.bars(spark, sf_dir), FIXTURE), 30)
+    out = BT.summary(BT.backtest(bars(spark, sf_dir), FIXTURE), 30)
     return rounded(out.select("valid_dates", "invalid_dates", "precision_at_10", "base_explosion_rate", "passing_days", "conclusion"), "precision_at_10", "base_explosion_rate")
 
 
@@ -931,7 +936,7 @@ SHORT = Contract(lookback=21, horizon=3, min_average_dollar_volume=200_000.0, mi
 @query()
 def k07_walk_forward(spark, sf_dir):
     """The whole loop at a lookback of 21 and a horizon of 3: folds, ridge, boosted trees, blend, risk re-rank, scored test dates."""
-    b = FE.with_index(T.bars(spark, sf_dir))
+    b = FE.with_index(bars(spark, sf_dir))
     cand = R.candidates(FE.base_features(b, SHORT), SHORT)
     ranked = FE.cross_sectional_ranks(cand, R.SIGNALS)
     v6 = R.score(cand).select("ticker", F.col("decision_date").alias("dt"), F.col("score").alias("rank_v6_score"), F.col("rank").alias("rank_v6"))
