@@ -86,9 +86,9 @@ def a01_scan_one_date(spark, sf_dir):
 @query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume + CASE WHEN dt >= DATE '1996-10-01' THEN 1 ELSE 0 END AS volume FROM bars WHERE dt >= DATE '1996-06-01' AND dt < DATE '1997-02-01'")
 def a02_upsert_bars(spark, sf_dir):
     path = FX.scratch(spark, "bars")
-    bars = bars(spark, sf_dir)
-    ST.upsert_bars(bars.filter("dt >= '1996-06-01' AND dt < '1996-12-01'"), path, FX.scratch(spark, "staging"))
-    ST.upsert_bars(bars.filter("dt >= '1996-10-01' AND dt < '1997-02-01'").withColumn("volume", F.col("volume") + 1), path, FX.scratch(spark, "staging"))
+    rows = bars(spark, sf_dir)
+    ST.upsert_bars(rows.filter("dt >= '1996-06-01' AND dt < '1996-12-01'"), path, FX.scratch(spark, "staging"))
+    ST.upsert_bars(rows.filter("dt >= '1996-10-01' AND dt < '1997-02-01'").withColumn("volume", F.col("volume") + 1), path, FX.scratch(spark, "staging"))
     return ST.scan_bars(spark, path)
 
 
