@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import stage_path
 from tidemark.llm.packing import Packer, pack
-from tidemark.llm.token_store import PerfectHash, fetch, mix64, read_store, write_store
+from tidemark.llm.token_store import PerfectHash, fetch, mix64, open_store, read_store, route, write_store
 from tidemark.llm.tokenize import Encoder
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
@@ -66,6 +66,20 @@ def test_store_round_trip(spark, request, which):
         assert {r.doc_id: r.ids for r in fetch(spark, path, keys).collect()} == {k: [*enc(texts[k]), 2] for k in (3, 17)}
 
 
+def test_keys_are_routed_to_the_shard_of_their_first_occurrence(spark):
+    ids = [-(1 << 62), *[-5] * 9, *range(0, 400, 4), *[400] * 30, 401, 1 << 62]
+    path = stage_path(spark, "t-routes")
+    write_store(spark.createDataFrame([(i, f"text {i} number {n}") for n, i in enumerate(ids)], "doc_id long, text string"), path, FILES[0], 2, shard_ids=25)
+    heads = [tuple(r) for r in open_store(spark, path).select("first_key", "last_key", "part", "seq").collect()]
+    asked = sorted({*range(-8, 410), *ids, (1 << 63) - 1, -(1 << 63)})
+    frame = spark.createDataFrame([(i,) for i in asked], "asked long")
+    got = {r.asked: (r.part, r.seq) for r in route(open_store(spark, path).select("part", "seq", "first_key", "last_key"), frame).collect()}
+    want = {k: min(h[2:] for h in heads if h[0] <= k <= h[1]) for k in asked if any(h[0] <= k <= h[1] for h in heads)}
+    assert len(heads) > 20 and got == want
+    kept = {r.doc_id for r in fetch(spark, path, frame.withColumnRenamed("asked", "doc_id")).collect()}
+    assert kept == set(ids)
+
+
 def check_packing(frame, length=1024, **kw):
     enc = plain(FILES[1])
     rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]

@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stage
 from .tokenize import encoder
 
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 18
+#: Keys that are looked up in a shard at once; more of them meet further copies of it.
+KEYS_PER_LOOK = 1 << 16
 LEVELS = 40
 SHARD = "part int, seq int, before long, n_docs long, n_ids long, width int, first_key long, last_key long, nulls long, keys binary, nth binary, levels binary, bits binary, marks binary, offsets binary, payload binary"
 
@@ -201,17 +203,43 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return shards.select("base", "before", "width", "nulls", "keys", "nth", "levels", "bits", "marks", "offsets", "payload").mapInArrow(_read, READ)
 
 
+def _holds(row: dict, opened: tuple, key: int, offset: int) -> bool:
+    """Whether the document at ``offset`` is stored under ``key``: a fingerprint may agree by chance, the stored key doesn't."""
+    at = int(np.searchsorted(np.sort(opened[2][:, 0]), offset))
+    return at >= row["nulls"] and int(np.frombuffer(row["keys"], np.int64)[at]) == key
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-            asked = np.array(row["asked"], np.int64)
+            asked, opened = np.array(row["asked"], np.int64), _opened(row)
             zero = np.zeros(len(asked), np.int64)
-            got = _get(_opened(row), key_hash(asked, zero, zero > 0))
-            hit = [(int(k), x[1].tolist()) for k, x in zip(asked, got) if x]
+            got = _get(opened, key_hash(asked, zero, zero > 0))
+            hit = [(int(k), x[1].tolist()) for k, x in zip(asked, got) if x and _holds(row, opened, int(k), x[0])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hit], pa.int64()), pa.array([x for _, x in hit], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
 
+def route(ranges: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, part, seq: for each key the one shard that may hold its first occurrence.
+
+    That is the last shard that begins below the key, if it reaches it, or else the first that begins at it. Headers and keys are
+    sorted together by range; each range takes over the last header of the ranges before it (a row per range)."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("seq", "int"), ("last_key", "long"))]
+    rows = ranges.select(F.col("first_key").alias("key"), F.lit(True).alias("head"), "part", "seq", "last_key").unionByName(asked.select(F.col("asked").alias("key"), F.lit(False).alias("head"), *none))
+    rows = stage(rows.repartitionByRange("key").withColumn("slice", F.spark_partition_id()), "routes")
+    shard = F.when(F.col("head"), F.struct("key", "part", "seq", "last_key"))
+    over = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("slice").agg(F.max(shard).alias("top")).select("slice", F.last("top", True).over(over).alias("carried"))
+    inside = Window.partitionBy("slice").orderBy("key", "head", "part", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("below", F.last(shard, True).over(inside)).filter("NOT head")
+    found = found.select("slice", F.col("key").alias("asked"), "below").join(carried, "slice").withColumn("below", F.coalesce("below", "carried"))
+    begins = ranges.groupBy(F.col("first_key").alias("asked")).agg(F.min(F.struct("part", "seq")).alias("at"))
+    reaches = F.col("below.last_key") >= F.col("asked")
+    found = found.join(begins, "asked", "left").withColumn("to", F.when(reaches, F.struct("below.part", "below.seq")).otherwise(F.col("at")))
+    return found.filter("to IS NOT NULL").select("asked", "to.part", "to.seq")
+
+
 def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id and ids of the asked keys (column doc_id); keys that aren't stored give no row.
 
@@ -219,5 +247,7 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     shards = open_store(spark, path)
     ranges = shards.select("part", "seq", "first_key", "last_key").filter("first_key IS NOT NULL")
     asked = keys.select(F.col("doc_id").cast("long").alias("asked")).filter("asked IS NOT NULL").distinct()
-    routed = asked.join(ranges, F.col("asked").between(F.col("first_key"), F.col("last_key"))).groupBy("part", "seq").agg(F.collect_list("asked").alias("asked"))
-    return shards.join(routed, ["part", "seq"]).select("asked", "width", "levels", "bits", "marks", "offsets", "payload").mapInArrow(_fetch, "doc_id long, ids array<long>").dropDuplicates(["doc_id"])
+    nth = F.row_number().over(Window.partitionBy("part", "seq").orderBy("asked"))
+    chunk = F.floor(nth / F.lit(KEYS_PER_LOOK)).alias("chunk")
+    routed = route(ranges, asked).select("part", "seq", "asked", chunk).groupBy("part", "seq", "chunk").agg(F.collect_list("asked").alias("asked"))
+    return shards.join(routed, ["part", "seq"]).select("asked", "width", "nulls", "keys", "levels", "bits", "marks", "offsets", "payload").mapInArrow(_fetch, "doc_id long, ids array<long>")
