@@ -29,7 +29,7 @@ def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram model rejects go."""
-    return common.without(docs, kneser_ney.rejected(docs, common.table(spark, sf_dir, "labels")))
+    return kneser_ney.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 @_stage

@@ -91,7 +91,12 @@ def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
-def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``drop`` (column doc_id, distinct, written before). Null ids stay."""
-    keyed = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("own_id"))
-    return keyed.join(sized(drop.select(F.col("doc_id").alias("drop_id"))), F.col("own_id") == F.col("drop_id"), "left_anti").select("row.*")
+def numbered(docs: DataFrame) -> DataFrame:
+    """number, row: every row of ``docs`` as a struct under a key of its own, written once, so that later passes agree on it."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("number"), as_row(docs)), "numbered")
+
+
+def without_rows(own: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of ``own`` (see ``numbered``) whose number isn't in ``drop`` (column number, distinct, written before)."""
+    gone = sized(drop.select(F.col("number").alias("drop_number")))
+    return own.join(gone, F.col("number") == F.col("drop_number"), "left_anti").select("row.*")

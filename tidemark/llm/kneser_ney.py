@@ -8,7 +8,7 @@ Short texts vary much, so a score counts PRIOR further characters at the languag
 
 Nulls and odd input: a null language is a language of its own; a null or wordless text has no perplexity and isn't kept; a
 language without trusted text has no threshold and loses nothing else; a null doc_id is scored and is never trusted; rows that
-repeat a doc_id are scored each; characters beyond 16 bits count as their two halves; an empty table gives an empty result.
+repeat a doc_id are scored each, and with a column ``number`` (a key per row) verdicts name it; characters beyond 16 bits count as their two halves; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stage
+from .common import numbered, sized, stage, without_rows
 
 ORDER, QUANTILE, PRIOR = 3, 0.995, 200
 #: N-gram types whose probabilities are broadcast; beyond that positions are summed by type and joined by key.
@@ -27,7 +27,8 @@ def _texts(docs: DataFrame, order: int) -> DataFrame:
     """row, doc_id, language, units (UTF-16 text behind a start of line), n of its n-grams."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     units = F.encode(F.concat(F.lit("\n" * (order - 1)), text), "UTF-16BE")
-    out = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), units.alias("units"))
+    row = F.col("number") if "number" in docs.columns else F.monotonically_increasing_id()
+    out = docs.select(row.alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), units.alias("units"))
     return out.withColumn("n", (F.length("units") / 2).cast("int") - (order - 1))
 
 
@@ -114,7 +115,7 @@ def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most:
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR, most: int = BROADCAST_TYPES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, n_chars16, log_prob, perplexity, threshold, kept."""
+    """One row per row of ``docs``: doc_id, lang, n_chars16, log_prob, perplexity, threshold, kept, and number where ``docs`` has it."""
     trusted = stage(trusted_ids(labels), "trusted")
     types = stage(gram_types(docs, trusted, order), "gram-types")
     scores = stage(document_scores(docs, probabilities(types, order), order, most), "scores")
@@ -133,6 +134,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
         F.exp("score").alias("perplexity"),
         F.exp("limit").alias("threshold"),
         (F.col("log_prob").isNotNull() & F.coalesce(F.col("score") <= F.col("limit"), F.lit(True))).alias("kept"),
+        *([F.col("row").alias("number")] if "number" in docs.columns else []),
     )
 
 
@@ -140,3 +142,10 @@ def rejected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """doc_id of documents of which no row is kept."""
     found = classify(docs, labels, **settings)
     return stage(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"), "rejected")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that are kept, each by its own verdict, with all their columns."""
+    own = numbered(docs)
+    found = classify(own.select("number", "row.doc_id", "row.text", "row.lang"), labels, **settings)
+    return without_rows(own, stage(found.filter("NOT kept").select("number"), "rejected-rows"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, without
+from .common import numbered, small_batches, stage, without_rows
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -58,6 +58,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _own_fingerprints(own: DataFrame) -> DataFrame:
+    """number, doc_id, fp of numbered rows."""
+    small_batches(own.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(x.as_py()) for x in b.column(2)], pa.int64())], ["number", "doc_id", "fp"])
+
+    narrow = own.select("number", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "number long, doc_id long, fp long")
+
+
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
     """First bit and width of each segment: the least number that leaves one with at most one differing bit."""
     n = distance // 2 + 1
@@ -177,7 +189,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOC
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, and rows without doc_id, with all their columns."""
-    found = near_duplicates(docs, distance)
-    drop = stage(found.filter("component_id IS NOT NULL AND NOT doc_id <=> component_id AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-copies")
-    return without(docs, drop)
+    """One row of ``docs`` per component, with all its columns: of the smallest doc_id, without doc_id only where no row has one."""
+    own = numbered(docs)
+    fps = stage(_own_fingerprints(own), "fingerprints")
+    distinct = stage(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "number")).alias("first")), "distinct")
+    roots = components(links(distinct.select("fp"), distance), "a", "b")
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keep = stage(named.select(F.col("first.number").alias("keep_number")), "firsts")
+    drop = stage(fps.join(keep, F.col("number") == F.col("keep_number"), "left_anti").select("number"), "near-copies")
+    return without_rows(own, drop)
