@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, exact_dedup, kneser_ney, mixing, packing, simhash
+from tidemark.llm import common, exact_dedup, kneser_ney, mixing, near_copies, packing
 
 _made: list[str] = []
 
@@ -40,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    return near_copies.one_of_each(docs)
 
 
 @_stage
@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("source mix", mix), ("packing", pack)]
 
-#: Stages 1, 3 and 5 rest on a trained model, XXH64 sums and a tokenizer, which SQL can't express.
+#: Stages 1, 3 and 5 rest on a trained model, XXH64 shingles and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
