@@ -65,6 +65,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spanning(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (by place) that connect all sets that lie within ``similarity``, directly or by way of others."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(len(ids), bool)
     left, out = np.arange(1, len(sets)), []
     root, queue = 0, [0]
     while len(left):
@@ -77,7 +80,10 @@ def spanning(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tup
         could = left[(size[left] >= similarity * n - 1e-9) & (n >= similarity * size[left] - 1e-9)]
         if not len(could):
             continue
-        both = np.array([np.isin(sets[k], sets[at], assume_unique=True).sum() for k in could])
+        mark[ids[ends[at] - n : ends[at]]] = True
+        upto = np.r_[0, np.cumsum(mark[ids])]
+        mark[ids[ends[at] - n : ends[at]]] = False
+        both = upto[ends[could]] - upto[ends[could] - size[could]]
         found = could[both >= similarity * (n + size[could] - both) - 1e-9]
         out += [(root, int(k)) for k in found]
         queue += found.tolist()
