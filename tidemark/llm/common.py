@@ -63,10 +63,27 @@ def recorded(paths: list[str]):
         _records.remove(paths)
 
 
+_ARROW_ROWS, _ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, as single texts may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound what one Arrow batch holds, as single texts may be megabytes long.
+
+    For plans that are handed out unwritten, as the bound is read when they run; it stays for the session."""
+    spark.conf.set(_ARROW_ROWS, str(rows))
+    spark.conf.set(_ARROW_BYTES, str(16 << 20))
+
+
+@contextmanager
+def batched(spark: SparkSession, rows: int = 256):
+    """The same bound for what is written within the block; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in (_ARROW_ROWS, _ARROW_BYTES)}
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ascii_lower(c: Column) -> Column:

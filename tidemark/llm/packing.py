@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import batched, stage
 from .tokenize import encoder
 
 LENGTH, WINDOWS, TASKS_PER_MERGE = 1024, 32, 64
@@ -130,9 +130,9 @@ def _merge(length: int):
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, length: int = LENGTH, windows: int = WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Texts never shuffle."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    first = stage(rows.mapInArrow(_pack(tokenizer, end_id, length, windows), f"{PIECE}, task int, ids binary"), "packed")
+    with batched(docs.sparkSession):
+        first = stage(rows.mapInArrow(_pack(tokenizer, end_id, length, windows), f"{PIECE}, task int, ids binary"), "packed")
     done = first.filter("task IS NULL").select(*_NAMES)
     held = first.filter("task IS NOT NULL").withColumn("merge", F.floor(F.col("task") / TASKS_PER_MERGE).cast("long"))
     held = held.select("merge", "task", F.col("sequence_id").alias("window"), "doc_id", "start", "doc_tokens", "ids")

@@ -6,7 +6,8 @@ its bit), with a stored fingerprint per slot that turns away keys that the shard
 of a Parquet folder, the one binary container that Spark writes to any store; payloads stay raw bytes.
 
 Nulls and odd input: a null text counts as empty and gives the end id alone; null doc_ids come first in order; rows that
-repeat a doc_id are stored each, told apart by their occurrence; an empty table gives an empty store.
+repeat a doc_id are stored each, in the order of their texts' hashes, told apart by their occurrence in a shard; an empty table gives an
+empty store.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import batched, stage
 from .tokenize import encoder
 
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 18
 #: Keys that are looked up in a shard at once; more of them meet further copies of it.
 KEYS_PER_LOOK = 1 << 16
+#: Shards that a lookup names to the scan, which then reads no others; more are joined.
+NAMED_SHARDS = 1_000
+SHARDS_PER_BATCH = 8
 LEVELS = 40
-SHARD = "part int, seq int, before long, n_docs long, n_ids long, width int, first_key long, last_key long, nulls long, keys binary, nth binary, levels binary, bits binary, marks binary, offsets binary, payload binary"
+SHARD = "part int, seq int, before long, n_docs long, n_ids long, width int, first_key long, last_key long, nulls long, keys binary, nth binary, levels binary, bits binary, marks binary, rows binary, offsets binary, payload binary"
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -44,7 +48,7 @@ def key_hash(key: np.ndarray, nth: np.ndarray, null: np.ndarray) -> np.ndarray:
     """Distinct for distinct doc_ids; later occurrences and null keys are mixed once more."""
     h = mix64(key.astype(np.int64).view(np.uint64))
     odd = (nth > 0) | null
-    h[odd] = mix64(h[odd] ^ mix64(nth[odd].astype(np.uint64) * np.uint64(2) + null[odd].astype(np.uint64)))
+    h[odd] = mix64(h[odd] + (nth[odd].astype(np.uint64) * np.uint64(2) + null[odd].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
     return h
 
 
@@ -104,14 +108,14 @@ def _shard(part: int, seq: int, before: int, keys: list, nths: list, ids: list[n
     h = key_hash(key, nth, null)
     index = PerfectHash.build(h)
     slot = index.slots(h)
-    marks, offsets = np.empty(len(h), np.uint16), np.empty((len(h), 2), np.uint32)
-    marks[slot], offsets[slot, 0], offsets[slot, 1] = fingerprints(h), starts, ends - starts
+    marks, offsets, rows = np.empty(len(h), np.uint16), np.empty((len(h), 2), np.uint32), np.empty(len(h), np.uint32)
+    marks[slot], offsets[slot, 0], offsets[slot, 1], rows[slot] = fingerprints(h), starts, ends - starts, np.arange(len(h))
     known = key[~null]
     return {
         "part": part, "seq": seq, "before": before, "n_docs": len(keys), "n_ids": int(ends[-1]), "width": ids[0].dtype.itemsize,
         "first_key": int(known[0]) if len(known) else None, "last_key": int(known[-1]) if len(known) else None, "nulls": int(null.sum()),
         "keys": key.tobytes(), "nth": nth.astype(np.uint32).tobytes(), "levels": index.sizes.tobytes(), "bits": index.bits.tobytes(),
-        "marks": marks.tobytes(), "offsets": offsets.tobytes(), "payload": b"".join(x.tobytes() for x in ids),
+        "marks": marks.tobytes(), "rows": rows.tobytes(), "offsets": offsets.tobytes(), "payload": b"".join(x.tobytes() for x in ids),
     }
 
 
@@ -143,11 +147,13 @@ def _shards(tokenizer: str, end_id: int, shard_ids: int):
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
-    """Texts are dealt by doc_id range and sorted, so shards follow document order; each text is encoded once."""
-    small_batches(docs.sparkSession)
+    """Texts are dealt by ranges of doc_id and text hash and sorted, so shards follow document order and repeats of one
+    doc_id spread over tasks; each text is encoded once."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(_shards(tokenizer, end_id, shard_ids), SHARD).write.parquet(path)
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    with batched(docs.sparkSession):
+        dealt.mapInArrow(_shards(tokenizer, end_id, shard_ids), SHARD).write.partitionBy("part").parquet(path)
 
 
 def _opened(row: dict) -> tuple:
@@ -155,13 +161,18 @@ def _opened(row: dict) -> tuple:
     return index, np.frombuffer(row["marks"], np.uint16), np.frombuffer(row["offsets"], np.uint32).reshape(-1, 2), np.frombuffer(row["payload"], f"<u{row['width']}")
 
 
-def _get(opened: tuple, hashes: np.ndarray) -> list[tuple[int, np.ndarray] | None]:
-    """Offset and ids of each key, None where the shard doesn't hold it."""
-    index, marks, offsets, payload = opened
-    slot = index.slots(hashes)
-    held = slot >= 0
-    held[held] = marks[slot[held]] == fingerprints(hashes[held])
-    return [(int(offsets[s, 0]), payload[offsets[s, 0] : offsets[s, 0] + offsets[s, 1]]) if ok else None for s, ok in zip(slot, held)]
+def _slots(opened: tuple, hashes: np.ndarray) -> np.ndarray:
+    """Each key's slot, -1 where the shard doesn't hold it by its fingerprint."""
+    slot = opened[0].slots(hashes)
+    held = np.flatnonzero(slot >= 0)
+    slot[held[opened[1][slot[held]] != fingerprints(hashes[held])]] = -1
+    return slot
+
+
+def _ids(opened: tuple, slot: int) -> tuple[int, np.ndarray]:
+    """Offset and ids of a slot."""
+    at, n = opened[2][slot].tolist()
+    return at, opened[3][at : at + n]
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -177,7 +188,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
             key, nth = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nth"], np.uint32)
             null = np.arange(len(key)) < row["nulls"]
-            got = _get(_opened(row), key_hash(key, nth, null))
+            opened = _opened(row)
+            got = [_ids(opened, s) for s in _slots(opened, key_hash(key, nth, null)).tolist()]
             at = row["base"] + row["before"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, mask=null), pa.array([at + o for o, _ in got], pa.int64()), pa.array([len(x) for _, x in got], pa.int64()), pa.array([crc_of(x) for _, x in got], pa.int64())],
@@ -193,20 +205,15 @@ def _with_base(shards: DataFrame) -> DataFrame:
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
-    small_batches(spark, 8)
     return spark.read.schema(SHARD).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, each through its shard's index."""
     shards = _with_base(open_store(spark, path))
-    return shards.select("base", "before", "width", "nulls", "keys", "nth", "levels", "bits", "marks", "offsets", "payload").mapInArrow(_read, READ)
-
-
-def _holds(row: dict, opened: tuple, key: int, offset: int) -> bool:
-    """Whether the document at ``offset`` is stored under ``key``: a fingerprint may agree by chance, the stored key doesn't."""
-    at = int(np.searchsorted(np.sort(opened[2][:, 0]), offset))
-    return at >= row["nulls"] and int(np.frombuffer(row["keys"], np.int64)[at]) == key
+    rows = shards.select("base", "before", "width", "nulls", "keys", "nth", "levels", "bits", "marks", "offsets", "payload")
+    with batched(spark, SHARDS_PER_BATCH):
+        return stage(rows.mapInArrow(_read, READ), "store-rows")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +222,11 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
             asked, opened = np.array(row["asked"], np.int64), _opened(row)
             zero = np.zeros(len(asked), np.int64)
-            got = _get(opened, key_hash(asked, zero, zero > 0))
-            hit = [(int(k), x[1].tolist()) for k, x in zip(asked, got) if x and _holds(row, opened, int(k), x[0])]
+            slot = _slots(opened, key_hash(asked, zero, zero > 0))
+            # A fingerprint may agree by chance; the key that is stored for the slot doesn't.
+            at = np.frombuffer(row["rows"], np.uint32)[slot]
+            right = (slot >= 0) & (at >= row["nulls"]) & (np.frombuffer(row["keys"], np.int64)[at] == asked)
+            hit = [(k, _ids(opened, s)[1].tolist()) for k, s in zip(asked[right].tolist(), slot[right].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hit], pa.int64()), pa.array([x for _, x in hit], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
 
@@ -243,11 +253,18 @@ def route(ranges: DataFrame, asked: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id and ids of the asked keys (column doc_id); keys that aren't stored give no row.
 
-    A repeated doc_id gives its first occurrence. Keys are routed by shard range, of which headers alone are read."""
+    A repeated doc_id gives its first occurrence. Keys are routed by shard range, of which headers alone are read; payloads are
+    read of the shards that keys were routed to, which the scan is told by folder and number."""
     shards = open_store(spark, path)
     ranges = shards.select("part", "seq", "first_key", "last_key").filter("first_key IS NOT NULL")
     asked = keys.select(F.col("doc_id").cast("long").alias("asked")).filter("asked IS NOT NULL").distinct()
     nth = F.row_number().over(Window.partitionBy("part", "seq").orderBy("asked"))
     chunk = F.floor(nth / F.lit(KEYS_PER_LOOK)).alias("chunk")
     routed = route(ranges, asked).select("part", "seq", "asked", chunk).groupBy("part", "seq", "chunk").agg(F.collect_list("asked").alias("asked"))
-    return shards.join(routed, ["part", "seq"]).select("asked", "width", "nulls", "keys", "levels", "bits", "marks", "offsets", "payload").mapInArrow(_fetch, "doc_id long, ids array<long>")
+    routed = stage(routed, "routed")
+    named = routed.select("part", "seq").distinct().limit(NAMED_SHARDS + 1).collect()
+    if len(named) <= NAMED_SHARDS:
+        shards = shards.filter(F.col("part").isin([r.part for r in named]) & F.col("seq").isin([r.seq for r in named])) if named else shards.filter("false")
+    looked = shards.join(routed, ["part", "seq"]).select("asked", "width", "nulls", "keys", "levels", "bits", "marks", "rows", "offsets", "payload")
+    with batched(spark, SHARDS_PER_BATCH):
+        return stage(looked.mapInArrow(_fetch, "doc_id long, ids array<long>"), "fetched")
