@@ -90,6 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: The method's own rules, written apart from the operator's: words of host labels, and wildcards as anchored patterns.
+_HOST_WORDS = "adult betting bingo casino cialis cracks escorts gambling jackpot keygen lottery payday pharmacy pills poker porn replica roulette slots spam torrents viagra warez xxx"
+_PATHS = {"*/wp-login.php": "/wp-login[.]php$", "*/wp-admin/*": "/wp-admin/", "*/cgi-bin/*": "/cgi-bin/", "*/cart/checkout/*": "/cart/checkout/", "*/tracking/pixel.gif": "/tracking/pixel[.]gif$", "*/ads/banner/*": "/ads/banner/", "*/feed/rss.xml": "/feed/rss[.]xml$"}
+
+
+def _rule_rows() -> str:
+    rows = [(f"word {w}", f"^([^/]*[.-])?{w}([.-]|/|$)") for w in _HOST_WORDS.split()] + [(f"pattern {k}", v) for k, v in _PATHS.items()]
+    return ", ".join(f"({i}, '{n}', '{p}')" for i, (n, p) in enumerate(rows))
+
+
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
@@ -114,16 +124,10 @@ WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
 r(rule, rhost, rpath, verdict, size) AS (VALUES ('org/', 'org', '/', 'allow', 4), ('example.org/es/', 'example.org', '/es/', 'block', 15),
   ('example.org/en/1', 'example.org', '/en/1', 'block', 16), ('com/fr/', 'com', '/fr/', 'allow', 7), ('com/de/', 'com', '/de/', 'block', 7)),
 hit AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY size DESC) AS k FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-spam AS (SELECT page_id, CASE WHEN list_contains(string_split(host, '.'), 'spam-farm') THEN 'spam host' WHEN list_contains(string_split(host, '.'), 'cheap-pills') THEN 'pharmacy host'
-  WHEN list_contains(string_split(host, '.'), 'online-casino') THEN 'casino host' END AS name FROM p)
+w(place, name, pattern) AS (VALUES {_rule_rows()}),
+method AS (SELECT page_id, first(name ORDER BY place) AS name FROM p JOIN w ON regexp_matches(host || path, pattern) GROUP BY page_id)
 SELECT p.page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN name IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
-  CASE WHEN hit.rule IS NULL THEN name END AS method_rule FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1 JOIN spam ON spam.page_id = p.page_id""",
-    "op4_token_counts": rf"""
-WITH n AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS words,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D!-/:-@\[-`{{-~]+|[!-/:-@\[-`{{-~]')) AS BIGINT) AS pieces FROM documents),
-left_ AS (SELECT * FROM n WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
-v AS (SELECT source, lang, 'words' AS version, CASE WHEN words >= 1000 THEN pieces ELSE words END AS n FROM left_ UNION ALL SELECT source, lang, 'pieces', pieces FROM left_)
-SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM v GROUP BY source, lang, version""",
+  CASE WHEN hit.rule IS NULL THEN name END AS method_rule FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND k = 1 LEFT JOIN method ON method.page_id = p.page_id""",
     "op5_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_UPPER_LOWER}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM n WINDOW g AS (PARTITION BY t)""",
