@@ -103,6 +103,23 @@ def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+#: At most so many keys are treated as hubs: each holds more than this share of all rows.
+HUBS, HUB_ROWS = 10_000, 64
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``table``, where ``key`` is unique and column ``n`` counts the rows under it.
+
+    Keys with more than ``total`` / HUBS rows, so HUBS keys at most, are broadcast; the others are joined by key.
+    No task takes all rows of a hub."""
+    many = F.col("n") > max(HUB_ROWS, total // HUBS)
+    hubs = stage(table.filter(many).drop("n"), "hub-keys")
+    if hubs.isEmpty():
+        return rows.join(table.drop("n"), key)
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.filter(~many).drop("n"), key)
+    return rows.join(F.broadcast(hubs), key).unionByName(rest)
+
+
 def as_row(docs: DataFrame) -> Column:
     """All of a table's columns as one, so that no other name can clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

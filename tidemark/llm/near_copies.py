@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, sized, small_batches, stage, without_rows
+from .common import BROADCAST_IDS, batched, hub_join, numbered, sized, stage, without_rows
 from .components import components
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -116,26 +116,27 @@ def _compare(similarity: float):
 
 def _similar(dealt: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
     """a, b: links within each key of ``dealt`` (key, number)."""
-    small_batches(dealt.sparkSession)
     rows = dealt.join(texts, "number").select("key", "number", "text")
-    return stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(similarity), "a long, b long"), name)
+    with batched(dealt.sparkSession):
+        return stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(similarity), "a long, b long"), name)
 
 
 def candidates(own: DataFrame) -> DataFrame:
     """node, root: rows by number and the least row that they reach over shared bands."""
-    small_batches(own.sparkSession)
-    keys = stage(own.select("number", F.col("row.text").cast("binary").alias("text")).mapInArrow(_bands, "number long, keys array<bigint>"), "bands")
+    with batched(own.sparkSession):
+        keys = stage(own.select("number", F.col("row.text").cast("binary").alias("text")).mapInArrow(_bands, "number long, keys array<bigint>"), "bands")
     filed = keys.select("number", F.explode("keys").alias("key"))
-    hubs = stage(filed.groupBy("key").agg(F.min("number").alias("hub"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("h_key"), "hub"), "hubs")
-    ties = filed.join(sized(hubs), F.col("key") == F.col("h_key")).filter("number != hub").select("number", "hub").distinct()
-    return components(ties, "number", "hub")
+    hubs = stage(filed.groupBy("key").agg(F.min("number").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    shared, total = hubs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tied = filed.join(sized(hubs.drop("n")), "key") if shared <= BROADCAST_IDS else hub_join(filed, hubs, "key", total)
+    return components(tied.filter("number != hub").select("number", "hub").distinct(), "number", "hub")
 
 
 def copies(own: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """node, root: rows of ``own`` (see ``numbered``) that lie in one component of similar texts."""
     groups = stage(candidates(own), "candidates")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = stage(groups.join(sized(sizes), "root").select("root", "blocks", F.col("node").alias("number"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "placed")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = stage(hub_join(groups, sizes, "root", groups.count()).select("root", "blocks", F.col("node").alias("number"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "placed")
     members = placed.select(F.col("number").alias("m_number"))
     texts = stage(own.join(sized(members), F.col("number") == F.col("m_number"), "left_semi").select("number", F.col("row.text").cast("binary").alias("text")), "member-texts")
     at = F.xxhash64("root", "own").alias("key")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, small_batches, stage, without_rows
+from .common import batched, hub_join, numbered, small_batches, stage, without_rows
 from .components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -60,14 +60,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _own_fingerprints(own: DataFrame) -> DataFrame:
     """number, doc_id, fp of numbered rows."""
-    small_batches(own.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(x.as_py()) for x in b.column(2)], pa.int64())], ["number", "doc_id", "fp"])
 
     narrow = own.select("number", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "number long, doc_id long, fp long")
+    with batched(own.sparkSession):
+        return stage(narrow.mapInArrow(run, "number long, doc_id long, fp long"), "fingerprints")
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -155,8 +155,8 @@ def _links(distance: int, block: int):
 
 
 def _linked(keyed: DataFrame, distance: int, block: int) -> DataFrame:
-    small_batches(keyed.sparkSession, 10_000)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, block), "kind int, a long, b long")
+    with batched(keyed.sparkSession, 10_000):
+        return stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance, block), "kind int, a long, b long"), "links")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -164,7 +164,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
 
     A group above ``block`` is cut into blocks, and every two of its blocks meet in a task: all its pairs are compared,
     the work is spread, and what comes out stays a forest per task."""
-    found = stage(_linked(variants(fps, distance), distance, block), "links")
+    found = _linked(variants(fps, distance), distance, block)
     edges = found.filter("kind = 0").select("a", "b").distinct()
     over = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     sizes = over.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("blocks"))
@@ -179,19 +179,21 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that a document's fingerprint reaches over links."""
-    own = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    with batched(docs.sparkSession):
+        own = stage(fingerprints(docs), "fingerprints")
+    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
+    n_fps, n_rows = distinct.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     roots = components(links(distinct.select("fp"), distance, block), "a", "b")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy(F.col("root").alias("l_root")).agg(F.min("least").alias("component_id"))
-    of = stage(named.join(least, F.col("root") == F.col("l_root")).select("n_fp", "component_id"), "component-names")
-    return own.join(of, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
+    named = stage(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = stage(hub_join(named, least, "root", n_fps).select("fp", "component_id", F.col("rows").alias("n")), "component-names")
+    return hub_join(own, of, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: of the smallest doc_id, without doc_id only where no row has one."""
     own = numbered(docs)
-    fps = stage(_own_fingerprints(own), "fingerprints")
+    fps = _own_fingerprints(own)
     distinct = stage(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "number")).alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), distance), "a", "b")
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
