@@ -2,8 +2,8 @@
 
 A structured stream over the documents' digests keeps, per digest, the stable identifier (the largest doc_id),
 its content locator (file and row) and the count. The state lives in RocksDB on disk, checkpointed to the shared
-folder, and never expires. Digests that were hit again are checked on full bytes: texts that share a digest are
-compared with the kept text, and a digest that holds different texts is split by the texts themselves.
+folder, and never expires. Digests that were hit again are checked on full bytes, and a digest that holds different texts is split by
+the texts themselves.
 
 Equality: identical UTF-8 bytes after lower-casing A-Z. Nulls and odd input: a null text counts as empty; a null
 doc_id is smaller than any other; rows that repeat a doc_id and text are members of one group, of which a single
@@ -17,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, ascii_lower, sized, stage, stage_path
+from .common import BROADCAST_IDS, as_row, ascii_lower, hub_join, sized, stage, stage_path
 
-#: Arrival files in one micro-batch; members of a group that meet one copy of the kept text.
-FILES_PER_BATCH, MEMBERS_PER_COPY = 512, 512
+#: Arrival files in one micro-batch.
+FILES_PER_BATCH = 512
 
 _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -74,19 +74,15 @@ def current_state(spark, out: str) -> DataFrame:
     return rows.select("digest", "keep", "group_size")
 
 
-def mixed_digests(docs: DataFrame, ledger: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Digests under which different texts lie: every member's bytes against those of the row that is kept.
+def mixed_digests(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Digests under which different texts lie, by the full bytes of every member of a group.
 
-    Texts move once by doc_id, so evenly, and only members of groups, which are written, move again. A large group meets several copies
-    of its kept text, so that no task takes all of it."""
-    groups = ledger.filter("group_size > 1").select(F.col("doc_id").alias("l_doc"), F.col("digest").alias("l_digest"), "group_size", F.col("keep.doc_id").alias("keep_doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    on = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("digest") == F.col("l_digest"))
-    members = stage(texts.join(groups, on).select("doc_id", "digest", "norm", "group_size", "keep_doc"), "members")
-    copies = F.ceil(F.col("group_size") / F.lit(MEMBERS_PER_COPY)).cast("int")
-    left = members.select("digest", "norm", (F.pmod(F.xxhash64("doc_id"), copies)).cast("int").alias("salt"))
-    kept = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_doc"))).select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    return left.join(kept, ["digest", "salt"]).filter("norm != kept_norm").select("digest").distinct()
+    Only members of groups move, and of equal ones a task sends one, so a group costs no task more than a text from each other task."""
+    groups = state.filter("group_size > 1").select("digest", F.col("group_size").alias("n"))
+    shared, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    members = texts.join(F.broadcast(groups), "digest", "left_semi") if shared <= BROADCAST_IDS else hub_join(texts, groups, "digest", total)
+    return members.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -95,12 +91,12 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     arrived = stage(arrivals(docs, digest), "arrivals")
     where = stage_path(spark, "dedup-stream")
     stream_state(arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema, spark, f"{where}/checkpoint", f"{where}/state")
-    state = current_state(spark, f"{where}/state").withColumnRenamed("digest", "s_digest")
-    ledger = stage(arrived.join(state, F.col("digest") == F.col("s_digest")).drop("s_digest"), "dedup-ledger")
-    out = ledger.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.expr("place = keep.place").alias("kept"), "digest")
-    mixed = stage(mixed_digests(docs, ledger, digest), "mixed-digests")
+    state = current_state(spark, f"{where}/state")
+    mixed = stage(mixed_digests(docs, state, digest), "mixed-digests")
     if digest is sha256 and mixed.isEmpty():
-        return out.withColumnRenamed("digest", "text_sha256")
+        rows = state.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+        ledger = hub_join(arrived, state.withColumn("n", F.col("group_size")), "digest", rows)
+        return ledger.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.expr("place = keep.place").alias("kept"), F.col("digest").alias("text_sha256"))
     texts = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm"), F.monotonically_increasing_id().alias("at"))
     keyed = texts.withColumn("digest", digest(F.col("norm")))
     by_text = keyed.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count("*").alias("group_size"))
@@ -113,7 +109,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def keep_last(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that share a doc_id and a text are the same row again: one of them is taken where their group keeps that doc_id."""
+    Rows that share a doc_id and a text are the same row again: one of them, always the same, is taken where their group keeps that doc_id."""
     key = ["doc_id", "text_sha256"]
     ledger = dedup(docs).groupBy(*key).agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
     odd = stage(ledger.filter("NOT kept OR rows > 1").select(F.col("doc_id").alias("l_doc"), F.col("text_sha256").alias("l_sha"), "kept"), "odd-rows")
@@ -123,4 +119,5 @@ def keep_last(docs: DataFrame) -> DataFrame:
     repeated = odd.filter("kept").drop("kept")
     if repeated.isEmpty():
         return out
-    return out.unionByName(own.join(repeated, on).dropDuplicates(["l_doc", "l_sha"]).select("row.*"))
+    one = own.join(sized(repeated), on).groupBy("l_doc", "l_sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))
