@@ -3,14 +3,14 @@
 Sizes are summed per source, targets follow from the weights with a cap on repetition, and every document is
 taken floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as its probability.
 
-Nulls and odd input: a null text has size 0; the null source is a source of its own and sorts last; rows that
-repeat a doc_id draw the same number and are each mixed; an empty table gives an empty result; a source
+Nulls and odd input: a null text has size 0; the null source is a source of its own and sorts last; rows that repeat a doc_id draw
+the same number and are each mixed, rows without doc_id draw by their texts; an empty table gives an empty result; a source
 without words has target 0 and its documents are taken 0 times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, as_row, sized, stage
@@ -22,9 +22,13 @@ BROADCAST_SOURCES = 10_000
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of the whole text."""
+    """doc_id, source, size: words of the whole text. salt: the text's hash where there is no doc_id."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), salt().alias("salt"))
+
+
+def salt() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -49,9 +53,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", "target")
 
 
-def draw(seed: int) -> F.Column:
-    """A number in [0, 1) from the document's id and the seed: the same in every run and on every machine."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(seed: int) -> Column:
+    """A number in [0, 1) from the document's id, or its salt where it has none, and the seed: the same in every run and on every machine."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("salt").cast("string")), F.lit(""))
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def with_copies(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
@@ -67,12 +72,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """doc_id, source, size, source_size, target, rate, copies, taken. Texts are read once."""
     sizes = stage(document_sizes(docs), "sizes")
     targets = stage(source_targets(sizes, weights, share, most), "targets")
-    return with_copies(sizes, targets, seed).withColumn("taken", F.col("copies") * F.col("size"))
+    return with_copies(sizes, targets, seed).drop("salt").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs``, as many times as it is taken, with its own columns."""
     targets = stage(source_targets(document_sizes(docs), weights, share, most), "targets")
-    own = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"))
+    own = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), salt().alias("salt"))
     taken = with_copies(own, targets, seed).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return taken.select("row.*")
