@@ -322,6 +322,117 @@ def daily(spark, shift):
     return spark.createDataFrame(rows, "strategy string, decision_date date, precision_at_10 double, downside_at_10 double, catastrophic_loss_at_10 double, basket_return double, spy_return_20d double")
 
 
+def test_bootstrap_draws_are_independent(spark):
+    """Starts are uniform, neighbouring blocks of a replicate don't follow from each other, and a mean's variance is that of moving blocks."""
+    rng = np.random.default_rng(5)
+    n, block, reps = 252, 14, 4000
+    values = rng.normal(size=n)
+    pairs = spark.createDataFrame([(DAY0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(values)], "decision_date date, v double")
+    s = K.samples(pairs, block, reps, 20260723)
+    rows = s.select("rep", "at", "pos", "v").toPandas().sort_values(["rep", "at"])
+    assert (rows.groupby("rep").size() == n).all()
+    starts = rows[rows["at"] % block == 0]["pos"].to_numpy().reshape(reps, n // block)
+    assert len(np.unique(starts, axis=0)) == reps and starts.min() == 0 and starts.max() == n - block
+    expected = starts.size / (n - block + 1)
+    chi = ((np.bincount(starts.ravel(), minlength=n - block + 1) - expected) ** 2 / expected).sum()
+    assert abs(chi - (n - block)) < 6 * np.sqrt(2 * (n - block))
+    assert len(np.unique(np.diff(starts, axis=1))) > 400 and abs(np.corrcoef(starts[:, 0], starts[:, 1])[0, 1]) < 0.06
+    means = np.lib.stride_tricks.sliding_window_view(values, block).mean(axis=1)
+    assert rows.groupby("rep")["v"].mean().var() == pytest.approx(means.var() / (n // block), rel=0.1)
+
+
+def test_pools_belong_to_strategies(spark):
+    """An open row of one strategy takes nothing from another, and each has its own threshold."""
+    c = Contract()
+    whole = ledger(spark, [0.01 * i for i in range(20)]).withColumn("strategy_version", F.lit("x"))
+    open_ = ledger(spark, [None, 0.5]).withColumn("strategy_version", F.lit("y"))
+    other = ledger(spark, [0.4] * 12).withColumn("strategy_version", F.lit("z"))
+    m = L.mature(whole.unionByName(open_).unionByName(other), c)
+    assert {(r.strategy_version, r.hit_threshold and round(r.hit_threshold, 6)) for r in m.collect()} == {("x", 0.18), ("y", None), ("z", 0.4)}
+    assert m.filter("strategy_version = 'y' AND is_adverse_path IS NULL AND max_adverse_return IS NOT NULL").isEmpty()
+
+
+def test_cutoffs_are_instants_of_the_past(spark):
+    cal, days = small_calendar(spark)
+    now = F.lit("2030-01-01").cast("timestamp")
+    of = lambda *texts: C.cutoffs(spark.createDataFrame([(t,) for t in texts], "at string"), cal, "at", now)
+    assert {r.cutoff for r in of(str(days[3]), "2024-01-04T12:00:00-05:00").collect()} == {dt.datetime.combine(days[3], dt.time(21)), dt.datetime(2024, 1, 4, 17)}
+    for bad in ("2024-01-04T12:00:00", "2024-01-06", "2031-01-01T00:00:00Z", "soon"):
+        with pytest.raises(ValueError):
+            of(bad)
+
+
+def test_lookups_in_a_calendar(spark):
+    cal, days = small_calendar(spark)
+    assert [r.session for r in C.sessions_between(cal, str(days[2]), str(days[4])).orderBy("idx").collect()] == days[2:5]
+    assert [(r.session, r.idx) for r in C.spanning(cal, spark.createDataFrame([(days[5],), (days[7],)], "dt date")).orderBy("idx").collect()] == [(days[5], 0), (days[6], 1), (days[7], 2)]
+    assert C.future_session(cal, spark.createDataFrame([(days[1],)], "decision_date date"), 3).first().result_date == days[4]
+    with pytest.raises(ValueError):
+        C.future_session(cal, spark.createDataFrame([(dt.date(2024, 1, 6),)], "decision_date date"), 3)
+    assert C.latest_completed(cal, F.lit(f"{days[4]} 20:59:59").cast("timestamp")).first().session == days[3]
+    old = spark.createDataFrame([(dt.datetime(1990, 1, 1), dt.date(1990, 1, 1))], "available_at timestamp, d date")
+    assert C.effective_session(old, cal).first().session == days[0] and C.next_session(old, cal, "d").first().next_session == days[0]
+
+
+def test_known_positions_equal_brute_force(spark):
+    """Random versions, late cycles, revisions and ties: at each decision the newest two cycles that are known, each in its newest version."""
+    rng = random.Random(6)
+    day = lambda i: DAY0 + dt.timedelta(days=i)
+    at = lambda i: dt.datetime.combine(day(i), dt.time(12))
+    versions = [(f"T{rng.randrange(6)}", day(rng.randrange(12)), at(rng.randrange(60)), float(rng.randrange(9)), rng.random() < 0.2, rng.random() < 0.3) for _ in range(300)]
+    decisions = [(f"T{t}", day(i), at(i)) for t in range(7) for i in range(0, 60, 3)]
+    p = spark.createDataFrame(versions, "symbol string, settlement_date date, available_at timestamp, short_interest double, stock_split_flag boolean, revision_flag boolean")
+    d = spark.createDataFrame(decisions, "ticker string, decision_date date, cutoff timestamp")
+    want = set()
+    for t, decision, cutoff in decisions:
+        newest = {}
+        for s, settled, *v in versions:
+            if s == t and v[0] <= cutoff:
+                newest[settled] = max(newest.get(settled, v), v)
+        two = [(k, *newest[k]) for k in sorted(newest, reverse=True)[:2]]
+        if two:
+            want.add((t, decision, *two[0], *((two[1][2], two[1][3]) if len(two) > 1 else (None, None))))
+    assert {tuple(r) for r in B.known_positions(d, p).collect()} == want
+
+
+def test_enrichment_is_checked(spark):
+    panel_ = spark.createDataFrame([("A", DAY0), ("B", DAY0)], "ticker string, decision_date date")
+    f = spark.createDataFrame([("A", DAY0, 2.0, None)], "ticker string, decision_date date, x double, y double")
+    assert {(r.ticker, r.x, r.y) for r in B.enrich(panel_, f, "s1").collect()} == {("A", 2.0, 0.0), ("B", 0.0, 0.0)}
+    digest = lambda a, b: spark.range(1).select(B.enriched_digest(a, b)).first()[0]
+    assert digest("p", "s1") != digest("p", "s2") and digest("p", "s1") == digest("p", "s1")
+    for bad, name in ((f, " "), (f.union(f), "s"), (f.withColumn("ticker", F.lit("C")), "s"), (f.withColumn("x", F.lit(float("nan"))), "s")):
+        with pytest.raises(ValueError):
+            B.enrich(panel_, bad, name)
+
+
+def test_fold_rows_need_labels(spark):
+    rows = spark.createDataFrame([("A", DAY0, True, False, False), ("B", DAY0, None, None, None)], "ticker string, decision_date date, is_explosion boolean, is_severe_downside boolean, is_catastrophic_loss boolean")
+    fold = spark.createDataFrame([(1, "test", DAY0)], "fold int, role string, decision_date date")
+    assert K.rows_of(rows.limit(1), fold, 1, "test").count() == 1 and K.group_sizes(rows).first().rows == 2
+    with pytest.raises(ValueError):
+        K.rows_of(rows, fold, 1, "test")
+
+
+def test_boosted_models_learn_and_stop_on_validation(spark):
+    """The settings are the declared ones, scores follow the signal, and weights of dates don't let a large one rule."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(8):
+        for k in range(40):
+            x = rng.random()
+            rows.append((f"T{k}", DAY0 + dt.timedelta(days=i), x, rng.random(), 2 if x > 0.8 else 0 if x < 0.2 else 1, x < 0.2))
+    m = spark.createDataFrame(rows, "ticker string, decision_date date, a double, b double, ranking_relevance int, is_severe_downside boolean")
+    training, validation = m.filter(F.dayofmonth("decision_date") <= 6), m.filter(F.dayofmonth("decision_date") > 6)
+    boom, risk = K.fit_boom(training, validation, ["a", "b"], 5), K.fit_risk(training, validation, ["a", "b"], 5)
+    for model in (boom, risk):
+        assert (model.getMaxDepth(), model.getStepSize(), model.getSubsamplingRate(), model.getValidationIndicatorCol(), model.getWeightCol()) == (4, 0.03, 0.8, "is_validation", "weight")
+        assert 1 <= model.getNumTrees <= 5
+    got = K.predict(risk, K.predict(boom, validation, ["a", "b"], "boom"), ["a", "b"], "risk", True)
+    r = got.agg(F.corr("a", "boom"), F.corr(F.col("a"), F.col("risk")), F.avg(F.when(F.col("a") > 0.8, F.col("boom"))), F.avg(F.when(F.col("a") < 0.8, F.col("boom")))).first()
+    assert r[0] > 0.5 and r[1] < -0.5 and r[2] > r[3] and got.columns[-2:] == ["boom", "risk"]
+
+
 def test_bootstrap_and_promotion(spark):
     d = daily(spark, 0.05)
     pairs = K.paired(d, "new")

@@ -83,4 +83,4 @@ class ResearchConfig:
 #: Thresholds at the scale of the driver's tables.
 FIXTURE = Contract(min_average_dollar_volume=400_000.0, min_median_dollar_volume_prior=250_000.0, max_candidates=80)
 SMALL_FIXTURE = Contract(min_average_dollar_volume=200_000.0, min_median_dollar_volume_prior=150_000.0, max_candidates=80)
-FIXTURE_RESEARCH = ResearchConfig(minimum_training_dates=20, validation_dates=8, locked_test_dates=16, retrain_interval=4, bootstrap_block=3, bootstrap_replications=200)
+FIXTURE_RESEARCH = ResearchConfig(minimum_training_dates=20, validation_dates=8, locked_test_dates=16, retrain_interval=4, bootstrap_block=3)

@@ -64,6 +64,17 @@ def number(c: Column, kind: str = "double") -> Column:
     return F.when((v >= 0) & (v < F.lit(float("inf"))), v)
 
 
+def bad_flag(c: Column, yes: tuple[str, ...] = ("Y", "TRUE", "1", "R", "S"), no: tuple[str, ...] = ("N", "FALSE", "0", "")) -> Column:
+    """Whether a flag is neither yes nor no: strict readers refuse it."""
+    return flag(c, yes, no).isNull() & (F.trim(F.coalesce(c, F.lit(""))) != "")
+
+
+def bad_number(c: Column, kind: str = "double", required: bool = False) -> Column:
+    """Whether a number is malformed, negative or not finite (or blank, where it is required): strict readers refuse it."""
+    blank = F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank, F.lit(required)).otherwise(number(c, kind).isNull())
+
+
 DATE_FORMATS = (("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("yyyyMMdd", r"^\d{8}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("dd-MMM-yyyy", r"^\d{2}-[A-Za-z]{3}-\d{4}$"), ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"))
 
 

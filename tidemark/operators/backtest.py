@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import Contract
-from .calendar import indexed, later_session
+from .calendar import indexed, later_session, spanning
 from .evaluation import daily_pools, evaluable, passing
 from .features import with_index
 from .labels import forward_labels, mature, with_outcomes
@@ -16,14 +16,17 @@ from .ranking import rank_dates, replace_flagged
 SOURCE = "stored_panel"
 
 
-def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statuses: DataFrame | None = None) -> DataFrame:
-    """One record per matured decision date of the last ``days``: status VALID with metrics, or INVALID with invalid_reason."""
+def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statuses: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """One record per matured decision date of the last ``days``: status VALID with metrics, or INVALID with invalid_reason.
+
+    ``sessions`` (session) is the exchange calendar; without it the panel's own dates are its sessions, so that a session which the whole panel
+    lacks would move every horizon over it."""
     days = contract.backtest_days if days is None else days
     if not 1 <= days <= contract.max_backtest_days:
         raise ValueError(f"days must be in 1..{contract.max_backtest_days}")
     k = contract.top_k
-    data = with_index(bars)
-    calendar = indexed(bars, "dt")
+    data = with_index(bars, sessions)
+    calendar = indexed(bars, "dt") if sessions is None else spanning(sessions, bars)
     dates = later_session(calendar, contract.horizon).filter("result_date IS NOT NULL")
     last = dates.agg(F.max("idx").alias("last"))
     dates = dates.crossJoin(F.broadcast(last)).filter(F.col("idx") > F.col("last") - days).select(F.col("session").alias("decision_date"), "idx", "result_date")
@@ -32,7 +35,7 @@ def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statu
     if statuses is not None:
         ranking = replace_flagged(ranking, statuses, contract.inspect)
     ledger = ranking.withColumn("universe_size", F.count("*").over(Window.partitionBy("decision_date"))).withColumn("strategy_version", F.lit(contract.strategy))
-    matured = mature(with_outcomes(ledger, forward_labels(data, contract)).drop("result_date"), contract)
+    matured = mature(with_outcomes(ledger, forward_labels(data, contract, None if sessions is None else calendar)).drop("result_date"), contract)
     pool = daily_pools(matured, contract).withColumn("evaluable", evaluable(contract)).withColumn("passed", passing(contract)).drop("strategy_version")
     d = dates.join(F.broadcast(problems), "decision_date", "left").join(F.broadcast(pool), "decision_date", "left")
     n = F.coalesce("universe_size", F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import base_form, clip, form, items
 from ..functions.windows import observed_percentile_rank
 from . import calendar as C
+from .panel import require_finite, require_unique
 
 # Form and item families.
 MATERIAL_ITEMS = (
@@ -40,20 +41,22 @@ def known_positions(decisions: DataFrame, positions: DataFrame) -> DataFrame:
     """Per (ticker, decision): the newest settlement known then and the one before it, each in its newest known version.
 
     decisions: ticker, decision_date, cutoff. positions: symbol, settlement_date, available_at, short_interest, stock_split_flag, revision_flag.
-    A late revision of an older cycle replaces that cycle alone."""
-    p = positions.withColumnRenamed("symbol", "ticker")
-    seen = decisions.join(p, "ticker").filter(F.col("available_at") <= F.col("cutoff"))
-    version = F.max(F.struct("available_at", "short_interest", "stock_split_flag", "revision_flag")).alias("v")
-    cycles = seen.groupBy("ticker", "decision_date", "settlement_date").agg(version)
-    k = F.row_number().over(Window.partitionBy("ticker", "decision_date").orderBy(F.col("settlement_date").desc()))
-    two = cycles.withColumn("k", k).filter("k <= 2").groupBy("ticker", "decision_date")
-    pick = lambda n: F.max(F.when(F.col("k") == n, F.struct("settlement_date", "v")))
-    got = two.agg(pick(1).alias("c"), pick(2).alias("p"))
-    return got.select(
+    A late revision of an older cycle replaces that cycle alone. Versions and decisions lie in one timeline per ticker, over which two running
+    maxima go: the newest cycle, and the largest of what has ever been second to it, which is whatever a newer cycle displaced or an older one
+    brought. So the work is linear in versions and decisions, and no decision meets the versions before it."""
+    fields = ("settlement_date", "available_at", "short_interest", "stock_split_flag", "revision_flag")
+    known = positions.filter("settlement_date IS NOT NULL").select(F.col("symbol").alias("ticker"), F.col("available_at").alias("at"), F.lit(0).alias("kind"), F.struct(*fields).alias("v"))
+    asked = decisions.select("ticker", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), "decision_date")
+    rows = known.unionByName(asked, allowMissingColumns=True).filter("at IS NOT NULL")
+    timeline = Window.partitionBy("ticker").orderBy("at", "kind")
+    to_here, before = timeline.rowsBetween(Window.unboundedPreceding, 0), timeline.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("c", F.max("v").over(to_here)).withColumn("top", F.max("v").over(before))
+    second = F.when(F.col("v.settlement_date") > F.col("top.settlement_date"), F.col("top")).when(F.col("v.settlement_date") < F.col("top.settlement_date"), F.col("v"))
+    rows = rows.withColumn("second", second).withColumn("p", F.max("second").over(to_here)).filter("kind = 1 AND c IS NOT NULL")
+    return rows.select(
         "ticker", "decision_date",
-        F.col("c.settlement_date").alias("settlement_date"), F.col("c.v.available_at").alias("available_at"), F.col("c.v.short_interest").alias("short_interest"),
-        F.col("c.v.stock_split_flag").alias("split_flag"), F.col("c.v.revision_flag").alias("revision_flag"),
-        F.col("p.v.short_interest").alias("previous_interest"), F.col("p.v.stock_split_flag").alias("previous_split_flag"),
+        "c.settlement_date", "c.available_at", "c.short_interest", F.col("c.stock_split_flag").alias("split_flag"), "c.revision_flag",
+        F.col("p.short_interest").alias("previous_interest"), F.col("p.stock_split_flag").alias("previous_split_flag"),
     )
 
 
@@ -192,13 +195,25 @@ def alternative_features(source: DataFrame) -> DataFrame:
     return t.select("*", *[observed_percentile_rank(F.col(a), ["decision_date"]).alias(b) for a, b in ALTERNATIVE_RANKS.items()])
 
 
-def enrich(panel: DataFrame, features: DataFrame) -> DataFrame:
-    """panel left-joined 1:1 with external features; missing ones become neutral zeros (their coverage flags say so)."""
+def enrich(panel: DataFrame, features: DataFrame, source_snapshot: str) -> DataFrame:
+    """panel left-joined 1:1 with external features; missing ones become neutral zeros (their coverage flags say so).
+
+    The features' snapshot must be named, their keys be unique and lie in the panel, and no value may be NaN or infinite; else: error."""
     keys = ["ticker", "decision_date"]
     extra = [c for c in features.columns if c not in keys]
+    if not source_snapshot.strip():
+        raise ValueError("the snapshot of external features needs a name")
+    require_unique(features, keys, "external features")
     if not features.join(panel.select(*keys), keys, "left_anti").isEmpty():
         raise ValueError("external features hold keys outside the panel")
-    return panel.join(features, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in extra})
+    filled = features.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in extra])
+    require_finite(filled, extra)
+    return panel.join(filled, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in extra})
+
+
+def enriched_digest(panel_snapshot: str, source_snapshot: str) -> Column:
+    """The identity of an enriched panel: of its own snapshot and the external one."""
+    return F.sha2(F.to_json(F.struct(F.lit(source_snapshot).alias("alternative_snapshot"), F.lit(panel_snapshot).alias("ohlcv_snapshot"))), 256)
 
 
 def coverage_by_date(features: DataFrame) -> DataFrame:

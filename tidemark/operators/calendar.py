@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import instant
+
 
 def indexed(days: DataFrame, session: str = "session") -> DataFrame:
     """Distinct sessions with their position; one row each is all that the window sees."""
@@ -42,8 +44,24 @@ def latest_completed(calendar: DataFrame, now: Column) -> DataFrame:
     return calendar.filter(F.col("close_ts") <= now).agg(F.max("session").alias("session"))
 
 
+def cutoffs(decisions: DataFrame, calendar: DataFrame, column: str, now: Column, name: str = "cutoff") -> DataFrame:
+    """decisions with ``name``: the instant up to which a decision knows things.
+
+    ``column`` holds dates, whose session's close it is, or texts: an ISO date, or an instant with its offset. An instant without
+    offset, a date that is no session, and a cutoff after ``now`` are errors."""
+    text = F.col(column).cast("string")
+    closes = calendar.select(F.col("session").cast("string").alias("_day"), "close_ts")
+    out = decisions.join(F.broadcast(closes), text == F.col("_day"), "left").withColumn(name, F.coalesce("close_ts", instant(text))).drop("_day", "close_ts")
+    if not out.filter(F.col(name).isNull()).isEmpty():
+        raise ValueError(f"{column} holds a date that is no session, or an instant without offset")
+    if not out.filter(F.col(name) > now).isEmpty():
+        raise ValueError(f"{column} holds a decision in the future")
+    return out
+
+
 def effective_session(events: DataFrame, calendar: DataFrame, at: str = "available_at") -> DataFrame:
-    """Adds session, idx of the first session whose close isn't before the instant; null after the last close.
+    """Adds session, idx of the first session whose close isn't before the instant; null after the last close. What comes before the first
+    session, however early, belongs to it.
 
     Closes are bucketed by day, so that the lookup is an equality: an instant belongs to its own day's session, or to the
     next one where the day has none or has closed."""
@@ -51,24 +69,33 @@ def effective_session(events: DataFrame, calendar: DataFrame, at: str = "availab
     steps = calendar.select("session", "idx", "close_ts", F.lead("session").over(w).alias("next_session"), F.lead("idx").over(w).alias("next_idx"))
     days = all_days(calendar).join(steps, "session")
     same = days.select("day", "session", "idx", "close_ts", "next_session", "next_idx")
-    out = events.withColumn("day", F.to_date(at)).join(F.broadcast(same), "day", "left")
+    opens = calendar.agg(F.min("session").alias("_opens"))
+    out = events.crossJoin(F.broadcast(opens)).withColumn("day", F.greatest(F.to_date(at), F.when(F.col(at).isNotNull(), F.col("_opens")))).join(F.broadcast(same), "day", "left")
     late = (F.col("day") == F.col("session")) & (F.col(at) > F.col("close_ts"))
     own = [c for c in events.columns]
     return out.select(*own, F.when(late, F.col("next_session")).otherwise(F.col("session")).alias("session"), F.when(late, F.col("next_idx")).otherwise(F.col("idx")).alias("idx"))
 
 
 def all_days(calendar: DataFrame) -> DataFrame:
-    """day, session: for every day up to the last session, the session on or after it. Days a year before the first are included."""
+    """day, session: for every day up to the last session, the session on or after it. Days a year before the first are included;
+    the lookups above take earlier ones for the first session's."""
     w = Window.orderBy("session")
     runs = calendar.select("session", F.coalesce(F.date_add(F.lag("session").over(w), 1), F.date_sub("session", 366)).alias("first"))
     return runs.select(F.explode(F.sequence("first", "session")).alias("day"), "session")
 
 
 def next_session(events: DataFrame, calendar: DataFrame, day: str, name: str = "next_session") -> DataFrame:
-    """Adds the first session strictly after a day, and its close as ``<name>_close``."""
+    """Adds the first session strictly after a day, and its close as ``<name>_close``. After a day before the first session, it is the first."""
     days = all_days(calendar).join(calendar.select("session", "close_ts"), "session")
     after = days.select(F.date_sub("day", 1).alias("n_day"), F.col("session").alias(name), F.col("close_ts").alias(f"{name}_close"))
-    return events.join(F.broadcast(after), F.col(day).cast("date") == F.col("n_day"), "left").drop("n_day")
+    opens = calendar.agg(F.date_sub(F.min("session"), 1).alias("_opens"))
+    asked = F.when(F.col(day).isNotNull(), F.greatest(F.col(day).cast("date"), F.col("_opens")))
+    return events.crossJoin(F.broadcast(opens)).join(F.broadcast(after), asked == F.col("n_day"), "left").drop("n_day", "_opens")
+
+
+def by_session(calendar: DataFrame, counts: DataFrame, column: str) -> DataFrame:
+    """session, idx, and the count of each session: zero where there is none, so that gaps show."""
+    return calendar.join(counts, "session", "left").select("session", "idx", F.coalesce(column, F.lit(0)).alias(column))
 
 
 def session_age(frame: DataFrame, calendar: DataFrame, a: str, b: str, name: str = "age_sessions") -> DataFrame:

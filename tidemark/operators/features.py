@@ -18,6 +18,7 @@ from .panel import with_session_index
 
 P = Panel()
 
+# Names of the model's features.
 STOCK_FEATURES = (
     "return_1d", "return_2d", "return_5d", "return_10d", "return_20d", "return_40d", "return_59d",
     "momentum_20d_ex_last_5d", "momentum_40d_ex_last_5d", "positive_day_fraction_20d", "trend_efficiency_20d",
@@ -77,14 +78,13 @@ def with_market(data: DataFrame, columns: dict[str, str], contract: Contract) ->
     return data.join(F.broadcast(market), "dt", "left")
 
 
-def research_features(bars: DataFrame, contract: Contract = Contract()) -> DataFrame:
-    """base_features plus the research set: three window stages over one partitioning."""
-    require_columns(bars, ("open", "high", "low", "raw_close"), "research OHLCV data")
-    data = base_features(bars, contract)
+def session_moves(data: DataFrame) -> DataFrame:
+    """Adds what one session and the one before it give: dollar volume _dv, split-adjusted _open, _high, _low, log return _r, change of log dollar
+    volume _dlv, moves within and between sessions, location of the close, true range _tr and squared log range _pk."""
     factor = ratio(F.col("close"), F.col("raw_close"))
     data = data.select("*", (F.col("raw_close") * F.col("volume")).alias("_dv"), (F.col("open") * factor).alias("_open"), (F.col("high") * factor).alias("_high"), (F.col("low") * factor).alias("_low"))
     prior, span = P.lag("close", 1), F.col("_high") - F.col("_low")
-    data = data.select(
+    return data.select(
         "*",
         F.log(ratio(F.col("close"), prior)).alias("_r"),
         (F.log1p("_dv") - P.lag(F.log1p("_dv"), 1)).alias("_dlv"),
@@ -94,6 +94,12 @@ def research_features(bars: DataFrame, contract: Contract = Contract()) -> DataF
         ratio(F.greatest(span, F.abs(F.col("_high") - prior), F.abs(F.col("_low") - prior)), prior).alias("_tr"),
         F.pow(F.log(ratio(F.col("_high"), F.col("_low"))), 2).alias("_pk"),
     )
+
+
+def research_features(bars: DataFrame, contract: Contract = Contract()) -> DataFrame:
+    """base_features plus the research set: three window stages over one partitioning."""
+    require_columns(bars, ("open", "high", "low", "raw_close"), "research OHLCV data")
+    data = session_moves(base_features(bars, contract))
     r, dv, close = F.col("_r"), F.col("_dv"), F.col("close")
     data = data.select(
         "*", F.abs(r).alias("_ar"), (r * F.col("_dlv")).alias("_rdlv"), (r > 0).cast("double").alias("_up"), F.when(r < 0, r * r).otherwise(0.0).alias("_down"),

@@ -54,25 +54,33 @@ def date_quality(outcomes: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
+def pool_keys(outcomes: DataFrame) -> list[str]:
+    """What makes a pool: the decision date, and the strategy where rows name one."""
+    return [c for c in ("strategy_version", "decision_date") if c in outcomes.columns]
+
+
 def with_thresholds(outcomes: DataFrame, contract: Contract) -> DataFrame:
     """Adds hit_threshold: the nearest-rank quantile of a complete pool's returns, at least ``hit_return``; null in incomplete pools.
 
-    Counts, places and the pick share one partitioning by date, so the pool is read and shuffled once."""
-    w = Window.partitionBy("decision_date")
+    Counts, places and the pick share one partitioning by pool, so it is read and shuffled once."""
+    by = pool_keys(outcomes)
+    w = Window.partitionBy(*by)
     n, m = F.count("*").over(w), F.count("forward_return").over(w)
-    k = place(["decision_date"], F.col("forward_return"), F.col("ticker"))
+    k = place(by, F.col("forward_return"), F.col("ticker"))
     at = F.when((n == m) & (k == ceil_share(n, contract.hit_quantile)), F.col("forward_return"))
     cut = F.max("_at").over(w)
     return outcomes.withColumn("_at", at).withColumn("hit_threshold", F.when(cut.isNotNull(), F.greatest(cut, F.lit(contract.hit_return)))).drop("_at")
 
 
 def thresholds(outcomes: DataFrame, contract: Contract) -> DataFrame:
-    """decision_date, hit_threshold of complete pools."""
-    return with_thresholds(outcomes, contract).filter("hit_threshold IS NOT NULL").groupBy("decision_date").agg(F.max("hit_threshold").alias("hit_threshold"))
+    """decision_date (and strategy_version where there is one), hit_threshold of complete pools."""
+    return with_thresholds(outcomes, contract).filter("hit_threshold IS NOT NULL").groupBy(*pool_keys(outcomes)).agg(F.max("hit_threshold").alias("hit_threshold"))
 
 
 def mature(outcomes: DataFrame, contract: Contract) -> DataFrame:
-    """Labels of complete pools; nulls in incomplete ones: hit_threshold, is_explosion, is_severe_downside, is_catastrophic_loss, is_adverse_path, ranking_relevance."""
+    """Labels of complete pools, nulls in incomplete ones: hit_threshold, is_explosion, is_severe_downside, is_catastrophic_loss, ranking_relevance.
+
+    is_adverse_path is known wherever the path is, whatever else the pool lacks."""
     out = with_thresholds(outcomes, contract)
     whole = F.col("hit_threshold").isNotNull()
     on = lambda c: F.when(whole, c)
@@ -82,7 +90,7 @@ def mature(outcomes: DataFrame, contract: Contract) -> DataFrame:
         on(r >= F.col("hit_threshold")).alias("is_explosion"),
         on(r <= contract.severe_return).alias("is_severe_downside"),
         on(r <= contract.catastrophic_return).alias("is_catastrophic_loss"),
-        on(F.col("max_adverse_return") <= contract.adverse_return).alias("is_adverse_path"),
+        (F.col("max_adverse_return") <= contract.adverse_return).alias("is_adverse_path"),
     )
     grade = F.when(~whole, F.lit(None)).when(F.col("is_explosion"), 2).when(F.col("is_severe_downside"), 0).otherwise(1)
     return out.withColumn("ranking_relevance", grade.cast("int"))

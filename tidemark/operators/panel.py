@@ -149,6 +149,13 @@ def split_panel(df: DataFrame, requested: DataFrame, n: int) -> DataFrame:
     return out.withColumn("in_requested", F.coalesce("in_requested", F.lit(False))).withColumn("in_ready", F.coalesce("in_ready", F.lit(False)) & F.col("in_requested"))
 
 
+def inverted(df: DataFrame, key: str, value: str, most: int = 1000) -> DataFrame:
+    """A key map turned round: per value of ``value`` its keys in order, in parts of ``most``, so that no row holds more than that."""
+    k = F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1
+    placed = df.select(key, value).distinct().withColumn("part", F.floor(k / most))
+    return placed.groupBy(value, "part").agg(F.array_sort(F.collect_list(key)).alias(f"{key}s"))
+
+
 def key_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys with side: left or right for keys of one side alone. Empty where the key sets are equal."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()

@@ -10,6 +10,7 @@ from ..functions.windows import average_rank, place
 from .features import base_features
 from .panel import last_sessions
 
+# The signals that the score averages.
 SIGNALS = ("return_5d", "return_20d", "distance_to_60d_high", "volume_zscore_20", "relative_strength_20d")
 
 

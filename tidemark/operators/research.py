@@ -20,9 +20,11 @@ INCUMBENT = "rank-v6"
 RANKS = tuple(f"xrank_{c}" for c in STOCK_FEATURES)
 
 
-def research_panel(bars: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
-    """(panel, date_quality): candidates of every decision date with features, ranks, outcomes and labels. One plan over the whole history."""
-    data = with_index(bars)
+def research_panel(bars: DataFrame, contract: Contract, calendar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(panel, date_quality): candidates of every decision date with features, ranks, outcomes and labels. One plan over the whole history.
+
+    Without a calendar the panel's own dates are its sessions."""
+    data = with_index(bars, calendar)
     cand = candidates(research_features(data, contract), contract)
     ranked = cross_sectional_ranks(cand)
     v6 = score(cand).select("ticker", F.col("decision_date").alias("dt"), F.col("score").alias("rank_v6_score"), F.col("rank").alias("rank_v6"))
@@ -67,10 +69,21 @@ def fold_audit(fold_rows: DataFrame, config: ResearchConfig) -> DataFrame:
     return a.withColumn("clean", F.coalesce(ok, F.lit(False)))
 
 
+LABELS = ("is_explosion", "is_severe_downside", "is_catastrophic_loss")
+
+
 def rows_of(panel: DataFrame, fold_rows: DataFrame, fold: int, role: str) -> DataFrame:
-    """Panel rows of a fold's role."""
+    """Panel rows of a fold's role. A row without a label on such a date is an error: folds are made of valid dates."""
     days = fold_rows.filter((F.col("fold") == fold) & (F.col("role") == role)).select("decision_date")
-    return panel.join(F.broadcast(days), "decision_date", "left_semi")
+    rows = panel.join(F.broadcast(days), "decision_date", "left_semi")
+    if not rows.filter(" OR ".join(f"{c} IS NULL" for c in LABELS)).isEmpty():
+        raise ValueError(f"fold {fold} has {role} rows without labels")
+    return rows
+
+
+def group_sizes(frame: DataFrame, by: str = "decision_date") -> DataFrame:
+    """Rows per date, which a listwise learner reads as its groups."""
+    return frame.groupBy(by).agg(F.count("*").alias("rows"))
 
 
 def date_weights(frame: DataFrame) -> DataFrame:
@@ -201,13 +214,15 @@ def paired(daily: DataFrame, challenger: str, incumbent: str = INCUMBENT) -> Dat
 
 
 def samples(pairs: DataFrame, block: int, replications: int, seed: int) -> DataFrame:
-    """rep, at, and a date's metrics: moving blocks of dates drawn by a linear generator both engines can compute."""
+    """rep, at, and a date's metrics: moving blocks of dates. Every block's start is drawn by itself, from a hash of replication, block and seed."""
     p = pairs.withColumn("pos", (F.row_number().over(Window.orderBy("decision_date")) - 1).cast("long"))
     n = p.agg(F.count("*").alias("n"))
     reps = pairs.sparkSession.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))
-    draws = reps.select("rep", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    start = F.pmod(F.pmod(F.col("rep") * F.lit(1103515245) + F.floor(F.col("at") / block) * F.lit(12345) + F.lit(seed), F.lit(2147483647)), F.col("n") - block + 1)
-    return draws.withColumn("pos", (start + F.col("at") % block).cast("long")).join(F.broadcast(p.drop("decision_date")), "pos")
+    draws = reps.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("block"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "block", F.lit(seed))), 1, 13), 16, 10).cast("long")
+    draws = draws.select("rep", "n", "block", (drawn % F.greatest(F.lit(1), F.col("n") - block + 1)).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("step"))
+    draws = draws.select("rep", (F.col("block") * block + F.col("step")).alias("at"), (F.col("start") + F.col("step")).alias("pos"), "n").filter("at < n").drop("n")
+    return draws.join(F.broadcast(p.drop("decision_date")), "pos")
 
 
 def bootstrap(pairs: DataFrame, config: ResearchConfig) -> DataFrame:
@@ -215,7 +230,7 @@ def bootstrap(pairs: DataFrame, config: ResearchConfig) -> DataFrame:
     delta = F.col("c_precision_at_10") - F.col("i_precision_at_10")
     real = pairs.agg(F.avg(delta).alias("estimate"), F.count("*").alias("paired_dates"))
     reps = samples(pairs, config.bootstrap_block, config.bootstrap_replications, config.seed).groupBy("rep").agg(F.avg(delta).alias("m"))
-    q = reps.agg(F.percentile("m", 0.025).alias("lower_95"), F.percentile("m", 0.975).alias("upper_95"), F.avg((F.col("m") > 0).cast("double")).alias("probability_positive"))
+    q = reps.agg(F.percentile("m", 0.025).alias("lower_95"), F.percentile("m", 0.975).alias("upper_95"), F.avg((F.col("m") > 1e-12).cast("double")).alias("probability_positive"))
     return real.crossJoin(q)
 
 
@@ -301,8 +316,9 @@ def locked_coverage(features: DataFrame, fold_rows: DataFrame) -> DataFrame:
 def run_research(panel: DataFrame, quality: DataFrame, config: ResearchConfig, contract: Contract, rounds: int = 200, features: Sequence[str] = RANKS) -> DataFrame:
     """Test rows of every fold with the scores of incumbent, ridge, boosted blend and risk-adjusted blend.
 
-    A loop over folds (a handful) around Spark jobs; each fold's models see its training and validation dates alone."""
-    rows = folds(quality, config).cache()
+    A loop over folds (a handful) around Spark jobs; each fold's models see its training and validation dates alone. ``quality`` and
+    ``panel`` are read once per fold and role: hand in written tables."""
+    rows = folds(quality, config)
     audit = fold_audit(rows, config)
     if not audit.filter("NOT clean").isEmpty():
         raise ValueError("a fold is too small or leaks outcomes")

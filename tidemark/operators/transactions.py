@@ -111,10 +111,10 @@ def selected_filings(filings: DataFrame, decision_at: Column, lookback_days: int
 
     if not conflicts(filings, ["ticker", "accession_number"], ["form", "accepted_at"]).isEmpty():
         raise ValueError("an accession number comes with conflicting metadata")
-    base = base_form(F.col("form"))
+    base, rest = base_form(F.col("form")), [c for c in filings.columns if c not in ("ticker", "accession_number")]
     ok = (F.col("accepted_at") <= decision_at) & (F.col("accepted_at") >= decision_at - F.expr(f"INTERVAL {lookback_days} DAYS"))
     own = F.arrays_overlap(items(F.col("items")), F.array(*[F.lit(x) for x in RELEVANT_ITEMS]))
-    return filings.filter(ok & base.isin(*TARGET_FORMS, *IGNORED_FORMS, *TEXT_FORMS) & ((base != "8-K") | own)).dropDuplicates(["ticker", "accession_number"])
+    return filings.filter(ok & base.isin(*TARGET_FORMS, *IGNORED_FORMS, *TEXT_FORMS) & ((base != "8-K") | own)).groupBy("ticker", "accession_number").agg(F.min(F.struct(*rest)).alias("_r")).select("ticker", "accession_number", "_r.*").select(*filings.columns)
 
 
 def candidate_documents(hits: DataFrame, filings: DataFrame, decision_at: Column, guard_days: int = 7) -> DataFrame:

@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share; a local one where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.files", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.tidemark.files", at)
     return f"{at.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
@@ -114,7 +116,7 @@ def filing_index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insider_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = T.read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").withColumn("ACCESSION_NUMBER", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    li = T.read(spark, sf_dir, "lineitem").withColumn("ACCESSION_NUMBER", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     sub = li.select("ACCESSION_NUMBER", F.upper(F.date_format("l_shipdate", "dd-MMM-yyyy")).alias("FILING_DATE"), F.lit("4").alias("DOCUMENT_TYPE"), (F.col("l_suppkey") + 1).alias("ISSUERCIK"), F.when(F.col("l_linestatus") == "O", "1").otherwise("").alias("AFF10B5ONE"))
     tx = li.select("ACCESSION_NUMBER", F.lit(1).alias("NONDERIV_TRANS_SK"), F.when(F.col("l_returnflag") == "A", "P").otherwise("S").alias("TRANS_CODE"), F.lit("A").alias("TRANS_ACQUIRED_DISP_CD"), F.col("l_quantity").alias("TRANS_SHARES"), F.col("l_extendedprice").alias("TRANS_PRICEPERSHARE"))
     own = F.col("l_partkey") % 50
@@ -136,10 +138,11 @@ def filing_table_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (k % 24) * 3600)
     o = T.read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("cik"), _accession(k).alias("a"), F.when(k % 2 == 0, "8-k").otherwise(" 6-K").alias("f"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
+        "o_orderkey", F.col("o_custkey").alias("cik"), _accession(k).alias("a"), F.when(k % 2 == 0, "8-k").otherwise(" 6-K").alias("f"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
         F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z")).alias("t"), T._dealt(T.ITEMS, k).alias("i"), F.concat(F.lit("d"), k.cast("string"), F.lit(".htm")).alias("p"),
     )
-    rows = o.groupBy("cik").agg(F.collect_list(F.struct("a", "f", "d", "t", "i", "p")).alias("r"))
+    # Several objects of some hundred filings each per issuer, as one with many filings would be one value.
+    rows = o.groupBy("cik", F.floor(k / 1000).alias("chunk")).agg(F.collect_list(F.struct("a", "f", "d", "t", "i", "p")).alias("r"))
     json = F.to_json(F.struct(F.col("r.a").alias("accessionNumber"), F.col("r.f").alias("form"), F.col("r.d").alias("filingDate"), F.col("r.t").alias("acceptanceDateTime"), F.col("r.i").alias("items"), F.col("r.p").alias("primaryDocument")))
     return RD.filing_table(rows.select("cik", json.alias("value")))
 
@@ -167,23 +170,31 @@ def boosted(spark: SparkSession, sf_dir: str, matured: DataFrame, risk: bool) ->
     day = F.month("decision_date") + 12 * F.year("decision_date")
     training, validation = m.filter(day % 3 != 0), m.filter(day % 3 == 0)
     fit = K.fit_risk if risk else K.fit_boom
-    model = fit(training, validation, ["score", "rank"], rounds=5)
+    model = fit(training, validation, ["score", "rank"], rounds=20)
     return K.predict(model, m, ["score", "rank"], "predicted", risk).select("ticker", "decision_date", r6(F.col("predicted")).alias("predicted"))
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a year's bars arrive as files, the second quarter twice; the stored table holds each bar once."""
+    """All bars arrive as files, first with other volumes and some of them broken, then as they are; the stored table holds each bar once."""
     from ..sources.tables import scan_bars
 
     incoming, path, work = scratch(spark, "incoming"), scratch(spark, "bars"), scratch(spark, "work")
-    b = T.bars(spark, sf_dir).filter("dt >= '1997-01-01' AND dt < '1997-07-01'")
-    b.withColumn("volume", F.col("volume") + 5).coalesce(1).write.parquet(incoming)
+    b = stored(T.bars(spark, sf_dir), "bars")
+    b.withColumn("volume", F.col("volume") + 5).write.parquet(incoming)
     SI.stream_bars(spark, incoming, path, work)
-    b.coalesce(2).write.mode("append").parquet(incoming)
+    b.unionByName(b.filter("volume % 7 = 0").withColumn("close", F.lit(-1.0))).write.mode("append").parquet(incoming)
     SI.stream_bars(spark, incoming, path, work)
     return scan_bars(spark, path).select("ticker", "dt", "open", "high", "low", "close", "raw_close", "volume")
 
 
+def late_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "facts")
+    e = T.read(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("available_at"))
+    SI.append_facts(e, path)
+    SI.append_facts(e.filter("event_id % 5 = 0").select("event_id", "user_id", (F.col("value") + 1).alias("value"), (F.col("available_at") + F.expr("INTERVAL 2 DAYS")).alias("available_at")), path)
+    return B.newest_known(spark.read.parquet(path), ["event_id"], F.col("available_at") <= F.lit("2024-01-10").cast("timestamp"), ["available_at"])
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, out, work = scratch(spark, "events"), scratch(spark, "counts"), scratch(spark, "work")
     e = T.read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")

@@ -83,12 +83,12 @@ def a01_scan_one_date(spark, sf_dir):
     return ST.scan_bars(spark, path, "1996-06-01").select("ticker", "dt", "open", "high", "low", "close", "raw_close", "volume")
 
 
-@query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume + CASE WHEN dt >= DATE '1996-10-01' THEN 1 ELSE 0 END AS volume FROM bars WHERE dt >= DATE '1996-06-01' AND dt < DATE '1997-02-01'")
+@query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume + CASE WHEN dt >= DATE '1996-10-01' THEN 1 ELSE 0 END AS volume FROM bars")
 def a02_upsert_bars(spark, sf_dir):
     path = FX.scratch(spark, "bars")
     rows = bars(spark, sf_dir)
-    ST.upsert_bars(rows.filter("dt >= '1996-06-01' AND dt < '1996-12-01'"), path, FX.scratch(spark, "staging"))
-    ST.upsert_bars(rows.filter("dt >= '1996-10-01' AND dt < '1997-02-01'").withColumn("volume", F.col("volume") + 1), path, FX.scratch(spark, "staging"))
+    ST.upsert_bars(rows.filter("dt < '1996-12-01'"), path, FX.scratch(spark, "staging"))
+    ST.upsert_bars(rows.filter("dt >= '1996-10-01'").withColumn("volume", F.col("volume") + 1), path, FX.scratch(spark, "staging"))
     return ST.scan_bars(spark, path)
 
 
@@ -98,7 +98,8 @@ def a03_ledger_append_and_scan(spark, sf_dir):
     ranking = R.rank_dates(bars(spark, sf_dir), FIXTURE)
     day = ranking.join(F.broadcast(ranking.agg(F.max("decision_date").alias("decision_date"))), "decision_date")
     day = day.withColumn("strategy_version", F.lit(FIXTURE.strategy)).withColumn("universe_size", F.count("*").over(Window.partitionBy("decision_date")))
-    ST.append_ledger(day.cache(), path)
+    day = FX.stored(day, "ranking")
+    ST.append_ledger(day, path)
     return rounded(ST.record_or_restore(day, path), "score")
 
 
@@ -127,7 +128,7 @@ def a07_filing_index(spark, sf_dir):
     return FX.filing_index_read(spark, sf_dir)
 
 
-@query(f"""WITH {Q.DAYS}, l AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS acc FROM lineitem WHERE l_linenumber <= 2),
+@query(f"""WITH {Q.DAYS}, l AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS acc FROM lineitem),
 o AS (SELECT *, unnest(CASE WHEN l_partkey % 2 = 0 THEN [l_partkey % 50, l_partkey % 50 + 100] ELSE [l_partkey % 50] END) AS own FROM l)
 SELECT {Q.TICKER.format("l_suppkey")} AS ticker, (SELECT min(close_ts) FROM dcal WHERE session > CAST(l_shipdate AS DATE)) AS available_at, 'P' AS transaction_code, l_quantity AS shares, l_extendedprice AS price, CAST(own AS VARCHAR) AS insider_id,
 CASE WHEN l_linestatus = 'O' THEN true END AS is_10b5_1, acc || ':1' AS transaction_id, acc AS accession_number FROM o WHERE l_returnflag = 'A'""")
@@ -165,19 +166,27 @@ def a12_snapshot_round_trip(spark, sf_dir):
 # B: scalar expressions
 
 
+@query(f"WITH {Q.BARS} SELECT b.ticker, b.dt, idx, close, close AS raw_close FROM bars b JOIN cal ON cal.dt = b.dt")
+def b02_default_raw_close(spark, sf_dir):
+    return FE.with_index(bars(spark, sf_dir).drop("raw_close")).select("ticker", "dt", "idx", "close", "raw_close")
+
+
 @query(f"""WITH {Q.BARS}, a AS (SELECT ticker, dt, open * (close / raw_close) AS o, high * (close / raw_close) AS h, low * (close / raw_close) AS l, close, raw_close * volume AS dv, lag(close) OVER (PARTITION BY ticker ORDER BY dt) AS p FROM bars)
 SELECT ticker, dt, o AS adjusted_open, h AS adjusted_high, l AS adjusted_low, round(ln(1 + dv), 6) + 0.0 AS log_dollar_volume, round(ln(close / p), 6) + 0.0 AS log_return,
 round(greatest(h - l, abs(h - p), abs(l - p)) / p, 6) + 0.0 AS true_range, round(CASE WHEN abs(h - l) > 1e-12 THEN (close - l) / (h - l) ELSE 0.5 END, 6) + 0.0 AS close_location FROM a WHERE p IS NOT NULL""")
 def b03_adjusted_prices(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    f = F.col("close") / F.col("raw_close")
-    p = F.lag("close").over(Window.partitionBy("ticker").orderBy("dt"))
-    b = b.select("ticker", "dt", (F.col("open") * f).alias("o"), (F.col("high") * f).alias("h"), (F.col("low") * f).alias("l"), "close", (F.col("raw_close") * F.col("volume")).alias("dv"), p.alias("p")).filter("p IS NOT NULL")
-    h, lo = F.col("h"), F.col("l")
-    return b.select(
-        "ticker", "dt", F.col("o").alias("adjusted_open"), h.alias("adjusted_high"), lo.alias("adjusted_low"), r6(F.log1p("dv")).alias("log_dollar_volume"), r6(F.log(F.col("close") / F.col("p"))).alias("log_return"),
-        r6(F.greatest(h - lo, F.abs(h - F.col("p")), F.abs(lo - F.col("p"))) / F.col("p")).alias("true_range"), r6(F.when(F.abs(h - lo) > 1e-12, (F.col("close") - lo) / (h - lo)).otherwise(0.5)).alias("close_location"),
-    )
+    b = FE.session_moves(FE.with_index(bars(spark, sf_dir))).filter("_r IS NOT NULL")
+    names = {"_open": "adjusted_open", "_high": "adjusted_high", "_low": "adjusted_low"}
+    measures = {"log_dollar_volume": F.log1p("_dv"), "log_return": F.col("_r"), "true_range": F.col("_tr"), "close_location": F.col("_location")}
+    return b.select("ticker", "dt", *[F.col(a).alias(n) for a, n in names.items()], *[r6(c).alias(n) for n, c in measures.items()])
+
+
+@query(f"WITH {Q.CANDIDATES}, x AS (SELECT ticker, dt, round(return_5d, 2) AS v FROM cand) SELECT ticker, dt, round(CASE WHEN count(*) OVER (PARTITION BY dt) > 1 THEN 2 * ({Q.average_rank('v', 'dt')} - 1) / (count(*) OVER (PARTITION BY dt) - 1) - 1 ELSE 0 END, 6) + 0.0 AS xrank_v FROM x")
+def b10_rounded_before_ranks(spark, sf_dir):
+    """Values that differ below the twelfth place only are ties."""
+    c = R.candidates(FE.base_features(bars(spark, sf_dir), FIXTURE), FIXTURE)
+    noise = (F.xxhash64("ticker") % 7) * F.lit(1e-15)
+    return FE.cross_sectional_ranks(c.withColumn("v", F.round("return_5d", 2) + noise), ["v"]).select("ticker", "dt", r6(F.col("xrank_v")).alias("xrank_v"))
 
 
 @query("""SELECT o_orderkey, 'O-' || (o_custkey % 7) AS ticker, upper(form) AS form, replace(upper(form), '/A', '') AS base_form, ends_with(form, '/A') AS amended, items FROM
@@ -189,7 +198,7 @@ def b11_normalised_names(spark, sf_dir):
     return o.select("o_orderkey", S.ticker(F.concat(F.lit(" o."), (F.col("o_custkey") % 7).cast("string"))).alias("ticker"), S.form(form).alias("form"), S.base_form(form).alias("base_form"), S.is_amendment(form).alias("amended"), F.array_join(S.items(F.concat(T._dealt(T.ITEMS, F.col("o_orderkey")), F.lit(" "), T._dealt(T.ITEMS, F.col("o_orderkey")))), "|").alias("items"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE NULL END AS flag, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(o_orderkey * 1000 AS DOUBLE) END AS number,
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE NULL END AS flag, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(o_orderkey * 1000 AS DOUBLE) END AS number, o_orderkey % 4 = 3 AS bad_flag, o_orderkey % 3 = 2 AS bad_number,
 CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 HOUR END AS instant FROM orders""")
 def b14_parsed_values(spark, sf_dir):
     o = T.read(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
@@ -199,7 +208,7 @@ def b14_parsed_values(spark, sf_dir):
     shapes = [F.date_format("d", f) for f in ("yyyy-MM-dd", "yyyyMMdd", "MM/dd/yyyy", "dd-MMM-yyyy", "MMMM d, yyyy")]
     text = F.element_at(F.array(shapes[0], shapes[1], shapes[2], F.upper(shapes[3]), shapes[4]), (k % 5 + 1).cast("int"))
     at = F.when(k % 2 == 0, F.concat(shapes[0], F.lit("T00:00:00-02:00"))).otherwise(F.concat(shapes[0], F.lit("T00:00:00")))
-    return o.select("o_orderkey", S.flag(flag).alias("flag"), S.number(number).alias("number"), S.date(text).alias("d"), S.instant(at).alias("instant"))
+    return o.select("o_orderkey", S.flag(flag).alias("flag"), S.number(number).alias("number"), S.bad_flag(flag).alias("bad_flag"), S.bad_number(number).alias("bad_number"), S.date(text).alias("d"), S.instant(at).alias("instant"))
 
 
 @query("""WITH n AS (SELECT p_partkey, p_name || ['', ' Common Stock', ' - Units', ' 5% Preferred Stock', ' Warrants', ' Rights', ' American Depositary Shares', ' Ordinary Shares'][CAST(p_partkey % 8 + 1 AS BIGINT)] AS name, p_partkey % 8 AS k FROM part)
@@ -222,10 +231,26 @@ def b18_html_text(spark, sf_dir):
     return T.read(spark, sf_dir, "pages").select("page_id", S.html_text(F.col("html")).alias("text"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?is)\bthe\b') OR regexp_matches(text, '(?is)\blicen') AS positive, regexp_matches(text, '(?is)\band\b.{0,40}\bof\b') AS completed FROM documents""")
+#: Sentences that documents are given by their keys: of each family, of none, and with line ends inside.
+_SAID = (
+    "Nothing is said here.", "The company will be acquired by Example Corp.", "Parent and its subsidiary\nwould acquire the company.", "Merger Subsidiary shall merge with and into the company.", "Each outstanding share is converted into the right to receive cash.",
+    "They mutually agreed to terminate the planned\nmerger.", "The tender offer has been withdrawn.", "Termination of the proposed transaction.", "The parties completed the merger.", "The merger became effective.",
+    "The tender offer then expired and shares were accepted for payment.", "The company became a supplier; a merger was considered.", "The company would become a direct or indirect wholly-owned subsidiary.",
+)
+
+
+def _any(text: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '(?is){p}')" for p in patterns) + ")"
+
+
+_SAID_SQL = "coalesce(text, '') || chr(10) || [" + ", ".join("'" + s.replace("\n", "' || chr(10) || '") + "'" for s in _SAID) + f"][CAST(doc_id % {len(_SAID)} + 1 AS BIGINT)]"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_SAID_SQL} AS x FROM documents) SELECT doc_id, {_any('x', X.POSITIVE)} AS positive, {_any('x', X.COMPLETION)} AS completed, {_any('x', X.TERMINATION)} AS terminated FROM t")
 def b19_text_events(spark, sf_dir):
-    t = F.col("text")
-    return T.read(spark, sf_dir, "documents").select("doc_id", S.any_pattern(t, (r"\bthe\b", r"\blicen")).alias("positive"), S.any_pattern(t, (r"\band\b.{0,40}\bof\b",)).alias("completed"))
+    d = T.read(spark, sf_dir, "documents")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), T._dealt(_SAID, F.col("doc_id")))
+    return X.with_events(d.select("doc_id", said.alias("text"))).select("doc_id", "positive", "completed", "terminated")
 
 
 @query("SELECT s_suppkey, sha256('{\"s_name\":\"' || s_name || '\",\"s_suppkey\":' || s_suppkey || '}') AS digest FROM supplier")
@@ -258,6 +283,17 @@ def c05_benchmark_reason(spark, sf_dir):
     return R.benchmark_reason(FE.base_features(bars(spark, sf_dir), FIXTURE), FIXTURE)
 
 
+@query(f"WITH {Q.BARS} SELECT ticker, dt, close FROM bars WHERE ticker = 'SPY'")
+def c06_required_benchmark(spark, sf_dir):
+    return P.require_benchmark(bars(spark, sf_dir)).filter("ticker = 'SPY'").select("ticker", "dt", "close")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def c13_checked_join(spark, sf_dir):
+    o = T.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return P.join_checked(o, T.read(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], validate="m:1")
+
+
 @query(f"""WITH {Q.BARS}, b AS (SELECT c.dt, idx, x.dt IS NOT NULL AS there FROM cal c LEFT JOIN bars x ON x.dt = c.dt AND x.ticker = 'S000003')
 SELECT dt AS session, CASE WHEN NOT there THEN 'spy_missing_on_decision_date' WHEN count(CASE WHEN there THEN 1 END) OVER (ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) < 60 THEN 'spy_history_incomplete' END AS problem FROM b""")
 def c07_history_problems(spark, sf_dir):
@@ -322,7 +358,7 @@ def d10_window_coverage(spark, sf_dir):
 def d16_observations_by_session(spark, sf_dir):
     b = bars(spark, sf_dir)
     days = b.filter("volume > 1000").groupBy(F.col("dt").alias("session")).agg(F.count("*").alias("n"))
-    return C.indexed(b, "dt").join(days, "session", "left").select("session", "idx", F.coalesce("n", F.lit(0)).alias("observations"))
+    return C.by_session(C.indexed(b, "dt"), days.withColumnRenamed("n", "observations"), "observations")
 
 
 @query("SELECT 'P' || p_partkey AS symbol, p_name AS security_name FROM part WHERE p_partkey % 3 = 1")
@@ -459,10 +495,10 @@ def e22_evidence(spark, sf_dir):
     return E.evidence(m, E.daily_rankings(m, FIXTURE), FIXTURE)
 
 
-@query("SELECT s_nationkey AS nation, CAST(list_sort(list(s_suppkey)) AS VARCHAR) AS suppliers FROM supplier GROUP BY 1")
+@query("WITH k AS (SELECT s_nationkey AS nation, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS part FROM supplier) SELECT nation, part, array_to_string(list_sort(list(s_suppkey)), ',') AS suppliers FROM k GROUP BY 1, 2")
 def e23_inverted_keys(spark, sf_dir):
-    s = T.read(spark, sf_dir, "supplier")
-    return s.groupBy(F.col("s_nationkey").alias("nation")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("s_suppkey")), ", "), F.lit("]")).alias("suppliers"))
+    s = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"))
+    return P.inverted(s, "supplier", "nation", 3).select("nation", "part", F.array_join("suppliers", ",").alias("suppliers"))
 
 
 # F: windows
@@ -562,6 +598,19 @@ def f35_matured_labels(spark, sf_dir):
     return rounded(_matured(spark, sf_dir), *_OUT).select("ticker", "decision_date", *_OUT, "is_explosion", "is_severe_downside", "is_catastrophic_loss", "is_adverse_path", "ranking_relevance")
 
 
+_POOLS = f"""{Q.MATURED}, u AS (SELECT 'rank-v6' AS s, ticker, decision_date, forward_return, max_adverse_return FROM outc UNION ALL SELECT 'narrow', ticker, decision_date, forward_return, max_adverse_return FROM outc WHERE rank <= 25 AND forward_return IS NOT NULL),
+pt AS (SELECT s, decision_date, greatest(forward_return, 0.15) AS t FROM (SELECT *, row_number() OVER (PARTITION BY s, decision_date ORDER BY forward_return, ticker) AS k, count(*) OVER (PARTITION BY s, decision_date) AS n, count(forward_return) OVER (PARTITION BY s, decision_date) AS m FROM u) WHERE n = m AND k = ceil(n * CAST(0.95 AS DOUBLE)))"""
+
+
+@query(f"WITH {_POOLS} SELECT u.s AS strategy_version, u.ticker, u.decision_date, round(t, 6) + 0.0 AS hit_threshold, CASE WHEN t IS NOT NULL THEN forward_return >= t END AS is_explosion, max_adverse_return <= -0.15 AS is_adverse_path FROM u LEFT JOIN pt ON pt.s = u.s AND pt.decision_date = u.decision_date")
+def f36_pools_of_two_strategies(spark, sf_dir):
+    """A strategy's pool is whole or not by itself: one of the leaders with outcomes stands beside one of all candidates."""
+    b = FE.with_index(bars(spark, sf_dir))
+    every = FX.stored(L.with_outcomes(R.rank_dates(b, FIXTURE), L.forward_labels(b, FIXTURE)).withColumn("strategy_version", F.lit(FIXTURE.strategy)), "outcomes")
+    narrow = every.filter("rank <= 25 AND forward_return IS NOT NULL").withColumn("strategy_version", F.lit("narrow"))
+    return rounded(L.mature(every.unionByName(narrow), FIXTURE), "hit_threshold").select("strategy_version", "ticker", "decision_date", "hit_threshold", "is_explosion", "is_adverse_path")
+
+
 _STREAK = """days AS (SELECT event_type, CAST(ts AS DATE) AS d, avg(value) > (SELECT avg(value) FROM events) AS passed FROM events GROUP BY 1, 2), sess AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS idx FROM (SELECT DISTINCT d FROM days) WHERE day(d) % 5 <> 0),
 j AS (SELECT days.*, idx FROM days LEFT JOIN sess ON sess.d = days.d), n AS (SELECT *, CASE WHEN passed AND idx IS NOT NULL AND idx = lag(idx) OVER w + 1 THEN 0 ELSE 1 END AS new FROM j WINDOW w AS (PARTITION BY event_type ORDER BY d)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY d) AS run FROM n)"""
@@ -592,14 +641,43 @@ def h02_relaxed_union(spark, sf_dir):
     return P.union_all(a, b, relaxed=True)
 
 
-@query("SELECT c_custkey AS key, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("WITH a AS (SELECT DISTINCT c_custkey * 2 AS key FROM customer), b AS (SELECT DISTINCT o_custkey * 3 AS key FROM orders) SELECT key, 'left' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'right' FROM b WHERE key NOT IN (SELECT key FROM a)")
 def h03_key_difference(spark, sf_dir):
-    return P.key_difference(T.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), T.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+    """Customers' keys doubled against orders' customers trebled: keys of either side alone, and of both."""
+    return P.key_difference(T.read(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("key")), T.read(spark, sf_dir, "orders").select((F.col("o_custkey") * 3).alias("key")), ["key"])
 
 
 # I: calendars
 
 
+@query(f"WITH {Q.DAYS} SELECT session, idx, close_ts FROM dcal WHERE session BETWEEN (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) AND (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)")
+def i01_sessions_between(spark, sf_dir):
+    lo, hi = T.read(spark, sf_dir, "orders").agg(*[f(F.col("o_orderdate").cast("date")).cast("string") for f in (F.min, F.max)]).first()
+    return C.sessions_between(T.daily_calendar(spark), lo, hi)
+
+
+@query(f"WITH {Q.DAYS}, {Q.BARS.strip()}, s AS (SELECT session FROM days WHERE session BETWEEN (SELECT min(dt) FROM bars) AND (SELECT max(dt) FROM bars)) SELECT session, row_number() OVER (ORDER BY session) - 1 AS idx FROM s")
+def i02_sessions_of_a_panel(spark, sf_dir):
+    return C.spanning(T.daily_calendar(spark), bars(spark, sf_dir))
+
+
+@query(f"""WITH {Q.DAYS}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderdate FROM orders)
+SELECT o_orderkey, CASE WHEN s.session IS NOT NULL AND o_orderkey % 2 = 0 THEN s.close_ts ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 5 HOUR END AS cutoff FROM o LEFT JOIN dcal s ON s.session = o.d""")
+def i04_cutoffs(spark, sf_dir):
+    """Every other decision names a session, whose close it is; the rest an instant with its offset."""
+    cal = T.daily_calendar(spark)
+    o = T.read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    day = F.when((F.col("o_orderkey") % 2 == 0) & (F.dayofweek(F.col("day").cast("date")).between(2, 6)), F.col("day"))
+    o = o.select("o_orderkey", F.coalesce(day, F.concat("day", F.lit("T00:00:00-05:00"))).alias("at"))
+    return C.cutoffs(o, cal, "at", F.lit("2010-01-01").cast("timestamp")).select("o_orderkey", "cutoff")
+
+
+@query(f"WITH {Q.DAYS} SELECT max(session) AS session FROM dcal WHERE close_ts <= (SELECT CAST(max(o_orderdate) AS TIMESTAMP) + INTERVAL 20 HOUR FROM orders)")
+def i05_latest_completed(spark, sf_dir):
+    last = T.read(spark, sf_dir, "orders").agg(F.max("o_orderdate").cast("timestamp").cast("string")).first()[0]
+    return C.latest_completed(T.daily_calendar(spark), F.lit(last).cast("timestamp") + F.expr("INTERVAL 20 HOURS"))
+
+
 @query(f"WITH {Q.DAYS} SELECT o_orderkey, (SELECT max(session) FROM dcal WHERE close_ts <= CAST(o_orderdate AS TIMESTAMP) + INTERVAL 20 HOUR) AS session, d2.session AS result_date FROM orders LEFT JOIN dcal d ON d.session = CAST(o_orderdate AS DATE) LEFT JOIN dcal d2 ON d2.idx = d.idx + 14")
 def i03_sessions_of_orders(spark, sf_dir):
     cal = T.daily_calendar(spark)
@@ -680,12 +758,60 @@ def j11_candidate_documents(spark, sf_dir):
     return X.candidate_documents(hits, f, F.lit("1998-06-30 18:00:00").cast("timestamp")).select("accession_number", F.size("documents").alias("documents"))
 
 
-@query(f"""WITH {_SHORT}, t AS (SELECT d.ticker, d.decision_date, si, round(CASE WHEN psi > 0 AND NOT (sp OR psp) THEN greatest(-1, least(5, si / psi - 1)) END, 6) AS dl, CASE WHEN p.si IS NULL THEN 0 ELSE 1 END AS here FROM dec d LEFT JOIN pair p ON p.ticker = d.ticker AND p.decision_date = d.decision_date),
+_ALT = f"""{_INS}{Q.FILINGS}, {_COVER}, {_SHORT[len(Q.DECISIONS) + 2 :]}, fh AS (SELECT d.ticker, d.decision_date, f.form, replace(f.form, '/A', '') AS base FROM dec d JOIN file f ON f.ticker = d.ticker AND f.idx BETWEEN d.d_idx - 59 AND d.d_idx AND f.at <= d.cutoff),
+fa AS (SELECT ticker, decision_date, count(CASE WHEN base IN ('8-K', '6-K') THEN 1 END) AS c, max(CASE WHEN base IN ('S-3', '424B5') THEN 1 ELSE 0 END) AS o, max(CASE WHEN base = 'NT 10-Q' THEN 1 ELSE 0 END) AS l, max(CASE WHEN form = 'SC 13D' THEN 1 ELSE 0 END) AS d13 FROM fh GROUP BY 1, 2),
+x0 AS (SELECT cs.ticker, cs.decision_date, cs.n = 60 AS whole, coalesce(fa.c, 0) AS c, coalesce(fa.o, 0) AS o, coalesce(fa.l, 0) AS l, coalesce(fa.d13, 0) AS d13, coalesce(u.a, 0) AS a, coalesce(u.np, 0) AS np, coalesce(w.n, 0) AS who, p.si, round(CASE WHEN psi > 0 AND NOT (sp OR psp) THEN si / psi - 1 END, 9) AS dl, p.d_idx - p.s_idx AS age
+  FROM cs LEFT JOIN fa ON fa.ticker = cs.ticker AND fa.decision_date = cs.decision_date LEFT JOIN usd u ON u.ticker = cs.ticker AND u.decision_date = cs.decision_date LEFT JOIN own2 w ON w.ticker = cs.ticker AND w.decision_date = cs.decision_date LEFT JOIN pair p ON p.ticker = cs.ticker AND p.decision_date = cs.decision_date),
+x1 AS (SELECT ticker, decision_date, CAST(CAST(whole AS INT) AS DOUBLE) AS full_, CASE WHEN whole THEN ln(1 + least(20, c)) END AS alt_current_report_count, CASE WHEN whole THEN CAST(o AS DOUBLE) END AS alt_offering_risk, CASE WHEN whole THEN CAST(l AS DOUBLE) END AS alt_late_filing_risk, CASE WHEN whole THEN CAST(d13 AS DOUBLE) END AS alt_new_13d,
+  CASE WHEN whole THEN round(ln(1 + round(a, 2)), 9) END AS alt_form4_buy_log, CASE WHEN whole THEN ln(1 + np) END AS alt_form4_non_plan_buy_log, CASE WHEN whole THEN least(5, who) / CAST(5 AS DOUBLE) END AS alt_distinct_insider_buyers, CASE WHEN whole THEN CAST(CAST(who >= 2 AS INT) AS DOUBLE) END AS alt_cluster_buy,
+  CASE WHEN si IS NULL THEN CAST(0 AS DOUBLE) ELSE 1 END AS alt_short_interest_coverage, ln(1 + si) AS alt_short_interest_log, CASE WHEN dl IS NOT NULL THEN greatest(-1, least(5, dl)) END AS alt_short_interest_delta, CASE WHEN age IS NOT NULL THEN least(60, age) / CAST(60 AS DOUBLE) END AS alt_short_interest_age FROM x0)"""
+
+
+def _observed(c: str) -> str:
+    n = f"count({c}) OVER (PARTITION BY decision_date)"
+    rank = f"(rank() OVER (PARTITION BY decision_date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY decision_date, {c}) - 1) / CAST(2 AS DOUBLE))"
+    return f"CASE WHEN {c} IS NULL OR {n} <= 1 THEN 0 ELSE 2 * ({rank} - 1) / ({n} - 1) - 1 END"
+
+
+_ALT_PLAIN = ("alt_current_report_count", "alt_offering_risk", "alt_late_filing_risk", "alt_new_13d", "alt_form4_buy_log", "alt_form4_non_plan_buy_log", "alt_distinct_insider_buyers", "alt_cluster_buy", "alt_short_interest_coverage", "alt_short_interest_log", "alt_short_interest_delta", "alt_short_interest_age")
+_ALT_FLAGS = ("alt_sec_coverage", "alt_filing_coverage", "alt_insider_coverage")
+_ALT_RANKED = {"alt_xrank_form4_buy": "alt_form4_buy_log", "alt_xrank_short_interest": "alt_short_interest_log", "alt_xrank_short_interest_delta": "alt_short_interest_delta"}
+_ALT_ROWS = f"""{_ALT}, alt AS (SELECT ticker, decision_date, {", ".join(f"full_ AS {c}" for c in _ALT_FLAGS)}, {", ".join(_ALT_PLAIN)}, CAST(NULL AS DOUBLE) AS alt_days_to_cover_log, {", ".join(f"{_observed(c)} AS {n}" for n, c in _ALT_RANKED.items())}, CAST(0 AS DOUBLE) AS alt_xrank_days_to_cover FROM x1)"""
+_ALT_NAMES = (*_ALT_FLAGS, *_ALT_PLAIN, "alt_days_to_cover_log", *_ALT_RANKED, "alt_xrank_days_to_cover")
+
+
+def _external(spark, sf_dir):
+    """The features that the model reads, with dollars and changes rounded so that ties are ties in either engine."""
+    x = FX.external(spark, sf_dir).withColumn("short_interest_delta", F.round("short_interest_delta", 9)).withColumn("form4_open_market_buy_usd", F.round("form4_open_market_buy_usd", 2))
+    return B.alternative_features(x)
+
+
+@query(f"WITH {_ALT_ROWS} SELECT ticker, decision_date, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in _ALT_NAMES)} FROM alt")
+def j12_alternative_features(spark, sf_dir):
+    return _external(spark, sf_dir).select("ticker", "decision_date", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in _ALT_NAMES])
+
+
+@query(f"WITH {_ALT_ROWS}, own AS (SELECT * FROM alt WHERE CAST(substr(ticker, 2) AS INT) % 2 = 0) SELECT d.ticker, d.decision_date, {', '.join(f'round(CAST(CAST(coalesce({c}, 0) AS REAL) AS DOUBLE), 4) + 0.0 AS {c}' for c in _ALT_NAMES)} FROM dec d LEFT JOIN own ON own.ticker = d.ticker AND own.decision_date = d.decision_date")
+def d13_enriched_panel(spark, sf_dir):
+    """External features are there for every other ticker; the rest of the panel gets neutral zeros."""
+    some = FX.stored(_external(spark, sf_dir).filter("cast(substring(ticker, 2) AS int) % 2 = 0"), "external")
+    out = B.enrich(T.decisions(spark, sf_dir), some, "driver tables")
+    return out.select("ticker", "decision_date", *[(F.round(F.col(c).cast("double"), 4) + F.lit(0.0)).alias(c) for c in _ALT_NAMES])
+
+
+@query(f"WITH {_ALT_ROWS} SELECT {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in ('alt_filing_coverage', 'alt_insider_coverage', 'alt_short_interest_coverage'))} FROM alt WHERE year(decision_date) >= 2000")
+def e21_locked_coverage(spark, sf_dir):
+    tested = T.decisions(spark, sf_dir).filter(F.year("decision_date") >= 2000).select("decision_date", F.lit("test").alias("role"), F.lit(1).alias("fold"))
+    out = K.locked_coverage(_external(spark, sf_dir), tested)
+    return rounded(out, *out.columns)
+
+
+@query(f"""WITH {_SHORT}, t AS (SELECT d.ticker, d.decision_date, si, round(CASE WHEN psi > 0 AND NOT (sp OR psp) THEN greatest(-1, least(5, si / psi - 1)) END, 9) AS dl, CASE WHEN p.si IS NULL THEN 0 ELSE 1 END AS here FROM dec d LEFT JOIN pair p ON p.ticker = d.ticker AND p.decision_date = d.decision_date),
 n AS (SELECT *, count(dl) OVER (PARTITION BY decision_date) AS n, rank() OVER (PARTITION BY decision_date ORDER BY dl NULLS LAST) + (count(*) OVER (PARTITION BY decision_date, dl) - 1) / CAST(2 AS DOUBLE) AS r FROM t)
 SELECT ticker, decision_date, CAST(here AS DOUBLE) AS alt_short_interest_coverage, round(ln(1 + si), 6) + 0.0 AS alt_short_interest_log, round(CASE WHEN dl IS NULL OR n <= 1 THEN 0 ELSE 2 * (r - 1) / (n - 1) - 1 END, 6) + 0.0 AS alt_xrank_short_interest_delta FROM n""")
-def j12_alternative_features(spark, sf_dir):
-    out = B.alternative_features(FX.external(spark, sf_dir).withColumn("short_interest_delta", F.round("short_interest_delta", 6)))
-    return rounded(out, "alt_short_interest_log", "alt_xrank_short_interest_delta").select("ticker", "decision_date", "alt_short_interest_coverage", "alt_short_interest_log", "alt_xrank_short_interest_delta")
+def f31_observed_ranks(spark, sf_dir):
+    out = rounded(_external(spark, sf_dir), "alt_short_interest_log", "alt_xrank_short_interest_delta")
+    return out.select("ticker", "decision_date", "alt_short_interest_coverage", "alt_short_interest_log", "alt_xrank_short_interest_delta")
 
 
 @query(f"""WITH {Q.MATURED}, {_DAILY}, dd AS (SELECT c.dt AS decision_date, c.idx, c2.dt AS result_date FROM cal c JOIN cal c2 ON c2.idx = c.idx + 14), last30 AS (SELECT * FROM dd ORDER BY idx DESC LIMIT 30), pl AS (SELECT decision_date, count(*) AS n, count(forward_return) AS m, count(DISTINCT CASE WHEN rank <= 10 AND forward_return IS NOT NULL THEN rank END) AS t FROM mat GROUP BY 1),
@@ -755,6 +881,13 @@ dl AS (SELECT *, precision_at_10 >= 0.1 AND precision_at_10 > base_explosion_rat
 _D = ("precision_at_10", "base_explosion_rate", "downside_at_10", "catastrophic_loss_at_10", "basket_return")
 
 
+@query(f"WITH {_FOLDS}, {_TWO} SELECT decision_date, ticker, round(s, 6) + 0.0 AS s, ex = 1 AS is_explosion FROM rk WHERE strategy = 'rank-v6' AND decision_date IN (SELECT decision_date FROM fr WHERE fold = 1 AND role = 'validation')")
+def c15_rows_of_a_fold(spark, sf_dir):
+    cells = _two(spark, sf_dir).filter(F.col("strategy") == K.INCUMBENT)
+    rows = K.rows_of(cells, K.folds(_quality(spark, sf_dir), FIXTURE_RESEARCH), 1, "validation")
+    return rows.select("decision_date", "ticker", r6(F.col("s").cast("double")).alias("s"), "is_explosion")
+
+
 @query(f"WITH {_TWO} SELECT strategy, decision_date, {S6(*_D)}, hits_at_10, spy_return_20d, passed FROM dl")
 def e09_daily_scores(spark, sf_dir):
     return rounded(E.daily_scores(_two(spark, sf_dir), "s", FIXTURE), *_D)
@@ -775,7 +908,7 @@ def _pairs(spark, sf_dir):
 
 
 _BOOT = f"""{_TWO}, pr AS (SELECT a.decision_date, a.spy_return_20d, a.precision_at_10 - b.precision_at_10 AS dp, a.downside_at_10 - b.downside_at_10 AS dd, a.catastrophic_loss_at_10 - b.catastrophic_loss_at_10 AS dc, a.basket_return AS ca, b.basket_return AS ib, row_number() OVER (ORDER BY a.decision_date) - 1 AS pos, count(*) OVER () AS n FROM dl a JOIN dl b ON b.decision_date = a.decision_date AND b.strategy = 'rank-v6' WHERE a.strategy = 'challenger'),
-dr AS (SELECT rep, ((rep * 1103515245 + (z // 3) * 12345 + 20260723) % 2147483647) % ((SELECT max(n) FROM pr) - 3 + 1) + z % 3 AS pos FROM range(200) t(rep), range((SELECT max(n) FROM pr)) u(z)), sp AS (SELECT rep, pr.* FROM dr JOIN pr ON pr.pos = dr.pos)"""
+dr AS (SELECT rep, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || CAST(z // 3 AS VARCHAR) || ':20260723'), 1, 13) AS BIGINT) % ((SELECT max(n) FROM pr) - 3 + 1) + z % 3 AS pos FROM range(10000) t(rep), range((SELECT max(n) FROM pr)) u(z)), sp AS (SELECT rep, pr.* FROM dr JOIN pr ON pr.pos = dr.pos)"""
 
 
 @query(f"WITH {_BOOT}, m AS (SELECT rep, avg(dp) AS v FROM sp GROUP BY rep) SELECT round((SELECT avg(dp) FROM pr), 6) + 0.0 AS estimate, (SELECT count(*) FROM pr) AS paired_dates, round(quantile_cont(v, 0.025), 6) + 0.0 AS lower_95, round(quantile_cont(v, 0.975), 6) + 0.0 AS upper_95, round(avg(CASE WHEN v > 1e-12 THEN 1 ELSE 0 END), 6) + 0.0 AS probability_positive FROM m")
@@ -817,7 +950,7 @@ CASE WHEN i.downside_at_10 - c.downside_at_10 < -1e-12 THEN 'downside_increased'
 CASE WHEN i.downside_at_10 - c.downside_at_10 + 1e-12 < 0.01 AND i.catastrophic_loss_at_10 - c.catastrophic_loss_at_10 + 1e-12 < 0.005 AND CASE WHEN i.expected_shortfall_10 < 0 THEN (c.expected_shortfall_10 - i.expected_shortfall_10) / abs(i.expected_shortfall_10) ELSE 0 END + 1e-12 < 0.05 THEN 'no_material_tail_improvement' END, CASE WHEN un.n > 0 THEN 'segments_declined' END], lambda x: x IS NOT NULL) AS r FROM c, i, lo, rc, un)
 SELECT len(r) = 0 AS passed, CASE WHEN len(r) = 0 THEN 'all_gates_passed' ELSE array_to_string(r, ',') END AS reasons FROM g""")
 def k11_promotion(spark, sf_dir):
-    daily = E.daily_scores(_two(spark, sf_dir), "s", FIXTURE).cache()
+    daily = FX.stored(E.daily_scores(_two(spark, sf_dir), "s", FIXTURE), "daily")
     p = K.paired(daily, "challenger")
     out = K.promotion(E.summarize(daily, FIXTURE), K.bootstrap(p, FIXTURE_RESEARCH), K.recent_uplift(p), K.stability(p, _blocks(p), FIXTURE), "challenger", 83, FIXTURE_RESEARCH)
     return out.select("passed", F.array_join("reasons", ",").alias("reasons"))
@@ -855,10 +988,17 @@ def k06_choose_lambda(spark, sf_dir):
     return rounded(K.choose_lambda(v, "s1", "s2", FIXTURE_RESEARCH, FIXTURE), *_SU).select("risk_lambda", "chosen", *_SU)
 
 
-@query()
+_PANEL = RESEARCH_SQL + Q.MATURED[len(Q.FEATURES) :].replace("elig AS (SELECT * FROM feat WHERE", "elig AS (SELECT * FROM rf WHERE")
+_RANKED = ("return_5d", "beta_40d", "return_20d", "amihud_20d")
+
+
+@query(f"""WITH {_PANEL}, xr AS (SELECT ticker, dt, {", ".join(f"round({c}, 12) AS {c}" for c in _RANKED)} FROM cand), xs AS (SELECT ticker, dt, {", ".join(f"CASE WHEN count(*) OVER (PARTITION BY dt) > 1 THEN 2 * ({Q.average_rank(c, 'dt')} - 1) / (count(*) OVER (PARTITION BY dt) - 1) - 1 ELSE 0 END AS xrank_{c}" for c in _RANKED)} FROM xr),
+qd AS (SELECT decision_date, count(*) AS n, count(forward_return) AS m FROM outc GROUP BY 1)
+SELECT m.ticker, m.decision_date, m.rank AS rank_v6, n AS universe_size, n >= 10 AND n = qd.m AS date_valid, is_explosion, CASE WHEN hit_threshold IS NULL THEN NULL WHEN is_explosion THEN 2 WHEN is_severe_downside THEN 0 ELSE 1 END AS ranking_relevance, {", ".join(f"round(xrank_{c}, 6) + 0.0 AS xrank_{c}" for c in _RANKED)}
+FROM mat m JOIN qd ON qd.decision_date = m.decision_date JOIN xs ON xs.ticker = m.ticker AND xs.dt = m.decision_date""")
 def j13_research_panel(spark, sf_dir):
     panel, _ = K.research_panel(bars(spark, sf_dir), FIXTURE)
-    return panel.select("ticker", "decision_date", "rank_v6", "universe_size", "date_valid", "is_explosion", "ranking_relevance", *[r6(F.col(c)).alias(c) for c in ("xrank_return_5d", "xrank_beta_40d")])
+    return panel.select("ticker", "decision_date", "rank_v6", "universe_size", "date_valid", "is_explosion", "ranking_relevance", *[r6(F.col(f"xrank_{c}")).alias(f"xrank_{c}") for c in _RANKED])
 
 
 @query()
@@ -882,7 +1022,7 @@ def e01_date_bounds(spark, sf_dir):
 
 @query(f"WITH {Q.RANKING} SELECT decision_date, count(*) AS rows FROM rnk GROUP BY 1")
 def e17_group_sizes(spark, sf_dir):
-    return R.rank_dates(bars(spark, sf_dir), FIXTURE).groupBy("decision_date").agg(F.count("*").alias("rows"))
+    return K.group_sizes(R.rank_dates(bars(spark, sf_dir), FIXTURE))
 
 
 @query(f"WITH {Q.RANKING}, k AS (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY round(score, 6) DESC, ticker) AS k FROM rnk) SELECT ticker, decision_date, rank FROM k WHERE k <= 5")
@@ -953,7 +1093,7 @@ def k07_walk_forward(spark, sf_dir):
 # L: streams
 
 
-@query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume FROM bars WHERE dt >= DATE '1997-01-01' AND dt < DATE '1997-07-01'")
+@query(f"WITH {Q.BARS} SELECT ticker, dt, open, high, low, close, raw_close, volume FROM bars")
 def l01_streamed_upsert(spark, sf_dir):
     return FX.streamed(spark, sf_dir)
 
@@ -961,3 +1101,10 @@ def l01_streamed_upsert(spark, sf_dir):
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def l02_streamed_counts(spark, sf_dir):
     return FX.streamed_counts(spark, sf_dir).withColumn("total", F.round("total", 4) + F.lit(0.0))
+
+
+@query("""WITH f AS (SELECT user_id, event_id, value, ts AS available_at FROM events UNION ALL SELECT user_id, event_id, value + 1, ts + INTERVAL 2 DAY FROM events WHERE event_id % 5 = 0)
+SELECT event_id, user_id, value, available_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY available_at DESC) AS k FROM f WHERE available_at <= TIMESTAMP '2024-01-10 00:00:00') WHERE k = 1""")
+def l03_late_facts(spark, sf_dir):
+    """Facts and, two days later, corrections of every fifth one: each stands from its own availability on."""
+    return FX.late_facts(spark, sf_dir)

@@ -73,7 +73,7 @@ thr AS (SELECT decision_date, greatest(forward_return, {C.hit_return}) AS hit_th
   count(*) OVER (PARTITION BY decision_date) AS n, count(forward_return) OVER (PARTITION BY decision_date) AS m FROM outc) WHERE n = m AND k = ceil(n * CAST({C.hit_quantile} AS DOUBLE))),
 mat AS (SELECT o.*, hit_threshold, CASE WHEN hit_threshold IS NOT NULL THEN forward_return >= hit_threshold END AS is_explosion,
   CASE WHEN hit_threshold IS NOT NULL THEN forward_return <= {C.severe_return} END AS is_severe_downside, CASE WHEN hit_threshold IS NOT NULL THEN forward_return <= {C.catastrophic_return} END AS is_catastrophic_loss,
-  CASE WHEN hit_threshold IS NOT NULL THEN max_adverse_return <= {C.adverse_return} END AS is_adverse_path FROM outc o LEFT JOIN thr t ON t.decision_date = o.decision_date)"""
+  max_adverse_return <= {C.adverse_return} AS is_adverse_path FROM outc o LEFT JOIN thr t ON t.decision_date = o.decision_date)"""
 )
 
 DAYS = """

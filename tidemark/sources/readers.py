@@ -57,8 +57,17 @@ def symbol_directories(spark: SparkSession, listed: str, other: str, available_a
     return out
 
 
-def short_interest_file(spark: SparkSession, path: str, calendar: DataFrame, publications: DataFrame, observed_at: Column | None = None) -> DataFrame:
-    """Short interest under any known header names, delimiter and date format.
+def refuse(rows: DataFrame, bad: dict[str, Column], what: str) -> None:
+    """An error that names what is bad and in how many rows; one aggregation."""
+    counts = rows.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in bad.items()]).first().asDict()
+    found = {n: k for n, k in counts.items() if k}
+    if found:
+        raise ValueError(f"{what} holds malformed values: {found}")
+
+
+def short_interest_file(spark: SparkSession, path: str, calendar: DataFrame, publications: DataFrame, observed_at: Column | None = None, strict: bool = True) -> DataFrame:
+    """Short interest under any known header names, delimiter and date format. Malformed symbols, dates, numbers and flags are errors;
+    with ``strict=False`` they are null.
 
     A position is available at the close of the session after its publication; a revised one not before its observation."""
     head = spark.read.text(path).first()[0]
@@ -66,6 +75,9 @@ def short_interest_file(spark: SparkSession, path: str, calendar: DataFrame, pub
     d = _csv(spark, path, sep)
     plain = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in d.columns}
     col = lambda n: next((F.col(f"`{plain[a]}`") for a in ALIASES[n] if a in plain), F.lit(None).cast("string"))
+    if strict:
+        bad = {"symbol": S.ticker(col("symbol")).isNull(), "settlement_date": S.date(col("settlement_date")).isNull(), "short_interest": S.bad_number(col("short_interest"), required=True)}
+        refuse(d, bad | {n: S.bad_flag(col(n)) for n in ("stock_split_flag", "revision_flag")}, "a short-interest file")
     rows = d.select(
         S.ticker(col("symbol")).alias("symbol"), S.date(col("settlement_date")).alias("settlement_date"), S.number(col("short_interest")).alias("short_interest"),
         S.flag(col("stock_split_flag")).alias("stock_split_flag"), S.flag(col("revision_flag")).alias("revision_flag"),
@@ -94,15 +106,24 @@ def index_last_received(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(S.date(F.trim(said)).alias("last_received")).filter("last_received IS NOT NULL").agg(F.max("last_received").alias("last_received"))
 
 
-def insider_archive(spark: SparkSession, submission: str, transactions: str, owners: str, tickers: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Open-market purchases from three tab-separated files, one row per transaction, owner and ticker."""
-    s = _csv(spark, submission, "\t").filter(F.col("DOCUMENT_TYPE") == "4").select("ACCESSION_NUMBER", S.date(F.col("FILING_DATE")).alias("filed"), F.col("ISSUERCIK").cast("long").alias("cik"), S.flag(F.col("AFF10B5ONE"), no=("N", "FALSE", "0")).alias("is_10b5_1"))
+def insider_archive(spark: SparkSession, submission: str, transactions: str, owners: str, tickers: DataFrame, calendar: DataFrame, strict: bool = True) -> DataFrame:
+    """Open-market purchases from three tab-separated files, one row per transaction, owner and ticker; the first in order of price where these
+    and the shares repeat. Malformed flags, dates and numbers are errors; with ``strict=False`` they are null."""
+    plan = ("Y", "TRUE", "1", "R", "S"), ("N", "FALSE", "0")
+    forms = _csv(spark, submission, "\t").filter(F.col("DOCUMENT_TYPE") == "4")
+    if strict:
+        refuse(forms, {"FILING_DATE": S.date(F.col("FILING_DATE")).isNull(), "AFF10B5ONE": S.bad_flag(F.col("AFF10B5ONE"), *plan)}, "a submission file")
+        buys = _csv(spark, transactions, "\t").filter("TRANS_CODE = 'P' AND TRANS_ACQUIRED_DISP_CD = 'A'")
+        refuse(buys, {c: S.bad_number(F.col(c)) for c in ("TRANS_SHARES", "TRANS_PRICEPERSHARE")}, "a transaction file")
+    s = forms.select("ACCESSION_NUMBER", S.date(F.col("FILING_DATE")).alias("filed"), F.col("ISSUERCIK").cast("long").alias("cik"), S.flag(F.col("AFF10B5ONE"), no=("N", "FALSE", "0")).alias("is_10b5_1"))
     t = _csv(spark, transactions, "\t").filter("TRANS_CODE = 'P' AND TRANS_ACQUIRED_DISP_CD = 'A'").select("ACCESSION_NUMBER", "NONDERIV_TRANS_SK", S.number(F.col("TRANS_SHARES")).alias("shares"), S.number(F.col("TRANS_PRICEPERSHARE")).alias("price"))
     o = _csv(spark, owners, "\t").select("ACCESSION_NUMBER", F.col("RPTOWNERCIK").alias("insider_id"))
     rows = t.filter("shares IS NOT NULL AND price IS NOT NULL").join(s, "ACCESSION_NUMBER").join(o, "ACCESSION_NUMBER").join(tickers.select("cik", "ticker"), "cik")
     out = next_session(rows, calendar, "filed", "_s").withColumnRenamed("_s_close", "available_at")
     out = out.select("ticker", "available_at", F.lit("P").alias("transaction_code"), "shares", "price", "insider_id", "is_10b5_1", F.concat_ws(":", "ACCESSION_NUMBER", "NONDERIV_TRANS_SK").alias("transaction_id"), F.col("ACCESSION_NUMBER").alias("accession_number"))
-    return out.dropDuplicates(["ticker", "accession_number", "transaction_id", "insider_id", "shares"])
+    keys = ["ticker", "accession_number", "transaction_id", "insider_id", "shares"]
+    rest = F.min(F.struct("price", *[c for c in out.columns if c not in (*keys, "price")])).alias("r")
+    return out.groupBy(*keys).agg(rest).select(*keys, "r.*").select(*out.columns)
 
 
 def ticker_map(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:

@@ -9,6 +9,10 @@ from ..operators.panel import checked_bars, keep_last
 from ..schemas import LEDGER, OHLCV, require_columns
 
 
+#: Up to so many rows a table's digests are gathered under one hexadecimal digit.
+DIGESTS_PER_BUCKET = 1 << 16
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -75,10 +79,20 @@ def record_or_restore(p: DataFrame, path: str) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, columns: list[str]) -> str:
-    """A digest of a table's content whatever its order: the rows' digests summed, with their number."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    r = rows.agg(F.count("*").alias("n"), F.sum(h).alias("s")).first()
-    return rows.sparkSession.range(1).select(F.sha2(F.lit(f"{r.n}:{r.s}"), 256)).first()[0]
+    """A digest of a table's content whatever its order: rows' digests, sorted and hashed together by bucket, then the buckets' digests.
+
+    Buckets hold some thousands of rows each, so no task gathers more than that."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    n = rows.count()
+    wide = 1 if n < DIGESTS_PER_BUCKET else 2 if n < DIGESTS_PER_BUCKET << 8 else 4
+    while True:
+        rows = rows.select(row.alias("d")).groupBy(F.substring("d", 1, wide).alias("b")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("d"))), 256).alias("d"))
+        if wide == 1:
+            break
+        row, wide = F.concat_ws(":", "b", "d"), wide // 2
+        row = F.sha2(row, 256)
+    last = rows.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "d"))), ",").alias("d"))
+    return last.select(F.sha2(F.concat_ws(":", F.lit(n), "d"), 256)).first()[0]
 
 
 def save_snapshot(rows: DataFrame, path: str, as_of: str, available_at: str) -> str:

@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.panel import keep_last, valid_bar
 from ..schemas import OHLCV
 from ..sources.tables import upsert_bars
 
 
 def stream_bars(spark: SparkSession, incoming: str, path: str, work: str, files_per_batch: int = 20) -> None:
-    """Bring all bar files that arrived into the stored table. A restart repeats at most one batch, which changes nothing."""
+    """Bring all bar files that arrived into the stored table. A restart repeats at most one batch, which changes nothing.
+
+    Of bars that repeat a key in a batch the one from the file written last stands (then by file name, then by the bar itself). Bars that
+    aren't valid are left out of the table and written to ``<work>/rejected``, under their batch's number."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        rows = batch.filter("close > 0 AND volume >= 0")
+        ok = F.coalesce(valid_bar(), F.lit(False))
+        batch.filter(~ok).write.mode("overwrite").parquet(f"{work}/rejected/batch={number}")
+        own = [c.split()[0] for c in OHLCV.split(", ")]
+        rows = batch.filter(ok).withColumn("_order", F.struct("_written", "_file", *[c for c in own if c not in ("ticker", "dt")]))
+        rows = keep_last(rows.select(*own, "_order"), ["ticker", "dt"], "_order").select(*own)
         if not rows.isEmpty():
-            upsert_bars(rows.dropDuplicates(["ticker", "dt"]), path, f"{work}/staging")
+            upsert_bars(rows, path, f"{work}/staging")
 
     rows = spark.readStream.schema(OHLCV).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
+    rows = rows.withColumn("raw_close", F.coalesce("raw_close", "close"))
+    rows = rows.withColumn("_written", F.col("_metadata.file_modification_time")).withColumn("_file", F.col("_metadata.file_name"))
     rows.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(commit).start().awaitTermination()
 
 
