@@ -2,7 +2,11 @@
 
 The model is trained on trusted text, per language. All n-gram types of the corpus and their trusted counts are gathered
 in one aggregation; sharded joins of types, contexts and lower orders give each type its probability, and a document's
-log probability is the sum over its n-grams. Thresholds are quantiles of trusted documents that training left out.
+log probability is the sum over its n-grams. Thresholds are quantiles of trusted documents that training left out. Trusted is what labels call
+good and not toxic.
+
+The types that are frequent in the corpus, a bounded number, are broadcast to where the texts are; positions of all other types are summed
+per document and type and joined with the sharded table by key.
 
 Short texts vary much, so a score counts PRIOR further characters at the language's mean.
 
@@ -18,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import numbered, sized, stage, without_rows
 
-ORDER, QUANTILE, PRIOR = 3, 0.995, 200
-#: N-gram types whose probabilities are broadcast; beyond that positions are summed by type and joined by key.
-BROADCAST_TYPES = 1_500_000
+ORDER, QUANTILE, PRIOR = 5, 0.995, 200
+#: N-gram types whose probabilities are broadcast, the most frequent ones; all others are joined by key.
+BROADCAST_TYPES = 1_000_000
 
 
 def _texts(docs: DataFrame, order: int) -> DataFrame:
@@ -43,17 +47,18 @@ def half(doc_id: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, half of documents that labels call good."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    """doc_id, half of documents that labels call good and don't call toxic."""
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False)) if "toxic" in labels.columns else F.lit(False)
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").filter(~toxic).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return good.withColumn("half", half(F.col("doc_id")))
 
 
 def gram_types(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """language, gram, c: every n-gram type of the corpus and how often training text has it."""
+    """language, gram, c, n: every n-gram type of the corpus, how often training text has it, and how often the corpus does."""
     train = sized(trusted.filter("half = 0").select(F.col("doc_id").alias("t_doc")))
     texts = _texts(docs, order).join(train, F.col("doc_id") == F.col("t_doc"), "left")
     weight = F.when(F.col("t_doc").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return _positions(texts.withColumn("w", weight), order).groupBy("language", "gram").agg(F.sum("w").alias("c"))
+    return _positions(texts.withColumn("w", weight), order).groupBy("language", "gram").agg(F.sum("w").alias("c"), F.count("*").alias("n"))
 
 
 def _prefix(n: int) -> Column:
@@ -74,7 +79,8 @@ def discounts(types: DataFrame) -> DataFrame:
 
 
 def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
-    """language, gram, p of every type of the corpus, from the lowest order up. Joins run on types, never on positions."""
+    """language, gram, p (and n, where types have it) of every type of the corpus, from the lowest order up. Joins run on types, never on positions."""
+    kept = ["n"] if "n" in types.columns else []
     levels = {order: types}
     for n in range(order - 1, 0, -1):
         levels[n] = levels[n + 1].groupBy("language", _suffix(n + 1).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
@@ -94,22 +100,31 @@ def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
             below = F.col("below")
         cut = F.when(F.col("c") == 0, F.lit(0.0)).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         p = F.when(F.col("total") > 0, F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total") + F.col("spare") * below).otherwise(below)
-        low = stage(rows.select("language", "gram", p.alias("p")), f"probabilities-{n}")
+        low = stage(rows.select("language", "gram", p.alias("p"), *(kept if n == order else [])), f"probabilities-{n}")
     return low
 
 
 def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most: int = BROADCAST_TYPES) -> DataFrame:
     """row, doc_id, language, n, log_prob: one pass over whole texts."""
-    key = F.xxhash64("language", "gram")
-    logs = stage(table.select(key.alias("key"), F.log("p").alias("logp")), "log-probabilities")
+    key, own = F.xxhash64("language", "gram"), ["row", "doc_id", "language", "n"]
+    logs = stage(table.select(key.alias("key"), F.log("p").alias("logp"), F.col("n").alias("often")), "log-probabilities")
     texts = _texts(docs, order)
-    at = _positions(texts, order).select("row", "doc_id", "language", "n", key.alias("key"))
-    few = logs.limit(most + 1).count() <= most
-    if few:
-        scored = at.join(F.broadcast(logs), "key")
+    at = _positions(texts, order).select(*own, key.alias("key"))
+    n_types = logs.count()
+    cut = 0
+    if n_types > most:
+        cut = logs.agg(F.percentile_approx("often", 1 - most / n_types, 10_000)).first()[0]
+        while logs.filter(F.col("often") > cut).count() > most:
+            cut *= 2
+    known = logs.filter(F.col("often") > cut).drop("often")
+    if n_types <= most:
+        found = at.join(F.broadcast(known), "key").groupBy(*own).agg(F.sum("logp").alias("log_prob"))
     else:
-        scored = at.groupBy("row", "doc_id", "language", "n", "key").agg(F.count("*").alias("times")).join(logs, "key").withColumn("logp", F.col("logp") * F.col("times"))
-    found = scored.groupBy("row", "doc_id", "language", "n").agg(F.sum("logp").alias("log_prob"))
+        met = at.join(F.broadcast(known), "key", "left").groupBy(*own).agg(F.coalesce(F.sum("logp"), F.lit(0.0)).alias("frequent"), F.collect_list(F.when(F.col("logp").isNull(), F.col("key"))).alias("keys"))
+        met = stage(met, "met")
+        rare = met.select("row", F.explode("keys").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        rare = rare.join(logs.filter(F.col("often") <= cut), "key").groupBy(F.col("row").alias("r_row")).agg(F.sum(F.col("logp") * F.col("times")).alias("rare"))
+        found = met.join(rare, F.col("row") == F.col("r_row"), "left").select(*own, (F.col("frequent") + F.coalesce("rare", F.lit(0.0))).alias("log_prob"))
     wordless = texts.filter("n <= 0").select("row", "doc_id", "language", "n", F.lit(None).cast("double").alias("log_prob"))
     return found.unionByName(wordless)
 
