@@ -2,8 +2,8 @@ from collections import Counter
 
 import corpus_pipeline as P
 from tests.llm.test_kneser_ney import brute as brute_scores
+from tests.llm.test_near_copies import kept_ids
 from tests.llm.test_rules_and_mix import A_Z
-from tests.llm.test_simhash import brute as brute_components
 from tidemark.llm.common import stage
 from tidemark.llm.mixing import mix
 
@@ -14,7 +14,7 @@ def rows_of(frame):
 
 def test_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0").collect()}
     makes = [make for _, make in P.STAGES]
     names = docs.columns
 
@@ -33,7 +33,7 @@ def test_stages_equal_brute_force(spark, sf):
     assert two.columns == names and rows_of(two) == Counter(tuple(r) for r in rows if r.doc_id in last.values())
 
     rows = two.collect()
-    first = {d for d, _, c in brute_components([(r.doc_id, r.text) for r in rows], 4) if d == c}
+    first = set(kept_ids([(r.doc_id, r.text) for r in rows]))
     three = stage(makes[2](spark, two, sf), "t-3")
     assert three.columns == names and rows_of(three) == Counter(tuple(r) for r in rows if r.doc_id in first)
 

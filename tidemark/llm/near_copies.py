@@ -1,10 +1,11 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-64-bit SimHash can't stand in for this: most such pairs differ in 5 to 13 bits, and no split into few segments finds those. So
-MinHash bands pick candidates, and shingle sets decide. Of two texts at 0.8 exactly, BANDS bands of BAND_ROWS minima miss one in
+Candidates come from two sides and shingle sets decide. SimHash fingerprints of the same shingles are linked by deletion variants
+(``simhash.links``, DISTANCE bits). That alone isn't enough: most pairs at 0.8 differ in 5 to 13 bits, and no split into few segments finds
+those. So MinHash bands pick candidates too: of two texts at 0.8 exactly, BANDS bands of BAND_ROWS minima miss one in
 (1 - 0.8^6)^35, 3 in 100,000, and less above.
 
-Rows that share a band are tied to its least row, which gives candidate components. A component's texts meet in tasks of at
+Rows that share a fingerprint, a link or a band are tied to its least row, which gives candidate components. A component's texts meet in tasks of at
 most BLOCK rows, each with the component's least row; what these leave apart from that row then meets all blocks, so nothing
 of a candidate component goes uncompared, and a large group of copies of one text costs what its size is.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, batched, hub_join, numbered, sized, stage, without_rows
 from .components import components
+from .simhash import DISTANCE, links, majority
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND_ROWS, BLOCK = 35, 6, 256
@@ -58,8 +60,9 @@ def band_keys(own: np.ndarray) -> list[int]:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [band_keys(shingles(x.as_py())) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["number", "keys"])
+        sets = [shingles(x.as_py()) for x in b.column(1)]
+        keys, fps = [band_keys(s) for s in sets], [majority(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["number", "keys", "fp"])
 
 
 def spanning(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -122,14 +125,19 @@ def _similar(dealt: DataFrame, texts: DataFrame, similarity: float, name: str) -
 
 
 def candidates(own: DataFrame) -> DataFrame:
-    """node, root: rows by number and the least row that they reach over shared bands."""
+    """node, root: rows by number and the least row that they reach over fingerprints, links and shared bands."""
     with batched(own.sparkSession):
-        keys = stage(own.select("number", F.col("row.text").cast("binary").alias("text")).mapInArrow(_bands, "number long, keys array<bigint>"), "bands")
+        keys = stage(own.select("number", F.col("row.text").cast("binary").alias("text")).mapInArrow(_bands, "number long, keys array<bigint>, fp long"), "bands")
     filed = keys.select("number", F.explode("keys").alias("key"))
     hubs = stage(filed.groupBy("key").agg(F.min("number").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
     shared, total = hubs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tied = filed.join(sized(hubs.drop("n")), "key") if shared <= BROADCAST_IDS else hub_join(filed, hubs, "key", total)
-    return components(tied.filter("number != hub").select("number", "hub").distinct(), "number", "hub")
+    fps = stage(keys.groupBy("fp").agg(F.min("number").alias("hub"), F.count("*").alias("n")), "fingerprints")
+    same = hub_join(keys.select("number", "fp"), fps, "fp", keys.count())
+    end = lambda side: fps.select(F.col("fp").alias(side), F.col("hub").alias("number" if side == "a" else "hub"))
+    near = links(fps.select("fp"), DISTANCE).join(end("a"), "a").join(end("b"), "b")
+    ties = [x.filter("number != hub").select("number", "hub") for x in (tied, same, near)]
+    return components(ties[0].unionByName(ties[1]).unionByName(ties[2]).distinct(), "number", "hub")
 
 
 def copies(own: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

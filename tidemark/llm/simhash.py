@@ -41,6 +41,11 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
         ends = np.cumsum(size + 1) - 1
         starts = ends - size
         hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
