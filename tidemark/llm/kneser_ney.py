@@ -24,7 +24,7 @@ from .common import numbered, sized, stage, without_rows
 
 ORDER, QUANTILE, PRIOR = 5, 0.995, 200
 #: N-gram types whose probabilities are broadcast, the most frequent ones; all others are joined by key.
-BROADCAST_TYPES = 1_000_000
+BROADCAST_TYPES = 2_000_000
 
 
 def _texts(docs: DataFrame, order: int) -> DataFrame:
@@ -79,7 +79,8 @@ def discounts(types: DataFrame) -> DataFrame:
 
 
 def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
-    """language, gram, p (and n, where types have it) of every type of the corpus, from the lowest order up. Joins run on types, never on positions."""
+    """language, gram, p (and n, where types have it) of every type of the corpus, from the lowest order up. Joins run on types, never on positions,
+    by 64-bit keys of contexts and lower grams; these tables are broadcast while they are small."""
     kept = ["n"] if "n" in types.columns else []
     levels = {order: types}
     for n in range(order - 1, 0, -1):
@@ -87,16 +88,18 @@ def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
         levels[n] = stage(levels[n], f"grams-{n}")
     low = None
     for n in range(1, order + 1):
-        d = discounts(levels[n])
-        by_context = levels[n].groupBy(F.col("language"), _prefix(n).alias("context")).agg(
+        d = stage(discounts(levels[n]), f"discounts-{n}")
+        key = lambda of: F.xxhash64("language", of)
+        counts = levels[n].groupBy("language", key(_prefix(n)).alias("context")).agg(
             F.sum("c").alias("total"), *[F.sum((F.col("c") == k if k < 3 else F.col("c") >= 3).cast("long")).alias(f"m{k}") for k in (1, 2, 3)]
         )
-        by_context = by_context.join(d, "language").withColumn("spare", F.when(F.col("total") > 0, (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")))
-        rows = levels[n].withColumn("context", _prefix(n)).withColumn("tail", _suffix(n)).join(by_context, ["language", "context"])
+        spare = F.when(F.col("total") > 0, (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
+        contexts = stage(counts.join(sized(d), "language").select("context", "total", spare.alias("spare")), f"contexts-{n}")
+        rows = levels[n].join(sized(d), "language").withColumn("context", key(_prefix(n))).join(sized(contexts), "context")
         if low is None:
             below = F.lit(1.0) / (F.col("v") + 1)
         else:
-            rows = rows.join(low.select("language", F.col("gram").alias("tail"), F.col("p").alias("below")), ["language", "tail"])
+            rows = rows.withColumn("tail", key(_suffix(n))).join(sized(low.select(key("gram").alias("tail"), F.col("p").alias("below"))), "tail")
             below = F.col("below")
         cut = F.when(F.col("c") == 0, F.lit(0.0)).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         p = F.when(F.col("total") > 0, F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total") + F.col("spare") * below).otherwise(below)
@@ -105,7 +108,7 @@ def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most: int = BROADCAST_TYPES) -> DataFrame:
-    """row, doc_id, language, n, log_prob: one pass over whole texts."""
+    """row, doc_id, language, n, log_prob: one pass over whole texts, and a second one for rare types once there are more than ``most``."""
     key, own = F.xxhash64("language", "gram"), ["row", "doc_id", "language", "n"]
     logs = stage(table.select(key.alias("key"), F.log("p").alias("logp"), F.col("n").alias("often")), "log-probabilities")
     texts = _texts(docs, order)
@@ -117,14 +120,11 @@ def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most:
         while logs.filter(F.col("often") > cut).count() > most:
             cut *= 2
     known = logs.filter(F.col("often") > cut).drop("often")
-    if n_types <= most:
-        found = at.join(F.broadcast(known), "key").groupBy(*own).agg(F.sum("logp").alias("log_prob"))
-    else:
-        met = at.join(F.broadcast(known), "key", "left").groupBy(*own).agg(F.coalesce(F.sum("logp"), F.lit(0.0)).alias("frequent"), F.collect_list(F.when(F.col("logp").isNull(), F.col("key"))).alias("keys"))
-        met = stage(met, "met")
-        rare = met.select("row", F.explode("keys").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-        rare = rare.join(logs.filter(F.col("often") <= cut), "key").groupBy(F.col("row").alias("r_row")).agg(F.sum(F.col("logp") * F.col("times")).alias("rare"))
-        found = met.join(rare, F.col("row") == F.col("r_row"), "left").select(*own, (F.col("frequent") + F.coalesce("rare", F.lit(0.0))).alias("log_prob"))
+    found = at.join(F.broadcast(known), "key").groupBy(*own).agg(F.sum("logp").alias("log_prob"))
+    if n_types > most:
+        rest = at.join(F.broadcast(known.select("key")), "key", "left_anti").groupBy(*own, "key").agg(F.count("*").alias("times"))
+        rest = rest.join(logs.filter(F.col("often") <= cut), "key").groupBy(*own).agg(F.sum(F.col("logp") * F.col("times")).alias("log_prob"))
+        found = found.unionByName(rest).groupBy(*own).agg(F.sum("log_prob").alias("log_prob"))
     wordless = texts.filter("n <= 0").select("row", "doc_id", "language", "n", F.lit(None).cast("double").alias("log_prob"))
     return found.unionByName(wordless)
 
