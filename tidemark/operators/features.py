@@ -55,20 +55,23 @@ def base_features(bars: DataFrame, contract: Contract = Contract()) -> DataFrame
     data = bars if "idx" in bars.columns else with_index(bars)
     raw, volume = F.col("raw_close"), F.col("volume")
     ok = finite(raw) & (raw > 0) & volume.isNotNull() & (volume > 0)
-    data = data.withColumn("_valid", F.coalesce(ok, F.lit(False)).cast("long")).withColumn("_dollars", F.when(F.col("_valid") == 1, raw * volume))
-    mean, dev = P.roll(F.avg, volume, 20), P.roll(F.stddev_samp, volume, 20)
-    out = data.select(
+    own = data.columns
+    data = data.withColumns({"_valid": F.coalesce(ok, F.lit(False)).cast("long"), "_paid": raw * volume}).withColumn("_dollars", F.when(F.col("_valid") == 1, F.col("_paid")))
+    w = Rolls(P)
+    mean, dev, high, paid = w.get("avg", "volume", 20), w.get("std", "volume", 20), w.get("max", "close", n), w.get("avg", "_paid", 20)
+    before = data.select(
         "*",
         F.coalesce(F.col("idx") - P.lag("idx", n - 1) == n - 1, F.lit(False)).alias("history_complete_60d"),
         change(5).alias("return_5d"),
         change(20).alias("return_20d"),
-        (ratio(F.col("close"), P.roll(F.max, F.col("close"), n)) - 1.0).alias("distance_to_60d_high"),
-        P.roll(F.avg, raw * volume, 20).alias("average_dollar_volume_20d"),
-        mean.alias("average_volume_20d"),
         P.some(lambda c: F.percentile(c, 0.5), F.col("_dollars"), 20, 1).alias("median_dollar_volume_prior_20d"),
         P.roll(F.sum, F.col("_valid"), 20, 1).alias("valid_price_volume_sessions_prior_20d"),
-        F.when(dev > 0, (volume - mean) / dev).otherwise(0.0).alias("volume_zscore_20"),
-    ).drop("_valid", "_dollars")
+    )
+    out = w.add(before).select(
+        *own, "history_complete_60d", "return_5d", "return_20d",
+        (ratio(F.col("close"), high) - 1.0).alias("distance_to_60d_high"), paid.alias("average_dollar_volume_20d"), mean.alias("average_volume_20d"),
+        "median_dollar_volume_prior_20d", "valid_price_volume_sessions_prior_20d", F.when(dev > 0, (volume - mean) / dev).otherwise(0.0).alias("volume_zscore_20"),
+    )
     return with_market(out, {"return_20d": "market_return_20d"}, contract).withColumn("relative_strength_20d", F.col("return_20d") - F.col("market_return_20d"))
 
 
