@@ -76,6 +76,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_html_extract": op13_html_extract,
 }
 
@@ -107,6 +114,7 @@ def _rule_rows() -> str:
     return ", ".join(f"({i}, '{n}', '{p}')" for i, (n, p) in enumerate(rows))
 
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
@@ -148,6 +156,16 @@ t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), lvl * weight) AS ta
 j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':7'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j""",
+    "op12_ranked_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_UPPER_LOWER}), {_TERM}) AS w FROM documents),
+l AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM l),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {_UPPER_LOWER}), {_TERM})) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (SELECT doc_id, n, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM l) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+h AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0) WHERE rank <= 20""",
     # The driver's pages have one article each, of h1, p, br and b: the expectation is its text, cut at block tags, however the operator finds it.
     "op13_html_extract": r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages),
