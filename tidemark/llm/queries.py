@@ -76,6 +76,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations")).drop("screened")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked_search import search
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_html_extract": op13_html_extract,
 }
@@ -156,6 +163,27 @@ t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), lvl * weight) AS ta
 j AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':7'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j""",
+    "op11_prefix_trie": """
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, count(*) AS size FROM o GROUP BY conv_id),
+r(conv_id, s, k, crc) AS (SELECT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM ids UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(crc, CAST(ascii(s[k // 8 + 1]) AS BIGINT)) ELSE crc END AS x FROM r WHERE k < 8 * len(s))),
+c AS (SELECT r.conv_id, ids.size, xor(crc, CAST(4294967295 AS BIGINT)) % 9 AS h, r.conv_id - r.conv_id % 5 AS base FROM r JOIN ids ON ids.conv_id = r.conv_id WHERE k = 8 * len(s)),
+p AS (SELECT c.*, least(h, coalesce(b.size, 0)) AS taken FROM c LEFT JOIN ids b ON b.conv_id = c.base),
+t AS (SELECT p.conv_id, o.pos AS d, role, text FROM p JOIN o ON o.conv_id = p.base AND o.pos <= p.h UNION ALL
+  SELECT p.conv_id, p.taken + o.pos - p.h, role, text FROM p JOIN o ON o.conv_id = p.conv_id AND o.pos > p.h),
+m AS (SELECT conv_id, d, string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path, CAST(strlen(text) AS BIGINT) AS bytes FROM t
+  UNION ALL SELECT conv_id, 0, '', 0 FROM p),
+e AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+g AS (SELECT path, d, min(m.conv_id) AS conv_id, count(*) AS n, max(bytes) AS bytes, sha256(coalesce(string_agg(CASE WHEN m.d = ed THEN m.conv_id END, ',' ORDER BY m.conv_id), '')) AS ends
+  FROM (SELECT m.*, e.d AS ed FROM m JOIN e ON e.conv_id = m.conv_id) m GROUP BY path, d),
+k AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON k.path = g.path),
+a AS (SELECT left(path, 32 * up) AS path, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n - 1) * bytes) AS BIGINT) AS saved
+  FROM (SELECT path, n, bytes, n_children, unnest(range(0, d + 1)) AS up FROM v) GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, CASE WHEN v.d > 0 THEN u.conv_id END AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.n_children AS BIGINT) AS n_children, n_leaves, saved AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN a ON a.path = v.path LEFT JOIN v u ON v.d > 0 AND u.path = left(v.path, 32 * (v.d - 1))""",
     "op12_ranked_search": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_UPPER_LOWER}), {_TERM}) AS w FROM documents),
 l AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
