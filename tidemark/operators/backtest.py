@@ -16,33 +16,41 @@ from .ranking import rank_dates, replace_flagged
 SOURCE = "stored_panel"
 
 
-def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statuses: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statuses: DataFrame | None = None, sessions: DataFrame | None = None, sequence: str | None = None) -> DataFrame:
     """One record per matured decision date of the last ``days``: status VALID with metrics, or INVALID with invalid_reason.
 
     ``sessions`` (session) is the exchange calendar; without it the panel's own dates are its sessions, so that a session which the whole panel
-    lacks would move every horizon over it."""
+    lacks would move every horizon over it. ``statuses`` (ticker, decision_date, flagged; ``transactions.status_flags``) are as of each date; a
+    date on which a rank that is met has none is INVALID, the others go on. ``sequence`` decides between bars of one ticker and session (``with_index``)."""
     days = contract.backtest_days if days is None else days
     if not 1 <= days <= contract.max_backtest_days:
         raise ValueError(f"days must be in 1..{contract.max_backtest_days}")
     k = contract.top_k
-    data = with_index(bars, sessions)
+    data = with_index(bars, sessions, sequence)
     calendar = indexed(bars, "dt") if sessions is None else spanning(sessions, bars)
     dates = later_session(calendar, contract.horizon).filter("result_date IS NOT NULL")
     last = dates.agg(F.max("idx").alias("last"))
     dates = dates.crossJoin(F.broadcast(last)).filter(F.col("idx") > F.col("last") - days).select(F.col("session").alias("decision_date"), "idx", "result_date")
     problems = benchmark_problems(bars, calendar, contract.lookback, contract.benchmark).withColumnRenamed("session", "decision_date")
     ranking = rank_dates(data, contract, dates)
+    lacking = None
     if statuses is not None:
-        ranking = replace_flagged(ranking, statuses, contract.inspect)
+        if "decision_date" not in statuses.columns:
+            raise ValueError("statuses of a back-test are as of each decision_date")
+        ranking = replace_flagged(ranking, statuses, contract.inspect, strict=False)
+        lacking = ranking.filter("uncovered").select("decision_date", "uncovered").distinct()
+        ranking = ranking.drop("uncovered", "checked")
     ledger = ranking.withColumn("universe_size", F.count("*").over(Window.partitionBy("decision_date"))).withColumn("strategy_version", F.lit(contract.strategy))
     matured = mature(with_outcomes(ledger, forward_labels(data, contract, None if sessions is None else calendar)).drop("result_date"), contract)
     pool = daily_pools(matured, contract).withColumn("evaluable", evaluable(contract)).withColumn("passed", passing(contract)).drop("strategy_version")
     d = dates.join(F.broadcast(problems), "decision_date", "left").join(F.broadcast(pool), "decision_date", "left")
+    d = d.withColumn("uncovered", F.lit(False)) if lacking is None else d.join(F.broadcast(lacking), "decision_date", "left")
     n = F.coalesce("universe_size", F.lit(0))
     cover = F.col("m") / F.col("universe_size")
     reason = (
         F.when(F.col("idx") < contract.lookback - 1, "insufficient_history")
         .when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("uncovered"), "corporate_action_status_unavailable")
         .when(n < k, f"eligible_universe_below_top_{k}")
         .when(cover < contract.min_coverage, "outcome_coverage_below_90pct")
         .when(F.col("top_ranks") < k, f"top_{k}_outcomes_incomplete")
@@ -56,7 +64,7 @@ def backtest(bars: DataFrame, contract: Contract, days: int | None = None, statu
     return d.select(
         F.lit(contract.strategy).alias("strategy_version"), "decision_date", "result_date",
         F.when(valid, "VALID").otherwise("INVALID").alias("status"), "invalid_reason",
-        F.when(known, n).alias("universe_size"), F.when(known & (n >= k), cover).alias("outcome_coverage"),
+        F.when(known, n).alias("universe_size"), F.when(known & (n >= k) & ~F.coalesce("uncovered", F.lit(False)), cover).alias("outcome_coverage"),
         F.when(valid, F.round(F.col("precision_at_k") * k).cast("long")).alias("hits_at_10"),
         when("precision_at_k").alias("precision_at_10"), when("base_explosion_rate").alias("base_explosion_rate"), when("downside_at_k").alias("downside_at_10"),
         when("catastrophic_loss_at_k").alias("catastrophic_loss_at_10"), when("adverse_path_at_k").alias("adverse_path_at_10"), when("basket_return").alias("basket_return_14"),

@@ -14,7 +14,7 @@ from ..functions.scalars import finite
 from ..functions.windows import Panel, Rolls, percentile_rank
 from ..schemas import require_columns
 from . import calendar as C
-from .panel import with_session_index
+from .panel import keep_last, with_session_index
 
 P = Panel()
 
@@ -40,13 +40,22 @@ def change(n: int) -> Column:
     return ratio(F.col("close"), P.lag("close", n)) - 1.0
 
 
-def with_index(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
-    """Bars on sessions, with a default raw close and their position. Without a calendar the panel's own dates are its sessions."""
+def with_index(bars: DataFrame, calendar: DataFrame | None = None, sequence: str | None = None) -> DataFrame:
+    """Bars on sessions, with a default raw close and their position. Without a calendar the panel's own dates are its sessions.
+
+    A ticker has one bar a session: of several the one with the largest ``sequence`` stays, whose column goes; without a sequence they are an
+    error, which the run itself raises, as the check sorts by ticker and position like all windows after it."""
     require_columns(bars, ("ticker", "dt", "close", "volume"), "OHLCV data")
     if "raw_close" not in bars.columns:
         bars = bars.withColumn("raw_close", F.col("close"))
     bars = bars.withColumn("dt", F.col("dt").cast("date"))
-    return with_session_index(bars, C.indexed(bars, "dt") if calendar is None else C.spanning(calendar, bars))
+    if sequence:
+        bars = keep_last(bars, ["ticker", "dt"], sequence).drop(sequence)
+    data = with_session_index(bars, C.indexed(bars, "dt") if calendar is None else C.spanning(calendar, bars))
+    if sequence:
+        return data
+    again = P.lag("idx", 1) == F.col("idx")
+    return data.withColumn("idx", F.when(again, F.raise_error(F.concat(F.lit("OHLCV data repeats "), F.col("ticker"), F.lit(" on "), F.col("dt").cast("string"))).cast("long")).otherwise(F.col("idx")))
 
 
 def base_features(bars: DataFrame, contract: Contract = Contract()) -> DataFrame:

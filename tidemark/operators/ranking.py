@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..contract import Contract
 from ..functions.windows import average_rank, place
 from .features import base_features
-from .panel import last_sessions
+from .panel import duplicates, last_sessions
 
 # The signals that the score averages.
 SIGNALS = ("return_5d", "return_20d", "distance_to_60d_high", "volume_zscore_20", "relative_strength_20d")
@@ -74,16 +74,26 @@ def benchmark_reason(features: DataFrame, contract: Contract) -> DataFrame:
     return r.select("dt", reason.alias("reason"))
 
 
-def replace_flagged(ranking: DataFrame, statuses: DataFrame, inspect: int = 30) -> DataFrame:
+def replace_flagged(ranking: DataFrame, statuses: DataFrame, inspect: int = 30, strict: bool = True) -> DataFrame:
     """Walks ranks until ``inspect`` unflagged names are seen; flagged names met on the way go, ranks close up.
 
-    A row is met while fewer than ``inspect`` unflagged rows stand before it. Without a status for a row that is met: error."""
-    w = Window.partitionBy("decision_date").orderBy("rank")
+    statuses: ticker, decision_date, flagged, each as of its date; without decision_date, one of a ticker holds for all dates of the ranking.
+    A row is met while fewer than ``inspect`` unflagged rows stand before it. Without a status for a row that is met: an error. Not strict: that
+    date keeps all its rows as they are and is marked in ``uncovered``, while the others go on."""
+    keys = ["ticker", *(c for c in ("decision_date",) if c in statuses.columns)]
+    if not duplicates(statuses, keys).isEmpty():
+        raise ValueError("a status comes more than once")
+    day = Window.partitionBy("decision_date")
+    w = day.orderBy("rank")
     before = F.coalesce(F.sum(F.when(F.coalesce("flagged", F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = ranking.join(statuses.select("ticker", "flagged"), "ticker", "left").withColumn("checked", before < inspect)
-    if not seen.filter("checked AND flagged IS NULL").isEmpty():
-        raise ValueError("statuses don't cover the ranks that are inspected")
-    return close_up(seen.filter("NOT (checked AND flagged)").drop("flagged"))
+    seen = ranking.join(statuses.select(*keys, "flagged"), keys, "left").withColumn("checked", before < inspect)
+    lacking = F.col("checked") & F.col("flagged").isNull()
+    if strict:
+        if not seen.filter(lacking).isEmpty():
+            raise ValueError("statuses don't cover the ranks that are inspected")
+        return close_up(seen.filter("NOT (checked AND flagged)").drop("flagged"))
+    seen = seen.withColumn("uncovered", F.max(lacking).over(day))
+    return close_up(seen.filter("uncovered OR NOT (checked AND flagged)").drop("flagged"))
 
 
 def close_up(ranking: DataFrame) -> DataFrame:

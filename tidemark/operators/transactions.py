@@ -52,20 +52,31 @@ def _terminal(completed: Column, terminated: Column) -> Column:
     )
 
 
-def transaction_events(filings: DataFrame) -> DataFrame:
-    """filings (ticker, accepted_at, accession_number, form, event flags, optional in_search) with the event that each brings about, if any."""
+def _acting(filings: DataFrame) -> DataFrame:
+    """Filings that can matter, with what each does: _act begins a transaction, _late is an amendment that needs a base, _toggle begins or ends one, _set settles the state."""
     f = filings.withColumn("_base", base_form(F.col("form"))).withColumn("_amended", is_amendment(F.col("form")))
     f = f.filter(~F.col("_base").isin(*IGNORED_FORMS))
     if "in_search" in f.columns:
         f = f.filter(~F.col("_base").isin(*TEXT_FORMS) | F.col("in_search"))
     target = F.col("_base") == "SC 14D9"
-    act = F.when(target, ~F.col("_amended")).otherwise(F.col("positive"))
-    primary = F.col("completed") | F.col("terminated")
-    supp = F.col("_base").isin(*TEXT_FORMS) & (F.col("supp_completed") | F.col("supp_terminated"))
-    f = f.withColumn("_act", act).withColumn("_late", target & F.col("_amended"))
+    f = f.withColumn("_act", F.when(target, ~F.col("_amended")).otherwise(F.col("positive"))).withColumn("_late", target & F.col("_amended"))
+    f = f.withColumn("_primary", F.col("completed") | F.col("terminated"))
+    f = f.withColumn("_supp", F.col("_base").isin(*TEXT_FORMS) & (F.col("supp_completed") | F.col("supp_terminated")))
     # What a filing does to the active state: 1 sets it, 0 ends it, null leaves it; a toggle does either.
-    f = f.withColumn("_toggle", (F.col("_act") & primary).cast("int"))
-    f = f.withColumn("_set", F.when(F.col("_toggle") == 1, F.lit(None)).when(F.col("_act"), F.lit(1)).when(primary | supp, F.lit(0)))
+    f = f.withColumn("_toggle", (F.col("_act") & F.col("_primary")).cast("int"))
+    f = f.withColumn("_set", F.when(F.col("_toggle") == 1, F.lit(None)).when(F.col("_act"), F.lit(1)).when(F.col("_primary") | F.col("_supp"), F.lit(0)))
+    begun = F.struct(F.lit("active").alias("state"), F.when(target, "target_tender_offer_form_SC_14D9").otherwise("definitive_target_transaction_language").alias("reason"))
+    ended = F.when(F.col("_primary"), _terminal(F.col("completed"), F.col("terminated"))).when(F.col("_supp"), _terminal(F.col("supp_completed"), F.col("supp_terminated")))
+    return f.withColumn("_begun", begun).withColumn("_ended", ended)
+
+
+def _lost() -> Column:
+    return F.struct(F.lit("unknown").alias("state"), F.lit("transaction_amendment_without_base_filing").alias("reason"))
+
+
+def transaction_events(filings: DataFrame) -> DataFrame:
+    """filings (ticker, accepted_at, accession_number, form, event flags, optional in_search) with the event that each brings about, if any."""
+    f = _acting(filings)
     w = Window.partitionBy("ticker").orderBy("accepted_at", "accession_number")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("_turns", F.sum("_toggle").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -74,17 +85,71 @@ def transaction_events(filings: DataFrame) -> DataFrame:
     turned = F.coalesce(F.lag("_turns").over(w), F.lit(0)) - F.coalesce(F.col("_last.t"), F.lit(0))
     f = f.withColumn("_active", (F.coalesce(F.col("_last.s"), F.lit(0)) + turned) % 2 == 1)
     f = f.withColumn("_none", F.coalesce(F.sum((F.col("_act") | F.col("_late")).cast("int")).over(past), F.lit(0)) == 0)
-    begun = F.struct(F.lit("active").alias("state"), F.when(target, "target_tender_offer_form_SC_14D9").otherwise("definitive_target_transaction_language").alias("reason"))
-    lost = F.struct(F.lit("unknown").alias("state"), F.lit("transaction_amendment_without_base_filing").alias("reason"))
-    event = (
-        F.when(F.col("_active") & primary, _terminal(F.col("completed"), F.col("terminated")))
-        .when(F.col("_act"), begun)
-        .when(F.col("_late") & F.col("_none"), lost)
-        .when(F.col("_active") & supp, _terminal(F.col("supp_completed"), F.col("supp_terminated")))
-    )
+    event = F.when(F.col("_active") & F.col("_primary"), F.col("_ended")).when(F.col("_act"), F.col("_begun")).when(F.col("_late") & F.col("_none"), _lost()).when(F.col("_active") & F.col("_supp"), F.col("_ended"))
     return f.withColumn("event", event).drop(*[c for c in f.columns if c.startswith("_")])
 
 
+def states_as_of(filings: DataFrame, decisions: DataFrame, lookback_days: int = 732, strict: bool = False) -> DataFrame:
+    """ticker, decision_date, state, reason, form, accession_number, accepted_at: the state of each decision from the filings known then.
+
+    decisions: ticker, decision_date, decision_at. Known are filings accepted by decision_at, from the start of the day ``lookback_days`` before
+    on; whatever lies earlier is as if it had never been. Filings, decisions and starts of windows form one timeline per ticker, which windows run
+    along once in each direction:
+
+    the last filing that begins or toggles a transaction (within the window) always brings an event; whether the transaction is active after it
+    follows from the last setting one and the toggles since, or where none lies in the window, from the toggles since its start. If active, the
+    next filing that ends one, should it come by then, brings the last event. Without a beginning, the first late amendment leaves the state unknown.
+
+    An accession number comes once per ticker (``selected_filings``); repeated decisions are an error; strict: an unknown state is an error."""
+    from .panel import require_unique
+
+    decisions = require_unique(decisions.select("ticker", "decision_date", "decision_at"), ["ticker", "decision_date"], "decisions")
+    f = _acting(filings)
+    row = lambda what: F.struct(F.col("accepted_at").alias("at"), "accession_number", "form", what.alias("event"))
+    marks = f.select(
+        "ticker", F.col("accepted_at").alias("at"), F.lit(1).alias("kind"), "accession_number", F.lit(None).cast("date").alias("decision_date"), F.lit(None).cast("timestamp").alias("until"),
+        F.coalesce("_toggle", F.lit(0)).alias("toggle"), F.col("_set").alias("set"), F.when(F.col("_act"), row(F.col("_begun"))).alias("begins"),
+        F.when(F.col("_toggle") == 1, F.col("_ended")).alias("turns_to"), F.when(~F.col("_act") & F.col("_ended").isNotNull(), row(F.col("_ended"))).alias("ends"), F.when(F.col("_late"), row(_lost())).alias("late"),
+    )
+    start = (F.to_date("decision_at") - lookback_days).cast("timestamp")
+    at = lambda when, kind: decisions.select("ticker", when.alias("at"), F.lit(kind).alias("kind"), F.lit("").alias("accession_number"), "decision_date", F.col("decision_at").alias("until"))
+    line = marks.unionByName(at(start, 0), allowMissingColumns=True).unionByName(at(F.col("decision_at"), 2), allowMissingColumns=True)
+    back = Window.partitionBy("ticker").orderBy(F.col("at").desc(), F.col("kind").desc(), F.col("accession_number").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("next_end", F.last("ends", ignorenulls=True).over(back)).withColumn("next_late", F.last("late", ignorenulls=True).over(back))
+    ahead = Window.partitionBy("ticker").orderBy("at", "kind", "accession_number").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("turns", F.coalesce(F.sum("toggle").over(ahead), F.lit(0)))
+    line = line.withColumn("setter", F.last(F.when(F.col("set").isNotNull(), F.struct("at", F.col("set").alias("s"), F.col("turns").alias("t"))), ignorenulls=True).over(ahead))
+    begun = F.when(F.col("begins").isNotNull(), F.struct(F.col("begins").alias("own"), "turns_to", "turns", "setter", "next_end"))
+    line = line.withColumn("begun", F.last(begun, ignorenulls=True).over(ahead)).filter("kind <> 1")
+    of = lambda kind, *columns: F.max_by(F.struct(*columns), F.when(F.col("kind") == kind, 1))  # noqa: E731  one row of each kind
+    met = line.groupBy("ticker", "decision_date").agg(F.first("until").alias("until"), of(0, "at", "turns", "next_late").alias("a"), of(2, "begun").alias("z"))
+    met = met.select("ticker", "decision_date", "until", "a", F.col("z.begun").alias("b"))
+    inside = F.coalesce(F.col("b.own.at") >= F.col("a.at"), F.lit(False))
+    since = F.when(F.col("b.setter.at") >= F.col("a.at"), F.col("b.setter.s") + F.col("b.turns") - F.col("b.setter.t")).otherwise(F.col("b.turns") - F.col("a.turns"))
+    active = since % 2 == 1
+    turned = F.struct(F.col("b.own.at").alias("at"), F.col("b.own.accession_number").alias("accession_number"), F.col("b.own.form").alias("form"), F.col("b.turns_to").alias("event"))
+    last = (
+        F.when(inside & active & (F.col("b.next_end.at") <= F.col("until")), F.col("b.next_end"))
+        .when(inside & ~active & F.col("b.turns_to").isNotNull(), turned)
+        .when(inside, F.col("b.own"))
+        .when(F.col("a.next_late.at") <= F.col("until"), F.col("a.next_late"))
+    )
+    out = met.withColumn("l", last).select(
+        "ticker", "decision_date",
+        F.coalesce(F.col("l.event.state"), F.lit("none")).alias("state"),
+        F.coalesce(F.col("l.event.reason"), F.lit("no_definitive_transaction_filing")).alias("reason"),
+        F.col("l.form").alias("form"), F.col("l.accession_number").alias("accession_number"), F.col("l.at").alias("accepted_at"),
+    )
+    if strict and not out.filter("state = 'unknown'").isEmpty():
+        raise ValueError("a transaction state is incomplete")
+    return out
+
+
+def status_flags(states: DataFrame) -> DataFrame:
+    """ticker, decision_date, flagged: under a definitive transaction. A decision whose state is unknown has no status, so that its date fails if the rank is met."""
+    return states.filter("state <> 'unknown'").select("ticker", "decision_date", (F.col("state") == "active").alias("flagged"))
+
+
 def transaction_states(filings: DataFrame, tickers: DataFrame, strict: bool = False) -> DataFrame:
     """ticker, state, reason, form, accession_number, accepted_at: the last event of each ticker. strict: an unknown state is an error."""
     e = transaction_events(filings).filter("event IS NOT NULL")
@@ -101,8 +166,9 @@ def transaction_states(filings: DataFrame, tickers: DataFrame, strict: bool = Fa
 
 
 def retained(tickers: DataFrame, states: DataFrame) -> DataFrame:
-    """Tickers that aren't under a definitive transaction."""
-    return tickers.join(states.filter("state = 'active'").select("ticker"), "ticker", "left_anti")
+    """Tickers that aren't under a definitive transaction; by decision date where both sides have one."""
+    keys = ["ticker", *(c for c in ("decision_date",) if c in tickers.columns and c in states.columns)]
+    return tickers.join(states.filter("state = 'active'").select(*keys), keys, "left_anti")
 
 
 def selected_filings(filings: DataFrame, decision_at: Column, lookback_days: int = 732) -> DataFrame:

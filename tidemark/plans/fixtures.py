@@ -165,6 +165,31 @@ def conversation_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("accession_number", order).drop("turn")
 
 
+#: Forms of the filings that the states as of decisions are taken from.
+DEAL_FORMS = ("8-K", "SC 14D9/A", "6-K", "SC 14D9", "S-4", "DEFM14A")
+
+
+def deal_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as filings of their suppliers, with event flags by key: beginnings, ends, both at once, late amendments."""
+    k = F.col("accession_number").cast("long")
+    flag = lambda a, b, c: (F.floor(k / a) % b) == c
+    f = T.filings(spark, sf_dir).select("ticker", "accepted_at", "accession_number", T._dealt(DEAL_FORMS, F.floor(k / 3)).alias("form"))
+    return f.select("*", flag(2, 5, 0).alias("positive"), flag(7, 6, 1).alias("completed"), flag(5, 7, 2).alias("terminated"), flag(11, 4, 0).alias("supp_completed"), flag(3, 5, 1).alias("supp_terminated"))
+
+
+def deal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = T.daily_calendar(spark).select(F.col("session").alias("decision_date"), F.col("close_ts").alias("decision_at"))
+    return T.decisions(spark, sf_dir).join(F.broadcast(days), "decision_date")
+
+
+def dated_statuses(spark: SparkSession, ranking: DataFrame) -> DataFrame:
+    """Flags that change from month to month; some dates lack the status of one name in eleven."""
+    key = F.expr("cast(substring(ticker, 2) AS long)")
+    k = key + F.month("decision_date")
+    rows = ranking.select("ticker", "decision_date", (k % 9 == 0).alias("flagged"), k.alias("k"))
+    return rows.filter(~((F.month("decision_date") % 5 == 0) & (F.col("k") % 11 == 0))).drop("k")
+
+
 def boosted(spark: SparkSession, sf_dir: str, matured: DataFrame, risk: bool) -> DataFrame:
     m = matured.filter("is_explosion IS NOT NULL").select("ticker", "decision_date", "score", F.col("rank").cast("double").alias("rank"), "ranking_relevance", "is_severe_downside", F.col("rank").alias("rank_v6"))
     day = F.month("decision_date") + 12 * F.year("decision_date")

@@ -745,6 +745,21 @@ def j08_transaction_states(spark, sf_dir):
     return out.select("ticker", "state", "reason", F.split("accession_number", "-")[0].cast("long").alias("turn"))
 
 
+_DEAL = f"""{Q.DECISIONS}{Q.FILINGS}, df AS (SELECT ticker, fil.at AS acc_at, CAST(o_orderkey AS VARCHAR) AS acc, ['8-K', 'SC 14D9/A', '6-K', 'SC 14D9', 'S-4', 'DEFM14A'][CAST(o_orderkey // 3 % 6 + 1 AS BIGINT)] AS form, o_orderkey // 2 % 5 = 0 AS pos, o_orderkey // 7 % 6 = 1 AS fin, o_orderkey // 5 % 7 = 2 AS trm, o_orderkey // 11 % 4 = 0 AS sf, o_orderkey // 3 % 5 = 1 AS st FROM fil),
+win AS (SELECT d.ticker, d.decision_date, acc_at, acc, form, pos, fin, trm, form IN ('8-K', '6-K') AND sf AS sf, form IN ('8-K', '6-K') AND st AS st, row_number() OVER (PARTITION BY d.ticker, d.decision_date ORDER BY acc_at, acc) AS k
+  FROM dec d JOIN df ON df.ticker = d.ticker AND acc_at <= d.cutoff AND acc_at >= CAST(d.decision_date - 732 AS TIMESTAMP) AND form <> 'S-4'),
+st AS (SELECT ticker, decision_date, CAST(0 AS BIGINT) AS k, 'none' AS state, 'no_definitive_transaction_filing' AS reason, CAST(NULL AS VARCHAR) AS form, CAST(NULL AS VARCHAR) AS acc FROM dec UNION ALL
+SELECT s.ticker, s.decision_date, w.k, coalesce(ev, s.state), CASE WHEN ev IS NULL THEN s.reason WHEN ev = 'completed' THEN 'transaction_completed' WHEN ev = 'terminated' THEN 'transaction_terminated_or_withdrawn' WHEN ev = 'unknown' THEN 'transaction_amendment_without_base_filing' WHEN w.form = 'SC 14D9' THEN 'target_tender_offer_form_SC_14D9' ELSE 'definitive_target_transaction_language' END,
+  CASE WHEN ev IS NULL THEN s.form ELSE w.form END, CASE WHEN ev IS NULL THEN s.acc ELSE w.acc END
+FROM st s JOIN win w ON w.ticker = s.ticker AND w.decision_date = s.decision_date AND w.k = s.k + 1, LATERAL (SELECT CASE WHEN s.state = 'active' AND fin THEN 'completed' WHEN s.state = 'active' AND trm THEN 'terminated' WHEN w.form = 'SC 14D9/A' THEN CASE WHEN s.state = 'none' THEN 'unknown' END WHEN w.form = 'SC 14D9' OR pos THEN 'active' WHEN s.state = 'active' AND sf THEN 'completed' WHEN s.state = 'active' AND st THEN 'terminated' END AS ev) e)"""
+
+
+@query(f"WITH RECURSIVE {_DEAL} SELECT ticker, decision_date, state, reason, form, acc AS accession_number FROM (SELECT *, row_number() OVER (PARTITION BY ticker, decision_date ORDER BY k DESC) AS z FROM st) WHERE z = 1")
+def j08_states_as_of(spark, sf_dir):
+    """The state of every ticker at every quarter's decision, of the filings of two years before it."""
+    return X.states_as_of(FX.deal_filings(spark, sf_dir), FX.deal_decisions(spark, sf_dir)).drop("accepted_at")
+
+
 @query("""WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS ticker, CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS acc_at, ['8-K', '6-K', 'S-3', '424B5', 'NT 10-Q', 'SC 13D', 'SC 13D/A', '10-K'][CAST(o_orderkey % 8 + 1 AS BIGINT)] AS form, o_orderkey % 5 AS k, o_orderkey FROM orders)
 SELECT CAST(o_orderkey AS VARCHAR) AS accession_number, form FROM f WHERE acc_at <= TIMESTAMP '1998-06-30 18:00:00' AND acc_at >= TIMESTAMP '1998-06-30 18:00:00' - INTERVAL 732 DAY AND (form = '6-K' OR (form = '8-K' AND k IN (1, 3)))""")
 def j10_selected_filings(spark, sf_dir):
@@ -824,6 +839,44 @@ def j14_backtest(spark, sf_dir):
     return rounded(out.select("decision_date", "result_date", "status", "invalid_reason", "universe_size", "hits_at_10", "basket_return_14", "passed"), "basket_return_14")
 
 
+#: Ranks, statuses as of each date, and what is left of each date: names that are met and flagged go, dates with a gap keep all.
+_DATED = f"""{Q.RANKING}, sta AS (SELECT *, CAST(substr(ticker, 2) AS INT) + month(decision_date) AS k FROM rnk), flg AS (SELECT *, CASE WHEN month(decision_date) % 5 = 0 AND k % 11 = 0 THEN NULL ELSE k % 9 = 0 END AS flagged FROM sta),
+chk AS (SELECT *, coalesce(sum(CASE WHEN coalesce(flagged, false) THEN 0 ELSE 1 END) OVER (PARTITION BY decision_date ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 30 AS checked FROM flg),
+gap AS (SELECT *, bool_or(checked AND flagged IS NULL) OVER (PARTITION BY decision_date) AS uncovered FROM chk),
+rnk2 AS (SELECT ticker, decision_date, score, row_number() OVER (PARTITION BY decision_date ORDER BY rank) AS rank, uncovered FROM gap WHERE uncovered OR NOT (checked AND coalesce(flagged, false)))"""
+_MATURED_DATED = _DATED + Q.MATURED[len(Q.RANKING) :].replace("FROM rnk r", "FROM rnk2 r")
+
+
+@query(f"""WITH {_MATURED_DATED}, {_DAILY}, dd AS (SELECT c.dt AS decision_date, c.idx, c2.dt AS result_date FROM cal c JOIN cal c2 ON c2.idx = c.idx + 14), last30 AS (SELECT * FROM dd ORDER BY idx DESC LIMIT 30), pl AS (SELECT decision_date, count(*) AS n, count(forward_return) AS m, bool_or(uncovered) AS uncovered, count(DISTINCT CASE WHEN rank <= 10 AND forward_return IS NOT NULL THEN rank END) AS t FROM mat GROUP BY 1),
+z AS (SELECT l.*, coalesce(n, 0) AS n, m / CAST(n AS DOUBLE) AS cov, y.* EXCLUDE (decision_date, universe_size), CASE WHEN l.idx < 59 THEN 'insufficient_history' WHEN uncovered THEN 'corporate_action_status_unavailable' WHEN coalesce(n, 0) < 10 THEN 'eligible_universe_below_top_10' WHEN m / CAST(n AS DOUBLE) < 0.9 THEN 'outcome_coverage_below_90pct' WHEN t < 10 THEN 'top_10_outcomes_incomplete' WHEN m < n THEN 'complete_universe_outcomes_required' WHEN precision_at_k IS NULL THEN 'evaluation_failed' END AS why
+FROM last30 l LEFT JOIN pl ON pl.decision_date = l.decision_date LEFT JOIN daily y ON y.decision_date = l.decision_date)
+SELECT decision_date, result_date, CASE WHEN why IS NULL THEN 'VALID' ELSE 'INVALID' END AS status, why AS invalid_reason, CASE WHEN why IS NULL OR why <> 'insufficient_history' THEN n END AS universe_size, CASE WHEN n >= 10 AND coalesce(why, '') NOT IN ('insufficient_history', 'corporate_action_status_unavailable') THEN round(cov, 6) + 0.0 END AS outcome_coverage,
+CASE WHEN why IS NULL THEN CAST(round(precision_at_k * 10) AS BIGINT) END AS hits_at_10, CASE WHEN why IS NULL THEN round(basket_return, 6) + 0.0 END AS basket_return_14 FROM z""")
+def j14_backtest_with_statuses(spark, sf_dir):
+    """Statuses as of each date: a name flagged in one month stays in another; a date that lacks one is invalid by itself."""
+    b = bars(spark, sf_dir)
+    statuses = FX.dated_statuses(spark, R.rank_dates(b, FIXTURE))
+    out = BT.backtest(b, FIXTURE, statuses=statuses)
+    return rounded(out.select("decision_date", "result_date", "status", "invalid_reason", "universe_size", "outcome_coverage", "hits_at_10", "basket_return_14"), "outcome_coverage", "basket_return_14")
+
+
+@query(f"WITH {_DATED} SELECT ticker, decision_date, rank, uncovered FROM rnk2")
+def g03_replace_by_date(spark, sf_dir):
+    ranking = FX.stored(R.rank_dates(bars(spark, sf_dir), FIXTURE), "ranking")
+    return R.replace_flagged(ranking, FX.dated_statuses(spark, ranking), strict=False).select("ticker", "decision_date", "rank", "uncovered")
+
+
+@query(f"WITH {Q.FEATURES} SELECT ticker, dt, idx, close, history_complete_60d, {S6('return_5d', 'return_20d', 'average_dollar_volume_20d', 'volume_zscore_20')} FROM feat")
+def c10_features_of_repeated_bars(spark, sf_dir):
+    """Bars arrive with up to two older versions of themselves; the last by sequence counts, and nothing is shifted."""
+    b = bars(spark, sf_dir).withColumn("seq", F.lit(9))
+    old = b.filter("volume % 3 <> 0").withColumns({"close": F.col("close") * 3, "volume": F.col("volume") + 1, "seq": F.lit(2)})
+    older = b.filter("volume % 5 = 0").withColumns({"close": F.lit(1.0), "seq": F.lit(1)})
+    f = FE.base_features(FE.with_index(older.unionByName(b).unionByName(old), sequence="seq"), FIXTURE)
+    names = ("return_5d", "return_20d", "average_dollar_volume_20d", "volume_zscore_20")
+    return rounded(f.select("ticker", "dt", "idx", "close", "history_complete_60d", *names), *names)
+
+
 @query(f"""WITH {Q.BARS}, {_READY} SELECT b.ticker, count(*) AS rows, bool_or(CAST(substr(b.ticker, 2, 6) AS VARCHAR) < '000050' AND b.ticker <> 'SPY') AS in_requested, bool_or(b.ticker <> 'SPY' AND substr(b.ticker, 2, 6) < '000050' AND b.ticker IN (SELECT ticker FROM ready)) AS in_ready FROM bars b GROUP BY 1""")
 def j16_split_panel(spark, sf_dir):
     req = T.read(spark, sf_dir, "supplier").filter("s_suppkey < 50").select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker"))
