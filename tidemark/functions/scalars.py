@@ -52,8 +52,13 @@ def items(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<!\d)(\d+\.\d+)(?!\d)"), 1))
 
 
-def flag(c: Column, yes: tuple[str, ...] = ("Y", "TRUE", "1", "R", "S"), no: tuple[str, ...] = ("N", "FALSE", "0", "")) -> Column:
-    """True, false, or null for what is neither; blank is false."""
+# What a flag's text may be, by field. Blank is no, but for a plan flag, where it is unknown.
+YES, NO = ("Y", "YES", "TRUE", "1"), ("N", "NO", "FALSE", "0")
+SPLIT_YES, REVISED_YES = (*YES, "S"), (*YES, "R", "REVISED")
+
+
+def flag(c: Column, yes: tuple[str, ...] = YES, no: tuple[str, ...] = (*NO, "")) -> Column:
+    """True, false, or null for what is neither; blank is false unless ``no`` lacks it."""
     v = F.upper(F.trim(F.coalesce(c, F.lit(""))))
     return F.when(v.isin(*yes), F.lit(True)).when(v.isin(*no), F.lit(False))
 
@@ -64,7 +69,18 @@ def number(c: Column, kind: str = "double") -> Column:
     return F.when((v >= 0) & (v < F.lit(float("inf"))), v)
 
 
-def bad_flag(c: Column, yes: tuple[str, ...] = ("Y", "TRUE", "1", "R", "S"), no: tuple[str, ...] = ("N", "FALSE", "0", "")) -> Column:
+def count(c: Column) -> Column:
+    """A whole number of digits alone, thousands separators apart, within 64 bits; null for anything else."""
+    v = F.regexp_replace(F.trim(c), ",", "")
+    return F.when(v.rlike(r"^[0-9]+$"), v.try_cast("long"))
+
+
+def bad_count(c: Column, required: bool = False) -> Column:
+    """Whether a count is malformed (or blank, where it is required): strict readers refuse it."""
+    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(required)).otherwise(count(c).isNull())
+
+
+def bad_flag(c: Column, yes: tuple[str, ...] = YES, no: tuple[str, ...] = (*NO, "")) -> Column:
     """Whether a flag is neither yes nor no: strict readers refuse it."""
     return flag(c, yes, no).isNull() & (F.trim(F.coalesce(c, F.lit(""))) != "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import base_form, clip, form, items
 from ..functions.windows import observed_percentile_rank
 from . import calendar as C
-from .panel import require_finite, require_unique
+from .panel import require_finite, require_instants, require_unique
 
 # Form and item families.
 MATERIAL_ITEMS = (
@@ -43,12 +43,24 @@ def known_positions(decisions: DataFrame, positions: DataFrame) -> DataFrame:
     decisions: ticker, decision_date, cutoff. positions: symbol, settlement_date, available_at, short_interest, stock_split_flag, revision_flag.
     A late revision of an older cycle replaces that cycle alone. Versions and decisions lie in one timeline per ticker, over which two running
     maxima go: the newest cycle, and the largest of what has ever been second to it, which is whatever a newer cycle displaced or an older one
-    brought. So the work is linear in versions and decisions, and no decision meets the versions before it."""
+    brought. So the work is linear in versions and decisions, and no decision meets the versions before it.
+
+    Errors, which the run itself raises: a position without one of these values, below zero, or available before its settlement, and two of one
+    cycle that differ and were available at the same instant (they lie side by side in the timeline)."""
     fields = ("settlement_date", "available_at", "short_interest", "stock_split_flag", "revision_flag")
-    known = positions.filter("settlement_date IS NOT NULL").select(F.col("symbol").alias("ticker"), F.col("available_at").alias("at"), F.lit(0).alias("kind"), F.struct(*fields).alias("v"))
+    require_instants(positions, ["available_at"])
+    bad = F.col("short_interest") < 0
+    for c in fields:
+        bad = bad | F.col(c).isNull()
+    bad = bad | (F.to_date("available_at") < F.col("settlement_date"))
+    told = F.when(bad, F.raise_error(F.concat(F.lit("a short-interest position is invalid: "), F.coalesce("symbol", F.lit("no symbol"))))).otherwise(F.struct(*fields))
+    known = positions.select(F.col("symbol").alias("ticker"), F.coalesce("available_at", F.lit(0).cast("timestamp")).alias("at"), F.lit(0).alias("kind"), told.alias("v"))
     asked = decisions.select("ticker", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), "decision_date")
     rows = known.unionByName(asked, allowMissingColumns=True).filter("at IS NOT NULL")
-    timeline = Window.partitionBy("ticker").orderBy("at", "kind")
+    timeline = Window.partitionBy("ticker").orderBy("at", "kind", "v")
+    last = F.lag("v").over(timeline)
+    clash = (F.col("v.settlement_date") == last["settlement_date"]) & (F.col("v.available_at") == last["available_at"]) & (F.col("v") != last)
+    rows = rows.withColumn("v", F.when(clash, F.raise_error(F.concat(F.lit("conflicting short-interest positions of "), F.col("ticker")))).otherwise(F.col("v")))
     to_here, before = timeline.rowsBetween(Window.unboundedPreceding, 0), timeline.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("c", F.max("v").over(to_here)).withColumn("top", F.max("v").over(before))
     second = F.when(F.col("v.settlement_date") > F.col("top.settlement_date"), F.col("top")).when(F.col("v.settlement_date") < F.col("top.settlement_date"), F.col("v"))
@@ -60,10 +72,20 @@ def known_positions(decisions: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
+def checked_decisions(decisions: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Decisions as they are; a ticker and date that repeats, or a date that is no session, is an error."""
+    require_unique(decisions, ["ticker", "decision_date"], "decisions")
+    off = decisions.select("decision_date").distinct().join(F.broadcast(calendar.select(F.col("session").alias("decision_date"))), "decision_date", "left_anti")
+    if not off.isEmpty():
+        raise ValueError("decision_date holds a date that is no session")
+    return decisions
+
+
 def short_interest_features(decisions: DataFrame, positions: DataFrame, calendar: DataFrame, volumes: DataFrame | None = None, shares: DataFrame | None = None, max_age: int = 60) -> DataFrame:
     """Short-interest features of every decision; all null where nothing is known or what is known is older than ``max_age`` sessions.
 
     volumes: ticker, decision_date, average_daily_volume; shares: ticker, shares_outstanding."""
+    checked_decisions(decisions, calendar)
     cut = decisions.select("ticker", "decision_date").join(F.broadcast(calendar.select(F.col("session").alias("decision_date"), F.col("close_ts").alias("cutoff"))), "decision_date")
     k = C.session_age(known_positions(cut, positions), calendar, "settlement_date", "decision_date")
     fresh = F.col("age_sessions") <= max_age
@@ -115,6 +137,7 @@ def in_window(decisions: DataFrame, events: DataFrame, calendar: DataFrame, look
     """Every decision with every event whose session lies in its window and that was available at its cutoff.
 
     Events and windows are cut into blocks of ``lookback`` sessions: a window touches two of them, so the join is an equality."""
+    require_instants(events, ["available_at"])
     w = C.window_before(decisions.select("ticker", "decision_date"), calendar, lookback)
     w = w.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("first_idx") / lookback), F.floor(F.col("d_idx") / lookback)))))
     e = C.effective_session(events, calendar).filter("idx IS NOT NULL").withColumn("block", F.floor(F.col("idx") / lookback))
@@ -140,11 +163,16 @@ def filing_features(decisions: DataFrame, filings: DataFrame, calendar: DataFram
 
 
 def insider_features(decisions: DataFrame, trades: DataFrame, calendar: DataFrame, lookback: int = 60, cluster: int = 2) -> DataFrame:
-    """Open-market purchases in each decision's window: a transaction's dollars once, however many owners report it; owners all counted."""
+    """Open-market purchases in each decision's window: a transaction's dollars once, however many owners report it; owners all counted.
+
+    A transaction that comes with two amounts or plan flags is an error, which the run itself raises."""
     buys = trades.filter("transaction_code = 'P' AND shares > 0 AND price > 0").withColumn("amount", F.col("shares") * F.col("price"))
     e = in_window(decisions, buys, calendar, lookback)
     keys = ["ticker", "decision_date"]
-    once = e.filter("transaction_id IS NOT NULL").groupBy(*keys, "transaction_id").agg(F.max("amount").alias("amount"), F.max("is_10b5_1").alias("is_10b5_1")).drop("transaction_id")
+    told = F.struct("amount", "is_10b5_1")
+    once = e.filter("transaction_id IS NOT NULL").groupBy(*keys, "transaction_id").agg(F.min(told).alias("a"), F.max(told).alias("z"))
+    clash = F.raise_error(F.concat(F.lit("conflicting reports of transaction "), F.col("transaction_id")))
+    once = once.select(*keys, F.when(~F.col("a").eqNullSafe(F.col("z")), clash).otherwise(F.col("z")).alias("t")).select(*keys, "t.amount", "t.is_10b5_1")
     money = once.unionByName(e.filter("transaction_id IS NULL").select(*keys, "amount", "is_10b5_1"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0.0))
     plan = F.col("is_10b5_1")
@@ -158,7 +186,7 @@ def insider_features(decisions: DataFrame, trades: DataFrame, calendar: DataFram
 def event_features(decisions: DataFrame, filings: DataFrame, trades: DataFrame, coverage: DataFrame, calendar: DataFrame, lookback: int = 60) -> DataFrame:
     """Filing and insider features of every decision: null where the source isn't complete over the window, zero where it is and nothing happened."""
     keys = ["ticker", "decision_date"]
-    out = decisions.select(*keys)
+    out = checked_decisions(decisions, calendar).select(*keys)
     for name, rows in (("filings", filing_features(decisions, filings, calendar, lookback)), ("insider", insider_features(decisions, trades, calendar, lookback))):
         c = window_coverage(decisions, coverage, calendar, name, lookback).select(*keys, F.col("status").alias(f"{name}_coverage"))
         out = out.join(c, keys, "left").join(rows, keys, "left")

@@ -145,3 +145,15 @@ def coverage_intervals(quarter_rows: DataFrame, tickers: DataFrame, archives: Da
         .otherwise(F.array(part(start, to, "complete"), part(F.date_add(to, 1), end, "missing")))
     )
     return grid.select("ticker", F.inline(rows))
+
+
+def insider_intervals(quarter_rows: DataFrame, tickers: DataFrame, archives: DataFrame) -> DataFrame:
+    """Coverage rows per ticker and quarter of a source that comes as one archive a quarter.
+
+    tickers: ticker, mapped. archives: q, observed_at (a date). A quarter that was still open when its archive was last observed is partial as a whole,
+    as nothing says up to where; one observed after its end is complete; unmapped, or without archive: missing. quarter_rows: of ``quarters``."""
+    seen = archives.groupBy("q").agg(F.max("observed_at").alias("observed_at"))
+    grid = quarter_rows.drop("is_open").join(F.broadcast(seen), "q", "left").crossJoin(tickers)
+    closes = F.date_sub(F.add_months("q", 3), 1)
+    status = F.when(~F.col("mapped") | F.col("observed_at").isNull(), "missing").when(F.col("observed_at") <= closes, "partial").otherwise("complete")
+    return grid.select("ticker", F.col("quarter_start").alias("coverage_start"), F.col("quarter_end").alias("coverage_end"), status.alias("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contract import Contract
 from ..functions.windows import ceil_share, place
-from .labels import date_quality
+from .labels import date_quality, pool_keys
 
 
 def _rate(c: str, when: Column) -> Column:
@@ -99,16 +99,24 @@ def longest_streak(daily: DataFrame, calendar: DataFrame, by: str = "strategy_ve
     return runs.groupBy(by).agg(F.max("n").alias("longest_streak"))
 
 
-def evidence(outcomes: DataFrame, evaluated: DataFrame, contract: Contract) -> DataFrame:
-    """decision_date, status: the first reason in order why a ledger date is no evidence, else EVALUATED."""
-    k = contract.top_k
-    d = outcomes.groupBy("decision_date").agg(
-        F.count("*").alias("n"),
+def evidence(outcomes: DataFrame, evaluated: DataFrame, contract: Contract, calendar: DataFrame, latest: DataFrame) -> DataFrame:
+    """strategy_version where there is one, decision_date, result_date, counts, status: the first reason in order why a ledger date is no evidence, else EVALUATED.
+
+    A date whose result session lies after the panel's last (``latest``: one row, column session) isn't due and isn't returned. A pool's size is what its
+    rows say; where they disagree it is none."""
+    from .calendar import later_session
+
+    k, keys = contract.top_k, pool_keys(outcomes)
+    due = later_session(calendar, contract.horizon).select(F.col("session").alias("decision_date"), "result_date").crossJoin(F.broadcast(latest.select(F.col("session").alias("latest")))).filter("result_date <= latest").drop("latest")
+    told = F.when(F.min("universe_size") == F.max("universe_size"), F.max("universe_size")).otherwise(0) if "universe_size" in outcomes.columns else F.count("*")
+    d = outcomes.groupBy(*keys).agg(
+        told.cast("long").alias("n"),
         F.count("forward_return").alias("m"),
         F.countDistinct(F.when((F.col("rank") <= k) & F.col("forward_return").isNotNull(), F.col("rank"))).alias("top_ranks"),
     )
-    d = d.join(F.broadcast(evaluated.select("decision_date", F.lit(True).alias("done"))), "decision_date", "left")
-    cover = F.col("m") / F.col("n")
+    both = [c for c in keys if c in evaluated.columns]
+    d = d.join(F.broadcast(due), "decision_date").join(F.broadcast(evaluated.select(*both, F.lit(True).alias("done")).distinct()), both, "left")
+    cover = F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(0.0)
     status = (
         F.when(F.col("n") < k, f"eligible_universe_below_top_{k}")
         .when(cover < contract.min_coverage, "outcome_coverage_below_90pct")
@@ -117,7 +125,7 @@ def evidence(outcomes: DataFrame, evaluated: DataFrame, contract: Contract) -> D
         .when(F.col("done").isNull(), "evaluation_failed")
         .otherwise("EVALUATED")
     )
-    return d.select("decision_date", F.col("n").alias("universe_size"), F.col("m").alias("outcome_count"), status.alias("status"))
+    return d.select(*keys, "result_date", F.col("n").alias("universe_size"), F.col("m").alias("outcome_count"), status.alias("status"))
 
 
 def ledger_requirements(ledger: DataFrame, calendar: DataFrame, bars: DataFrame, contract: Contract) -> DataFrame:

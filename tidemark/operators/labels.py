@@ -42,9 +42,14 @@ def with_outcomes(rows: DataFrame, labels: DataFrame, date: str = "decision_date
     return rows.join(lab, (rows.ticker == lab.l_ticker) & (rows[date] == lab.l_dt), "left").drop("l_ticker", "l_dt")
 
 
+def pool_keys(outcomes: DataFrame) -> list[str]:
+    """What makes a pool: the decision date, and the strategy where rows name one."""
+    return [c for c in ("strategy_version", "decision_date") if c in outcomes.columns]
+
+
 def date_quality(outcomes: DataFrame, contract: Contract) -> DataFrame:
-    """Per decision date: universe_size, outcome_count, outcome_coverage, date_valid, invalid_reason."""
-    q = outcomes.groupBy("decision_date").agg(F.max("result_date").alias("result_date"), F.count("*").alias("universe_size"), F.count("forward_return").alias("outcome_count"))
+    """Per decision date (and strategy_version where there is one): universe_size, outcome_count, outcome_coverage, date_valid, invalid_reason."""
+    q = outcomes.groupBy(*pool_keys(outcomes)).agg(F.max("result_date").alias("result_date"), F.count("*").alias("universe_size"), F.count("forward_return").alias("outcome_count"))
     small, short = F.col("universe_size") < contract.top_k, F.col("outcome_count") != F.col("universe_size")
     return q.select(
         "*",
@@ -54,11 +59,6 @@ def date_quality(outcomes: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def pool_keys(outcomes: DataFrame) -> list[str]:
-    """What makes a pool: the decision date, and the strategy where rows name one."""
-    return [c for c in ("strategy_version", "decision_date") if c in outcomes.columns]
-
-
 def with_thresholds(outcomes: DataFrame, contract: Contract) -> DataFrame:
     """Adds hit_threshold: the nearest-rank quantile of a complete pool's returns, at least ``hit_return``; null in incomplete pools.
 

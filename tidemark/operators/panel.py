@@ -62,6 +62,15 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     return df
 
 
+def require_instants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Instants must be instants: a time without zone, or a text, means another instant under each session's zone."""
+    kinds = dict(df.dtypes)
+    wrong = [c for c in columns if kinds.get(c, "timestamp") != "timestamp"]
+    if wrong:
+        raise ValueError(f"{wrong} must hold instants with a zone")
+    return df
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "m:1") -> DataFrame:
     """A join whose one-sides are checked to be unique first."""
     one_left, one_right = validate.split(":")

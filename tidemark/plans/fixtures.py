@@ -14,6 +14,7 @@ from ..operators import bitemporal as B
 from ..operators import calendar as C
 from ..operators import research as K
 from ..operators import transactions as X
+from ..sources import archives as RA
 from ..sources import readers as RD
 from ..streaming import ingest as SI
 
@@ -47,6 +48,28 @@ def lines(rows: DataFrame, name: str) -> str:
     return path
 
 
+#: The driver's months as sessions that close on their last day.
+def month_calendar(spark: SparkSession) -> DataFrame:
+    from pyspark.sql import Window
+
+    months = spark.sql("SELECT explode(sequence(DATE'1994-01-01', DATE'2003-12-01', INTERVAL 1 MONTH)) AS session")
+    return months.select("session", (F.row_number().over(Window.orderBy("session")) - 1).cast("long").alias("idx"), (F.last_day("session").cast("timestamp") + F.expr("INTERVAL 21 HOURS")).alias("close_ts"))
+
+
+def receptions(spark: SparkSession, sf_dir: str) -> str:
+    """An archive of filing indexes and insider files by quarter: one quarter observed twice, one while it was open, one never."""
+    root = scratch(spark, "archive")
+    o = T.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    for period, first, upto, told in (("1996Q1", "1996-01-01", "1996-03-31", ("1996-02-15", "1996-03-31")), ("1996Q2", "1996-04-01", "1996-06-30", ("1996-06-28",)), ("1996Q3", "1996-07-01", "1996-09-30", ("1996-08-14",))):
+        for day in told:
+            own = o.filter(F.col("d").between(first, min(upto, day))).select(F.concat_ws("|", F.lit("1"), F.lit("Name"), F.lit("8-K"), F.date_format("d", "yyyy-MM-dd"), F.concat(F.lit("edgar/data/1/"), _accession(F.col("o_orderkey")), F.lit(".txt"))).alias("value"))
+            said = spark.range(1).select(F.concat(F.lit("Last Data Received: "), F.date_format(F.lit(day).cast("date"), "MMMM d, yyyy")).alias("value"))
+            RA.store(own.unionByName(said), root, "filing-index", period, day if day < upto else "1996-04-20")
+    for period, day in (("1996Q1", "1996-04-15"), ("1996Q2", "1996-06-30"), ("1996Q4", "1997-01-10")):
+        RA.store(spark.range(1).select(F.lit(period).alias("value")), root, "insider", period, day)
+    return root
+
+
 def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     yes = lambda m: F.when(k % m == 0, "Y").otherwise("N")
@@ -71,18 +94,31 @@ def short_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_interest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The positions by way of a delimited file with its own header names and thousands separators."""
-    s = short_positions(spark, sf_dir).select(
-        T.supplier_ticker(F.col("l_suppkey")).alias("symbolCode"), F.format_number(F.col("quantity").cast("long"), 0).alias("currentShortPositionQuantity"),
-        F.when(F.col("l_suppkey") % 17 == 0, "S").otherwise("").alias("stockSplitFlag"), F.lit("").alias("revisionFlag"), F.date_format("settlement_date", "yyyyMMdd").alias("settlementDate"),
-    )
-    return RD.short_interest_file(spark, written(s, "short"), T.daily_calendar(spark), _cycles(spark))
+    """The positions by way of the archive: delimited files with their own header names and thousands separators, one per observation.
+
+    Some suppliers' cycles of two years come again as revised rows, a tenth more, in files observed at later dates."""
+    root = scratch(spark, "archive")
+    s = short_positions(spark, sf_dir)
+
+    def put(rows: DataFrame, quantity, mark: str, period: str, observed_at: str) -> None:
+        own = rows.select(
+            T.supplier_ticker(F.col("l_suppkey")).alias("symbolCode"), F.format_number(quantity, 0).alias("currentShortPositionQuantity"), F.when(F.col("l_suppkey") % 17 == 0, "S").otherwise("").alias("stockSplitFlag"),
+            F.lit(mark).alias("revisionFlag"), F.date_format("settlement_date", "yyyyMMdd").alias("settlementDate"),
+        )
+        RA.store(own, root, "short-interest", period, observed_at, "|")
+
+    quantity = F.col("quantity").cast("long")
+    put(s, quantity, "", "all", "2001-12-01")
+    again = s.filter((F.col("l_suppkey") + F.month("settlement_date")) % 11 == 0)
+    for year, mark in ((1998, "R"), (1999, "revised")):
+        put(again.filter(F.year("settlement_date") == year), F.floor(quantity * 1.1), mark, f"revised-{year}", f"{year + 1}-06-15")
+    return RA.observed_positions(spark, root, "2001-12-15", T.daily_calendar(spark), _cycles(spark).filter("publication_date IS NOT NULL"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with revisions: a tenth more, observed 20 sessions after settlement, for some suppliers and months."""
     cal = T.daily_calendar(spark)
-    first = stored(short_interest_read(spark, sf_dir), "positions")
+    first = stored(short_interest_read(spark, sf_dir).filter("NOT revision_flag").withColumn("short_interest", F.col("short_interest").cast("double")), "positions")
     key = F.expr("cast(substring(symbol, 2) AS long)")
     late = first.filter((key + F.month("settlement_date")) % 11 == 0).join(F.broadcast(cal.select(F.col("session").alias("settlement_date"), (F.col("idx") + 21).alias("k"))), "settlement_date")
     late = late.join(F.broadcast(cal.select(F.col("idx").alias("k"), F.col("close_ts").alias("seen"))), "k")

@@ -23,6 +23,8 @@ from ..operators import panel as P
 from ..operators import ranking as R
 from ..operators import research as K
 from ..operators import transactions as X
+from ..operators import worklist as W
+from ..sources import archives as RA
 from ..sources import tables as ST
 from . import fixtures as FX
 from . import sql as Q
@@ -114,9 +116,10 @@ def a05_symbol_directories(spark, sf_dir):
 
 @query(f"""WITH {Q.DAYS}, cyc AS (SELECT max(CASE WHEN day(session) <= 15 THEN session END) AS a, max(session) AS b FROM days GROUP BY date_trunc('month', session)),
 cy AS (SELECT unnest([a, b]) AS settlement_date FROM cyc), pub AS (SELECT c.settlement_date, p.session AS publication_date FROM cy c JOIN dcal d ON d.session = c.settlement_date LEFT JOIN dcal p ON p.idx = d.idx + 7),
-s AS (SELECT {Q.TICKER.format("l_suppkey")} AS symbol, max(settlement_date) AS settlement_date, sum(l_quantity) AS q, l_suppkey FROM (SELECT l.*, (SELECT min(settlement_date) FROM cy WHERE settlement_date >= CAST(l_shipdate AS DATE)) AS settlement_date FROM lineitem l) WHERE settlement_date IS NOT NULL GROUP BY l_suppkey, settlement_date)
-SELECT symbol, s.settlement_date, publication_date, (SELECT min(close_ts) FROM dcal WHERE session > publication_date) AS available_at, CAST(q AS DOUBLE) AS short_interest, l_suppkey % 17 = 0 AS stock_split_flag, false AS revision_flag
-FROM s JOIN pub ON pub.settlement_date = s.settlement_date""")
+s AS (SELECT {Q.TICKER.format("l_suppkey")} AS symbol, max(settlement_date) AS settlement_date, sum(l_quantity) AS q, l_suppkey FROM (SELECT l.*, (SELECT min(settlement_date) FROM cy WHERE settlement_date >= CAST(l_shipdate AS DATE)) AS settlement_date FROM lineitem l) WHERE settlement_date IS NOT NULL GROUP BY l_suppkey, settlement_date),
+v AS (SELECT l_suppkey, symbol, s.settlement_date, publication_date, CAST(q AS BIGINT) AS q, DATE '1900-01-01' AS seen FROM s JOIN pub ON pub.settlement_date = s.settlement_date UNION ALL
+SELECT l_suppkey, symbol, s.settlement_date, publication_date, CAST(floor(CAST(q AS BIGINT) * CAST(1.1 AS DOUBLE)) AS BIGINT), make_date(year(s.settlement_date) + 1, 6, 15) FROM s JOIN pub ON pub.settlement_date = s.settlement_date WHERE year(s.settlement_date) IN (1998, 1999) AND (l_suppkey + month(s.settlement_date)) % 11 = 0)
+SELECT symbol, settlement_date, publication_date, (SELECT min(close_ts) FROM dcal WHERE session > greatest(publication_date, seen)) AS available_at, q AS short_interest, l_suppkey % 17 = 0 AS stock_split_flag, seen > DATE '1900-01-01' AS revision_flag FROM v""")
 def a06_short_interest_file(spark, sf_dir):
     return FX.short_interest_read(spark, sf_dir)
 
@@ -410,6 +413,59 @@ def e04_sync_report(spark, sf_dir):
     return P.sync_report(bars(spark, sf_dir), T.statuses(spark, sf_dir).select("ticker"), 20)
 
 
+_MONTHS = "mcal AS (SELECT CAST(m AS DATE) AS session, CAST(last_day(CAST(m AS DATE)) AS TIMESTAMP) + INTERVAL 21 HOUR AS close_ts FROM range(TIMESTAMP '1994-01-01', TIMESTAMP '2003-12-02', INTERVAL 1 MONTH) t(m))"
+_CONSIDERED = f"""req AS (SELECT {Q.TICKER.format("s_suppkey")} AS ticker, s_suppkey AS k FROM supplier UNION ALL SELECT 'SPY', 1 UNION ALL SELECT 'X' || s_suppkey, 1 FROM supplier WHERE s_suppkey < 5), req2 AS (SELECT ticker FROM req WHERE k % 13 <> 0)"""
+
+
+def _plan_sql(now: str, due: str) -> str:
+    """Written apart from the operator: one row per reason, the earliest start of each ticker."""
+    return f"""WITH {Q.RANKING}, {_MONTHS}, {_CONSIDERED}, x AS (SELECT max(session) AS expected FROM mcal WHERE close_ts <= TIMESTAMP '{now}'), bm AS (SELECT max(dt) AS b FROM bars, x WHERE ticker = 'SPY' AND dt <= expected),
+l AS (SELECT session, row_number() OVER (ORDER BY session DESC) AS k FROM mcal, bm WHERE session <= b), h AS (SELECT ticker, count(DISTINCT CASE WHEN k <= 20 THEN dt END) AS n20, count(DISTINCT CASE WHEN k <= 40 THEN dt END) AS n40 FROM bars JOIN l ON l.session = dt WHERE raw_close IS NOT NULL GROUP BY 1),
+z AS (SELECT ticker, max(dt) AS last_dt FROM bars, x WHERE dt <= expected GROUP BY 1), j AS (SELECT r.ticker, coalesce(n20 = 20, false) AS s, coalesce(n40 = 40, false) AS w, last_dt FROM req2 r LEFT JOIN h ON h.ticker = r.ticker LEFT JOIN z ON z.ticker = r.ticker),
+o AS (SELECT q.ticker, min(q.decision_date) - 7 AS start FROM ({due}) q LEFT JOIN req2 r ON r.ticker = q.ticker, x WHERE r.ticker IS NULL OR q.result_date <= expected GROUP BY q.ticker),
+e AS (SELECT NOT coalesce(b = expected AND (SELECT bool_or(s AND w) FROM j WHERE ticker = 'SPY') AND (SELECT avg(CAST(s AS INT)) >= 0.9 AND avg(CAST(w AS INT)) >= 0.9 FROM j) AND NOT EXISTS (SELECT 1 FROM o), false) AS work FROM x, bm),
+a AS (SELECT ticker, CASE WHEN NOT w THEN CAST(TIMESTAMP '{now}' AS DATE) - 210 ELSE coalesce(b, CAST(TIMESTAMP '{now}' AS DATE)) - 7 END AS start, CASE WHEN NOT w THEN 'backfill' ELSE 'refresh' END AS action FROM j, x, bm, e WHERE work AND (NOT w OR b IS DISTINCT FROM expected OR last_dt IS DISTINCT FROM b) UNION ALL SELECT ticker, start, 'outcome' FROM o)
+SELECT ticker, min(start) AS start, (SELECT expected + 1 FROM x) AS "end", array_to_string(list_sort(list(DISTINCT action)), ',') AS actions FROM a GROUP BY ticker"""
+
+
+def _plan(spark, sf_dir, now: str, ledger: bool) -> DataFrame:
+    b, months = bars(spark, sf_dir), FX.month_calendar(spark)
+    s = T.read(spark, sf_dir, "supplier").select("s_suppkey")
+    names = s.filter("s_suppkey % 13 <> 0").select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker"))
+    names = names.unionByName(spark.range(1).select(F.lit("SPY").alias("ticker"))).unionByName(s.filter("s_suppkey < 5").select(F.concat(F.lit("X"), F.col("s_suppkey").cast("string")).alias("ticker")))
+    need = E.ledger_requirements(R.rank_dates(b, FIXTURE), months, b, FIXTURE) if ledger else None
+    out = W.sync_plan(b, names, months, F.lit(now).cast("timestamp"), need, 20, 40)
+    return out.withColumn("actions", F.array_join("actions", ","))
+
+
+_DUE = "SELECT r.ticker, r.decision_date, CAST(r.decision_date + INTERVAL 14 MONTH AS DATE) AS result_date FROM rnk r WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = r.ticker AND b.dt = CAST(r.decision_date + INTERVAL 14 MONTH AS DATE))"
+
+
+@query(_plan_sql("2001-12-05 00:00:00", _DUE))
+def d19_sync_plan(spark, sf_dir):
+    """Backfill, refresh and the ledger's open outcomes in one plan: an interval per ticker, the panel being at the expected session."""
+    return _plan(spark, sf_dir, "2001-12-05 00:00:00", True)
+
+
+@query(_plan_sql("2002-03-05 00:00:00", "SELECT ticker, decision_date, decision_date AS result_date FROM rnk WHERE false"))
+def d19_stale_plan(spark, sf_dir):
+    """A panel that ends months before the expected session: everything is to be refreshed."""
+    return _plan(spark, sf_dir, "2002-03-05 00:00:00", False)
+
+
+@query(f"""WITH {Q.BARS}, {_MONTHS}, {_CONSIDERED}, n AS (SELECT unnest([TIMESTAMP '2001-12-05', TIMESTAMP '2002-03-05']) AS now), x AS (SELECT now, max(session) AS expected FROM mcal, n WHERE close_ts <= now GROUP BY now), bm AS (SELECT now, expected, max(dt) AS b FROM bars, x WHERE ticker = 'SPY' AND dt <= expected GROUP BY 1, 2),
+l AS (SELECT now, session, row_number() OVER (PARTITION BY now ORDER BY session DESC) AS k FROM mcal, bm WHERE session <= b), h AS (SELECT now, ticker FROM bars JOIN l ON l.session = dt AND k <= 20 WHERE raw_close IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT dt) = 20)
+SELECT (SELECT count(*) FROM req2) AS requested, r AS ready, r / CAST((SELECT count(*) FROM req2) AS DOUBLE) AS coverage, b AS as_of, expected, b = expected AS fresh FROM (SELECT bm.*, (SELECT count(*) FROM h WHERE h.now = bm.now AND h.ticker IN (SELECT ticker FROM req2)) AS r FROM bm)""")
+def e04_sync_status(spark, sf_dir):
+    """Readiness and freshness against a calendar's expected session, at two instants."""
+    b, months = bars(spark, sf_dir), FX.month_calendar(spark)
+    s = T.read(spark, sf_dir, "supplier").select("s_suppkey")
+    names = s.filter("s_suppkey % 13 <> 0").select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker"))
+    names = names.unionByName(spark.range(1).select(F.lit("SPY").alias("ticker"))).unionByName(s.filter("s_suppkey < 5").select(F.concat(F.lit("X"), F.col("s_suppkey").cast("string")).alias("ticker")))
+    at = lambda now: W.sync_status(b, names, months, F.lit(now).cast("timestamp"), 20)
+    return at("2001-12-05 00:00:00").unionByName(at("2002-03-05 00:00:00"))
+
+
 @query(f"""WITH {Q.MATURED} SELECT decision_date, max(result_date) AS result_date, count(*) AS universe_size, count(forward_return) AS outcome_count, count(forward_return) / CAST(count(*) AS DOUBLE) AS outcome_coverage,
 count(*) >= 10 AND count(*) = count(forward_return) AS date_valid, CASE WHEN count(*) < 10 THEN 'eligible_universe_below_top_10' WHEN count(*) <> count(forward_return) THEN 'complete_universe_outcomes_required' END AS invalid_reason FROM outc GROUP BY decision_date""")
 def e05_date_quality(spark, sf_dir):
@@ -487,12 +543,17 @@ def e20_weighted_gram(spark, sf_dir):
     return K.gram(K.class_weights(m, "is_explosion"), ["score", "rank"], "is_explosion").withColumn("value", F.round("value", 3) + F.lit(0.0))
 
 
-@query(f"""WITH {Q.MATURED}, {_DAILY}, d AS (SELECT decision_date, count(*) AS n, count(forward_return) AS m, count(DISTINCT CASE WHEN rank <= 10 AND forward_return IS NOT NULL THEN rank END) AS t FROM mat GROUP BY 1)
-SELECT d.decision_date, n AS universe_size, m AS outcome_count, CASE WHEN n < 10 THEN 'eligible_universe_below_top_10' WHEN m / CAST(n AS DOUBLE) < 0.9 THEN 'outcome_coverage_below_90pct' WHEN t < 10 THEN 'top_10_outcomes_incomplete' WHEN m < n THEN 'complete_universe_outcomes_required'
-WHEN y.decision_date IS NULL THEN 'evaluation_failed' ELSE 'EVALUATED' END AS status FROM d LEFT JOIN daily y ON y.decision_date = d.decision_date""")
+@query(f"""WITH {Q.MATURED}, led AS (SELECT 'rank-v6' AS strategy_version, decision_date, rank, universe_size, forward_return FROM mat UNION ALL SELECT 'short-list', decision_date, rank, count(*) OVER (PARTITION BY decision_date), forward_return FROM mat WHERE rank <= 12),
+d AS (SELECT strategy_version, decision_date, max(universe_size) AS n, count(forward_return) AS m, count(DISTINCT CASE WHEN rank <= 10 AND forward_return IS NOT NULL THEN rank END) AS t FROM led GROUP BY 1, 2)
+SELECT strategy_version, d.decision_date, c2.dt AS result_date, n AS universe_size, m AS outcome_count, CASE WHEN n < 10 THEN 'eligible_universe_below_top_10' WHEN m / CAST(n AS DOUBLE) < 0.9 THEN 'outcome_coverage_below_90pct' WHEN t < 10 THEN 'top_10_outcomes_incomplete' WHEN m < n THEN 'complete_universe_outcomes_required' ELSE 'EVALUATED' END AS status
+FROM d JOIN cal c ON c.dt = d.decision_date JOIN cal c2 ON c2.idx = c.idx + 14""")
 def e22_evidence(spark, sf_dir):
-    m = _stored(spark, sf_dir)
-    return E.evidence(m, E.daily_rankings(m, FIXTURE), FIXTURE)
+    """Two strategies' ledgers; dates whose result session isn't stored yet aren't due."""
+    b, m = bars(spark, sf_dir), _stored(spark, sf_dir)
+    short = m.filter("rank <= 12").withColumns({"strategy_version": F.lit("short-list"), "universe_size": F.count("*").over(Window.partitionBy("decision_date"))})
+    ledger = m.unionByName(short)
+    latest = b.agg(F.max("dt").alias("session"))
+    return E.evidence(ledger, E.daily_rankings(ledger, FIXTURE), FIXTURE, FX.month_calendar(spark), latest)
 
 
 @query("WITH k AS (SELECT s_nationkey AS nation, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS part FROM supplier) SELECT nation, part, array_to_string(list_sort(list(s_suppkey)), ',') AS suppliers FROM k GROUP BY 1, 2")
@@ -705,6 +766,18 @@ def i09_coverage_intervals(spark, sf_dir):
     return C.coverage_intervals(q, who, arch, T.daily_calendar(spark))
 
 
+@query(f"""WITH {Q.DAYS}, q(q, a, b, told, seen) AS (VALUES (DATE '1996-01-01', DATE '1996-01-15', DATE '1996-03-31', DATE '1996-03-31', DATE '1996-04-15'), (DATE '1996-04-01', DATE '1996-04-01', DATE '1996-06-30', DATE '1996-06-28', DATE '1996-06-30'),
+  (DATE '1996-07-01', DATE '1996-07-01', DATE '1996-09-30', DATE '1996-08-14', NULL), (DATE '1996-10-01', DATE '1996-10-01', DATE '1996-11-20', NULL, NULL)),
+z AS (SELECT q.*, (SELECT min(session) FROM days WHERE session > told) AS k, {Q.TICKER.format("s_suppkey")} AS ticker, s_suppkey % 5 <> 0 AS mapped FROM q, supplier),
+f AS (SELECT ticker, unnest(CASE WHEN NOT mapped OR told IS NULL THEN [{{'a': a, 'b': b, 's': 'missing'}}] WHEN k >= b THEN [{{'a': a, 'b': b, 's': 'complete'}}] WHEN k < a THEN [{{'a': a, 'b': b, 's': 'missing'}}] ELSE [{{'a': a, 'b': k, 's': 'complete'}}, {{'a': k + 1, 'b': b, 's': 'missing'}}] END) AS u FROM z)
+SELECT ticker, 'filings' AS source, u.a AS coverage_start, CAST(u.b AS DATE) AS coverage_end, u.s AS status FROM f UNION ALL
+SELECT ticker, 'insider', a, b, CASE WHEN NOT mapped OR seen IS NULL THEN 'missing' WHEN seen <= CAST(q + INTERVAL 3 MONTH AS DATE) - 1 THEN 'partial' ELSE 'complete' END FROM z""")
+def i09_observed_coverage(spark, sf_dir):
+    """Coverage from a ledger of observed files: an index seen twice, a quarter open when it was last seen, quarters without archive."""
+    who = T.read(spark, sf_dir, "supplier").select(T.supplier_ticker(F.col("s_suppkey")).alias("ticker"), (F.col("s_suppkey") % 5 != 0).alias("mapped"))
+    return RA.observed_coverage(spark, FX.receptions(spark, sf_dir), "1996-01-15", "1996-11-20", "1996-12-01", who, T.daily_calendar(spark))
+
+
 # J: builders
 
 

@@ -65,31 +65,38 @@ def refuse(rows: DataFrame, bad: dict[str, Column], what: str) -> None:
         raise ValueError(f"{what} holds malformed values: {found}")
 
 
-def short_interest_file(spark: SparkSession, path: str, calendar: DataFrame, publications: DataFrame, observed_at: Column | None = None, strict: bool = True) -> DataFrame:
-    """Short interest under any known header names, delimiter and date format. Malformed symbols, dates, numbers and flags are errors;
-    with ``strict=False`` they are null.
-
-    A position is available at the close of the session after its publication; a revised one not before its observation."""
-    head = spark.read.text(path).first()[0]
+def short_interest_file(spark: SparkSession, path: str | list[str], calendar: DataFrame, publications: DataFrame, observed_at: Column | None = None, strict: bool = True) -> DataFrame:
+    """Short interest under any known header names, delimiter and date format.
+
+    A position is available at the close of the session after its publication; a revised one after the later of its publication and its
+    observation (``observed_at``, which may read ``_metadata.file_path`` to differ by file). Errors: malformed symbols, dates, whole numbers
+    and flags, a settlement without publication, a publication before its settlement, and a revised row that nobody observed. With ``strict=False``
+    malformed values are null, and so is the availability of such a row, so that nothing is known early."""
+    paths = [path] if isinstance(path, str) else list(path)
+    head = spark.read.text(paths[0]).first()[0]
     sep = max("|,\t", key=head.count)
-    d = _csv(spark, path, sep)
+    d = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE").csv(paths)
     plain = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in d.columns}
     col = lambda n: next((F.col(f"`{plain[a]}`") for a in ALIASES[n] if a in plain), F.lit(None).cast("string"))
-    if strict:
-        bad = {"symbol": S.ticker(col("symbol")).isNull(), "settlement_date": S.date(col("settlement_date")).isNull(), "short_interest": S.bad_number(col("short_interest"), required=True)}
-        refuse(d, bad | {n: S.bad_flag(col(n)) for n in ("stock_split_flag", "revision_flag")}, "a short-interest file")
+    revised = S.flag(col("revision_flag"), S.REVISED_YES)
+    seen = F.to_date(observed_at) if observed_at is not None else F.lit(None).cast("date")
     rows = d.select(
-        S.ticker(col("symbol")).alias("symbol"), S.date(col("settlement_date")).alias("settlement_date"), S.number(col("short_interest")).alias("short_interest"),
-        S.flag(col("stock_split_flag")).alias("stock_split_flag"), S.flag(col("revision_flag")).alias("revision_flag"),
+        S.ticker(col("symbol")).alias("symbol"), S.date(col("settlement_date")).alias("settlement_date"), S.count(col("short_interest")).alias("short_interest"),
+        S.flag(col("stock_split_flag"), S.SPLIT_YES).alias("stock_split_flag"), revised.alias("revision_flag"), seen.alias("_seen"),
+        S.bad_count(col("short_interest"), required=True).alias("_bad_count"), S.bad_flag(col("stock_split_flag"), S.SPLIT_YES).alias("_bad_split"), S.bad_flag(col("revision_flag"), S.REVISED_YES).alias("_bad_revision"),
     )
     rows = rows.join(F.broadcast(publications.select("settlement_date", "publication_date")), "settlement_date", "left")
-    seen = F.to_date(observed_at) if observed_at is not None else F.lit(None).cast("date")
-    rows = rows.withColumn("_from", F.greatest("publication_date", F.when(F.col("revision_flag"), seen)))
-    rows = next_session(rows, calendar, "_from", "_session").withColumnRenamed("_session_close", "available_at")
+    unseen, early = F.col("revision_flag") & F.col("_seen").isNull(), F.col("publication_date") < F.col("settlement_date")
+    if strict:
+        bad = {"symbol": F.col("symbol").isNull(), "settlement_date": F.col("settlement_date").isNull(), "short_interest": F.col("_bad_count"), "stock_split_flag": F.col("_bad_split"), "revision_flag": F.col("_bad_revision")}
+        bad |= {"settlement without publication": F.col("settlement_date").isNotNull() & F.col("publication_date").isNull(), "publication before settlement": early, "revision without observation": unseen}
+        refuse(rows, bad, "a short-interest file")
+    known = F.when(~F.coalesce(unseen, F.lit(True)) & ~F.coalesce(early, F.lit(True)), F.greatest("publication_date", F.when(F.col("revision_flag"), F.col("_seen"))))
+    rows = next_session(rows.withColumn("_from", known), calendar, "_from", "_session").withColumnRenamed("_session_close", "available_at")
     return rows.select("symbol", "settlement_date", "publication_date", "available_at", "short_interest", "stock_split_flag", "revision_flag").distinct()
 
 
-def filing_index(spark: SparkSession, path: str, tickers: DataFrame, calendar: DataFrame, forms: tuple[str, ...]) -> DataFrame:
+def filing_index(spark: SparkSession, path: str | list[str], tickers: DataFrame, calendar: DataFrame, forms: tuple[str, ...]) -> DataFrame:
     """CIK|Company|Form|Date|File lines of the wanted base forms, one row per ticker of the issuer; preamble lines have no five fields."""
     p = F.split("value", r"\|", 5)
     lines = spark.read.text(path).select(p.alias("p")).filter((F.size("p") == 5) & F.col("p")[0].rlike(r"^\d+$"))
@@ -109,13 +116,13 @@ def index_last_received(spark: SparkSession, path: str) -> DataFrame:
 def insider_archive(spark: SparkSession, submission: str, transactions: str, owners: str, tickers: DataFrame, calendar: DataFrame, strict: bool = True) -> DataFrame:
     """Open-market purchases from three tab-separated files, one row per transaction, owner and ticker; the first in order of price where these
     and the shares repeat. Malformed flags, dates and numbers are errors; with ``strict=False`` they are null."""
-    plan = ("Y", "TRUE", "1", "R", "S"), ("N", "FALSE", "0")
+    plan = S.YES, S.NO
     forms = _csv(spark, submission, "\t").filter(F.col("DOCUMENT_TYPE") == "4")
     if strict:
         refuse(forms, {"FILING_DATE": S.date(F.col("FILING_DATE")).isNull(), "AFF10B5ONE": S.bad_flag(F.col("AFF10B5ONE"), *plan)}, "a submission file")
         buys = _csv(spark, transactions, "\t").filter("TRANS_CODE = 'P' AND TRANS_ACQUIRED_DISP_CD = 'A'")
         refuse(buys, {c: S.bad_number(F.col(c)) for c in ("TRANS_SHARES", "TRANS_PRICEPERSHARE")}, "a transaction file")
-    s = forms.select("ACCESSION_NUMBER", S.date(F.col("FILING_DATE")).alias("filed"), F.col("ISSUERCIK").cast("long").alias("cik"), S.flag(F.col("AFF10B5ONE"), no=("N", "FALSE", "0")).alias("is_10b5_1"))
+    s = forms.select("ACCESSION_NUMBER", S.date(F.col("FILING_DATE")).alias("filed"), F.col("ISSUERCIK").cast("long").alias("cik"), S.flag(F.col("AFF10B5ONE"), *plan).alias("is_10b5_1"))
     t = _csv(spark, transactions, "\t").filter("TRANS_CODE = 'P' AND TRANS_ACQUIRED_DISP_CD = 'A'").select("ACCESSION_NUMBER", "NONDERIV_TRANS_SK", S.number(F.col("TRANS_SHARES")).alias("shares"), S.number(F.col("TRANS_PRICEPERSHARE")).alias("price"))
     o = _csv(spark, owners, "\t").select("ACCESSION_NUMBER", F.col("RPTOWNERCIK").alias("insider_id"))
     rows = t.filter("shares IS NOT NULL AND price IS NOT NULL").join(s, "ACCESSION_NUMBER").join(o, "ACCESSION_NUMBER").join(tickers.select("cik", "ticker"), "cik")
