@@ -24,7 +24,7 @@ from .common import numbered, sized, stage, without_rows
 
 ORDER, QUANTILE, PRIOR = 5, 0.995, 200
 #: N-gram types whose probabilities are broadcast, the most frequent ones; all others are joined by key.
-BROADCAST_TYPES = 2_000_000
+BROADCAST_TYPES = 500_000
 
 
 def _texts(docs: DataFrame, order: int) -> DataFrame:
@@ -108,7 +108,8 @@ def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most: int = BROADCAST_TYPES) -> DataFrame:
-    """row, doc_id, language, n, log_prob: one pass over whole texts, and a second one for rare types once there are more than ``most``."""
+    """row, doc_id, language, n, log_prob, from one pass over whole texts: frequent types are summed where they are met, rare ones are counted
+    per document and joined by key."""
     key, own = F.xxhash64("language", "gram"), ["row", "doc_id", "language", "n"]
     logs = stage(table.select(key.alias("key"), F.log("p").alias("logp"), F.col("n").alias("often")), "log-probabilities")
     texts = _texts(docs, order)
@@ -120,11 +121,14 @@ def document_scores(docs: DataFrame, table: DataFrame, order: int = ORDER, most:
         while logs.filter(F.col("often") > cut).count() > most:
             cut *= 2
     known = logs.filter(F.col("often") > cut).drop("often")
-    found = at.join(F.broadcast(known), "key").groupBy(*own).agg(F.sum("logp").alias("log_prob"))
     if n_types > most:
-        rest = at.join(F.broadcast(known.select("key")), "key", "left_anti").groupBy(*own, "key").agg(F.count("*").alias("times"))
-        rest = rest.join(logs.filter(F.col("often") <= cut), "key").groupBy(*own).agg(F.sum(F.col("logp") * F.col("times")).alias("log_prob"))
-        found = found.unionByName(rest).groupBy(*own).agg(F.sum("log_prob").alias("log_prob"))
+        met = at.join(F.broadcast(known), "key", "left").withColumn("rare", F.when(F.col("logp").isNull(), F.col("key")))
+        met = stage(met.groupBy(*own, "rare").agg(F.sum("logp").alias("log_prob"), F.count("*").alias("times")), "type-counts")
+        rest = met.filter("rare IS NOT NULL").join(logs.filter(F.col("often") <= cut), F.col("rare") == F.col("key"))
+        rest = rest.groupBy(*own).agg(F.sum(F.col("logp") * F.col("times")).alias("log_prob"))
+        found = met.filter("rare IS NULL").select(*own, "log_prob").unionByName(rest).groupBy(*own).agg(F.sum("log_prob").alias("log_prob"))
+    else:
+        found = at.join(F.broadcast(known), "key").groupBy(*own).agg(F.sum("logp").alias("log_prob"))
     wordless = texts.filter("n <= 0").select("row", "doc_id", "language", "n", F.lit(None).cast("double").alias("log_prob"))
     return found.unionByName(wordless)
 

@@ -76,6 +76,7 @@ class Index:
         if len(self.code) > INDEX_WORDS:
             raise ValueError(f"a template of more than {INDEX_WORDS} different words")
         self.words = [np.array([self.code[w] for w in words], np.int64) for words in own]
+        self.counts = [np.bincount(ids, minlength=len(self.code)) for ids in self.words]
         self.filed = {}
         for gram in (2, GRAM):
             rows = [(self.gram_codes(self.words[k], gram)[at], k, at) for k, words in enumerate(own) for at in (winnow(words, 2, 1) if len(words) < SHORT else winnow(words)) if (gram == 2) == (len(words) < SHORT)]
@@ -140,6 +141,12 @@ def bands(diagonals: list[int], size: int, band: int = BAND) -> Iterator[tuple[i
     yield first - near, last + near
 
 
+def reach(counts: np.ndarray, text: np.ndarray, lowest: int, highest: int, size: int) -> int:
+    """The most words that an alignment within a band can match: those that template and stretch of text have in common, repeats included."""
+    stretch = text[max(0, lowest) : max(0, highest + size)]
+    return int(np.minimum(counts, np.bincount(stretch[stretch >= 0], minlength=len(counts))).sum())
+
+
 def scan(text: bytes, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[tuple]:
     """(template, coverage, matched words, first word, last word) of each place where enough of a template is."""
     words = words_of(text)
@@ -151,7 +158,8 @@ def scan(text: bytes, index: Index, band: int = BAND, coverage: float = COVERAGE
     for k, diagonals in by_template.items():
         template, left = index.words[k], ids.copy()
         for lowest, highest in bands(diagonals, len(template), band):
-            while True:
+            # An alignment takes time with the template's size times the band's width; most bands can't reach the coverage.
+            while reach(index.counts[k], left, lowest, highest, len(template)) >= coverage * len(template) - 1e-9:
                 matched, first, last = align(template, left, lowest, highest)
                 if matched < coverage * len(template) - 1e-9:
                     break

@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_row, sized, stage
+from .common import WORD, as_row, hub_join, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-#: Source tables up to this many rows are broadcast; larger ones are joined by key.
+#: Source tables up to this many rows are broadcast; of larger ones the sources with many documents are, and the others are joined by key.
 BROADCAST_SOURCES = 10_000
 
 
@@ -32,11 +32,11 @@ def salt() -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source, source_size, target: ``share`` of all words dealt by weight, no source above ``most`` times its size.
+    """source, source_size, target, n (documents): ``share`` of all words dealt by weight, no source above ``most`` times its size.
 
     Level filling in closed form: with sources in order of cap / weight, the first k are capped, where k is the
     last position whose own cap is still below the level that the rest would get. Its windows run over one row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(by_name) - 1) % len(weights)
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (place + 1).cast("int")).cast("long"))
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     per = per.withColumn("free", F.col("level") * F.col("weight") <= F.col("cap")).withColumn("place", F.row_number().over(order))
     level = F.min(F.when(F.col("free"), F.struct("place", "level"))).over(every)["level"]
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("weight"), F.col("cap").cast("double"))))
-    return per.select("source", "source_size", "target")
+    return per.select("source", "source_size", "target", "n")
 
 
 def draw(seed: int) -> Column:
@@ -60,9 +60,14 @@ def draw(seed: int) -> Column:
 
 
 def with_copies(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows that have doc_id and source. Rows keep their partition."""
-    t = sized(targets.withColumnRenamed("source", "t_source"), BROADCAST_SOURCES)
-    out = rows.join(t, F.col("source").cast("string").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    """Adds source_size, target, rate and copies to rows that have doc_id and source. Rows keep their partition while sources are few;
+    beyond, those of large sources do."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("t_source")
+    t, own = targets.select(name, "source_size", "target", "n"), rows.select("*", name)
+    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        out = own.join(F.broadcast(t.drop("n")), "t_source").drop("t_source")
+    else:
+        out = hub_join(own, t, "t_source", targets.agg(F.sum("n")).first()[0]).drop("t_source")
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + F.when(draw(seed) < F.col("rate") - whole, F.lit(1)).otherwise(F.lit(0))).cast("long"))

@@ -6,7 +6,7 @@ those. So MinHash bands pick candidates too: of two texts at 0.8 exactly, BANDS
 (1 - 0.8^6)^35, 3 in 100,000, and less above.
 
 Rows that share a fingerprint, a link or a band are tied to its least row, which gives candidate components. A component's texts meet in tasks of at
-most BLOCK rows, each with the component's least row; what these leave apart from that row then meets all blocks, so nothing
+most BLOCK rows and about BLOCK_BYTES of text, each with the component's least row; what these leave apart from that row then meets all blocks, so nothing
 of a candidate component goes uncompared, and a large group of copies of one text costs what its size is.
 
 Nulls and odd input: shorter texts are one shingle; all texts without words are copies of each other; a null doc_id stays only where its
@@ -29,6 +29,8 @@ from .simhash import DISTANCE, links, majority
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND_ROWS, BLOCK = 35, 6, 256
+#: Bytes of texts that a block holds about, whatever its rows.
+BLOCK_BYTES = 32 << 20
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,7 +137,12 @@ def candidates(own: DataFrame) -> DataFrame:
     fps = stage(keys.groupBy("fp").agg(F.min("number").alias("hub"), F.count("*").alias("n")), "fingerprints")
     same = hub_join(keys.select("number", "fp"), fps, "fp", keys.count())
     end = lambda side: fps.select(F.col("fp").alias(side), F.col("hub").alias("number" if side == "a" else "hub"))
-    near = links(fps.select("fp"), DISTANCE).join(end("a"), "a").join(end("b"), "b")
+    pairs = stage(links(fps.select("fp"), DISTANCE), "fingerprint-links")
+    n_links = pairs.count()
+    near = pairs
+    for side in ("a", "b"):  # the first of a group of fingerprints stands in all its links
+        often = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        near = hub_join(near, stage(end(side).join(often, side), f"ends-{side}"), side, n_links)
     ties = [x.filter("number != hub").select("number", "hub") for x in (tied, same, near)]
     return components(ties[0].unionByName(ties[1]).unionByName(ties[2]).distinct(), "number", "hub")
 
@@ -143,10 +150,12 @@ def candidates(own: DataFrame) -> DataFrame:
 def copies(own: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """node, root: rows of ``own`` (see ``numbered``) that lie in one component of similar texts."""
     groups = stage(candidates(own), "candidates")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = stage(hub_join(groups, sizes, "root", groups.count()).select("root", "blocks", F.col("node").alias("number"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "placed")
-    members = placed.select(F.col("number").alias("m_number"))
+    members = groups.select(F.col("node").alias("m_number"))
     texts = stage(own.join(sized(members), F.col("number") == F.col("m_number"), "left_semi").select("number", F.col("row.text").cast("binary").alias("text")), "member-texts")
+    held = groups.join(texts.select(F.col("number").alias("node"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("held")), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("held") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    sizes = stage(held.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n")), "candidate-sizes")
+    placed = stage(hub_join(groups, sizes, "root", groups.count()).select("root", "blocks", F.col("node").alias("number"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "placed")
     at = F.xxhash64("root", "own").alias("key")
     hubs = placed.filter("number = root").select("number", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
     first = _similar(placed.select(at, "number").unionByName(hubs.select(at, "number")).distinct(), texts, similarity, "links")
@@ -154,14 +163,21 @@ def copies(own: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -
     # Of components of several blocks, the rows that aren't with their least row: these meet all blocks.
     named = tied.select("node", F.col("root").alias("now"))
     large = placed.filter("blocks > 1").join(named, F.col("number") == F.col("node"), "left").withColumn("now", F.coalesce("now", "number"))
-    hub_now = large.filter("number = root").select(F.col("root").alias("h_root"), F.col("now").alias("hub_now"))
-    rest = stage(large.join(sized(hub_now), F.col("root") == F.col("h_root")).filter("now != hub_now").select("root", "blocks", "number"), "rest")
+    large = stage(large.drop("node"), "large")
+    counts = large.groupBy("root").agg(F.count("*").alias("n"))
+    hub_now = stage(large.filter("number = root").select("root", F.col("now").alias("hub_now")).join(counts, "root"), "hubs-now")
+    rest = stage(hub_join(large, hub_now, "root", large.count()).filter("now != hub_now").select("root", "blocks", "number"), "rest")
     if rest.isEmpty():
         return tied
-    parts = stage(rest.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")), "parts")
-    left = rest.join(sized(parts), "root").withColumn("part", F.pmod(F.xxhash64("number", F.lit(1)), F.col("parts")).cast("int"))
+    # As many rows of the rest meet in a task as rows of a block, whose number follows from rows and bytes.
+    share = F.ceil(F.count("*") * F.max("blocks") / F.first("n_root")).cast("int")
+    parts = rest.join(counts.select("root", F.col("n").alias("n_root")), "root").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)).cast("int"), share, F.lit(1)).alias("parts"), F.count("*").alias("n"))
+    parts = stage(parts, "parts")
+    n_rest = rest.count()
+    left = hub_join(rest, parts, "root", n_rest).withColumn("part", F.pmod(F.xxhash64("number", F.lit(1)), F.col("parts")).cast("int"))
     left = left.select("root", "number", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    right = placed.join(sized(parts), "root").select("root", "number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
+    whole = stage(parts.drop("n").join(counts, "root"), "parts-of-large")
+    right = hub_join(placed, whole, "root", placed.count()).select("root", "number", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own")
     second = _similar(left.unionByName(right).select(F.xxhash64("root", "part", "own").alias("key"), "number").distinct(), texts, similarity, "more-links")
     return stage(components(first.unionByName(second), "a", "b"), "all-components")
 

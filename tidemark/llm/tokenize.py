@@ -16,8 +16,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces that a worker keeps the ids of: half of them recent, half from the time before.
-CACHE_WORDS = 1_000_000
+#: Bytes that a worker keeps pieces and their ids in, half of them recent, half from the time before; longer pieces aren't kept.
+CACHE_BYTES, LONGEST = 160 << 20, 256
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
 
 #: White space that str methods know and the tokenizers' patterns don't, or don't in every version.
 _ODD = re.compile("[\x1c-\x1f\u180e]")
@@ -47,22 +49,25 @@ def find(tokenizer: str) -> str:
 
 
 class Cache(dict):
-    """What ``make`` gives for a key. Of ``limit`` entries, half are recent; entries of the time before come back when asked for."""
+    """What ``make`` gives for a key. Of ``limit`` bytes, half are recent; entries of the time before come back when asked for."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
-        self.make, self.half, self.before = make, max(1, limit // 2), {}
+        self.make, self.half, self.held, self.before = make, limit // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.half:
-            self.before = dict(self)
+        if len(key) > LONGEST:
+            return self.make(key)
+        if self.held >= self.half:
+            self.before, self.held = dict(self), 0
             self.clear()
         got = self.before.get(key)
         self[key] = got = self.make(key) if got is None else got
+        self.held += ENTRY_BYTES + 2 * len(key) + len(got)
         return got
 
 
 class Encoder:
-    def __init__(self, tokenizer: str, limit: int = CACHE_WORDS, special_as_text: bool = False):
+    def __init__(self, tokenizer: str, limit: int = CACHE_BYTES, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
