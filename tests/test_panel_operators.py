@@ -436,10 +436,10 @@ def test_boosted_models_learn_and_stop_on_validation(spark):
 def test_bootstrap_and_promotion(spark):
     d = daily(spark, 0.05)
     pairs = K.paired(d, "new")
-    b = K.bootstrap(pairs, FIXTURE_RESEARCH)
+    b = K.bootstrap(pairs, FIXTURE_RESEARCH, Contract(horizon=3))
     r = b.first()
     assert r.estimate == pytest.approx(0.05) and r.lower_95 == pytest.approx(0.05) and r.probability_positive == 1
-    assert [tuple(x) for x in K.tail_bootstrap(pairs, FIXTURE_RESEARCH, Contract()).orderBy("metric").select("metric").collect()] == [("catastrophic_loss",), ("downside",), ("expected_shortfall",)]
+    assert [tuple(x) for x in K.tail_bootstrap(pairs, FIXTURE_RESEARCH, Contract(horizon=3)).orderBy("metric").select("metric").collect()] == [("catastrophic_loss",), ("downside",), ("expected_shortfall",)]
     summary = spark.createDataFrame([("rank-v6", 60, 0.15, 0.5, 0.3, 0.2, -0.1), ("new", 60, 0.2, 0.6, 0.2, 0.1, -0.05)], "strategy string, valid_dates long, precision_at_10 double, passing_date_rate double, downside_at_10 double, catastrophic_loss_at_10 double, expected_shortfall_10 double")
     blocks = pairs.select("decision_date", F.lit("test").alias("role"), (F.dayofmonth("decision_date") % 2).alias("fold"))
     st = K.stability(pairs, blocks, Contract())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +102,26 @@ def class_weights(frame: DataFrame, label: str) -> DataFrame:
 
 
 def gram(frame: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """i, j, value of the weighted Gram matrix (j = -1: the target); 0 is the intercept. Sums combine map-side; one row of numbers comes out."""
-    names = ["_one", *features]
-    rows = frame.withColumn("_one", F.lit(1.0)).withColumn("_y", F.col(label).cast("double"))
-    cells = [(i, j, F.col("weight") * F.col(a) * F.col(names[j])) for i, a in enumerate(names) for j in range(i, len(names))]
-    cells += [(i, -1, F.col("weight") * F.col(a) * F.col("_y")) for i, a in enumerate(names)]
-    one = rows.agg(*[F.sum(e).alias(f"c{k}") for k, (_, _, e) in enumerate(cells)])
-    out = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{k}").alias("value")) for k, (i, j, _) in enumerate(cells)])
-    return one.select(F.inline(out))
+    """i, j, value of the weighted Gram matrix (j = -1: the target); 0 is the intercept.
+
+    A task multiplies Arrow batches of rows into one square of numbers, whatever its rows; the squares are summed cell by cell, combined early. So
+    the work is a matrix product per batch, and neither the plan nor what a task holds grows with the rows or, in terms, with the features."""
+    n = len(features) + 1
+    upper = np.triu_indices(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n + 1))
+        for batch in batches:
+            w, *columns = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns)
+            x = np.column_stack([np.ones(len(w)), *columns])  # the target stands last
+            total += (x[:, :n] * w[:, None]).T @ x
+        values = np.concatenate([total[:, :n][upper], total[:, n]])
+        i, j = np.concatenate([upper[0], np.arange(n)]), np.concatenate([upper[1], np.full(n, -1)])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(values)], ["i", "j", "value"])
+
+    number = lambda c: F.col(c).cast("double")
+    rows = frame.select(number("weight"), *[number(c) for c in features], number(label))
+    return rows.mapInArrow(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 class RidgeRanker:
@@ -213,29 +226,55 @@ def paired(daily: DataFrame, challenger: str, incumbent: str = INCUMBENT) -> Dat
     return a.join(b, "decision_date")
 
 
-def samples(pairs: DataFrame, block: int, replications: int, seed: int) -> DataFrame:
-    """rep, at, and a date's metrics: moving blocks of dates. Every block's start is drawn by itself, from a hash of replication, block and seed."""
+def _draws(pairs: DataFrame, block: int, replications: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Dates with their position, and rep, block, start, size: moving blocks of dates, of which the last is cut at the number of dates.
+
+    Every block's start is drawn by itself, from a hash of replication, block and seed."""
     p = pairs.withColumn("pos", (F.row_number().over(Window.orderBy("decision_date")) - 1).cast("long"))
     n = p.agg(F.count("*").alias("n"))
     reps = pairs.sparkSession.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))
     draws = reps.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("block"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "block", F.lit(seed))), 1, 13), 16, 10).cast("long")
-    draws = draws.select("rep", "n", "block", (drawn % F.greatest(F.lit(1), F.col("n") - block + 1)).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("step"))
-    draws = draws.select("rep", (F.col("block") * block + F.col("step")).alias("at"), (F.col("start") + F.col("step")).alias("pos"), "n").filter("at < n").drop("n")
+    start = drawn % F.greatest(F.lit(1), F.col("n") - block + 1)
+    return p, draws.select("rep", "n", "block", start.alias("start"), F.least(F.lit(block), F.col("n") - F.col("block") * block).cast("long").alias("size"))
+
+
+def samples(pairs: DataFrame, block: int, replications: int, seed: int) -> DataFrame:
+    """rep, at, and a date's metrics: the dates of every drawn block."""
+    p, draws = _draws(pairs, block, replications, seed)
+    draws = draws.select("rep", "block", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("step"))
+    draws = draws.select("rep", (F.col("block") * block + F.col("step")).alias("at"), (F.col("start") + F.col("step")).alias("pos"))
     return draws.join(F.broadcast(p.drop("decision_date")), "pos")
 
 
-def bootstrap(pairs: DataFrame, config: ResearchConfig) -> DataFrame:
-    """One row: estimate, lower_95, upper_95, probability_positive, paired_dates of the precision difference."""
+def checked_blocks(pairs: DataFrame, config: ResearchConfig, contract: Contract) -> None:
+    """Blocks must span the outcome horizon, and five whole ones fit into the dates; else: error."""
+    if config.bootstrap_block < contract.horizon:
+        raise ValueError("a bootstrap block is shorter than the outcome horizon")
+    if pairs.count() < 5 * config.bootstrap_block:
+        raise ValueError("a bootstrap needs the dates of five whole blocks")
+
+
+def bootstrap(pairs: DataFrame, config: ResearchConfig, contract: Contract = Contract()) -> DataFrame:
+    """One row: estimate, lower_95, upper_95, probability_positive, paired_dates of the precision difference.
+
+    A block's sum is the difference of two running sums, so that a replicate has a row per block, not per date."""
+    checked_blocks(pairs, config, contract)
     delta = F.col("c_precision_at_10") - F.col("i_precision_at_10")
     real = pairs.agg(F.avg(delta).alias("estimate"), F.count("*").alias("paired_dates"))
-    reps = samples(pairs, config.bootstrap_block, config.bootstrap_replications, config.seed).groupBy("rep").agg(F.avg(delta).alias("m"))
+    p, draws = _draws(pairs.withColumn("d", delta), config.bootstrap_block, config.bootstrap_replications, config.seed)
+    sums = p.select((F.col("pos") + 1).alias("end"), F.sum("d").over(Window.orderBy("pos")).alias("sum_end"))
+    sums = sums.unionByName(pairs.sparkSession.range(1).select(F.col("id").alias("end"), F.lit(0.0).alias("sum_end")))
+    before = sums.select(F.col("end").alias("start"), F.col("sum_end").alias("sum_start"))
+    reps = draws.withColumn("end", F.col("start") + F.col("size")).join(F.broadcast(sums), "end").join(F.broadcast(before), "start")
+    reps = reps.groupBy("rep").agg((F.sum(F.col("sum_end") - F.col("sum_start")) / F.first("n")).alias("m"))
     q = reps.agg(F.percentile("m", 0.025).alias("lower_95"), F.percentile("m", 0.975).alias("upper_95"), F.avg((F.col("m") > 1e-12).cast("double")).alias("probability_positive"))
     return real.crossJoin(q)
 
 
 def tail_bootstrap(pairs: DataFrame, config: ResearchConfig, contract: Contract) -> DataFrame:
     """metric, estimate, lower_95, upper_95 of downside, catastrophe and expected-shortfall differences; the shortfall is recomputed in each sample."""
+    checked_blocks(pairs, config, contract)
     s = samples(pairs, config.bootstrap_block, config.bootstrap_replications, config.seed)
     mean = lambda m: F.avg(F.col(f"c_{m}") - F.col(f"i_{m}"))
 
@@ -311,31 +350,3 @@ def locked_coverage(features: DataFrame, fold_rows: DataFrame) -> DataFrame:
     days = fold_rows.filter("role = 'test'").select("decision_date").distinct()
     flags = ("alt_filing_coverage", "alt_insider_coverage", "alt_short_interest_coverage")
     return features.join(F.broadcast(days), "decision_date", "left_semi").agg(*[F.avg(c).alias(c) for c in flags])
-
-
-def run_research(panel: DataFrame, quality: DataFrame, config: ResearchConfig, contract: Contract, rounds: int = 200, features: Sequence[str] = RANKS) -> DataFrame:
-    """Test rows of every fold with the scores of incumbent, ridge, boosted blend and risk-adjusted blend.
-
-    A loop over folds (a handful) around Spark jobs; each fold's models see its training and validation dates alone. ``quality`` and
-    ``panel`` are read once per fold and role: hand in written tables."""
-    rows = folds(quality, config)
-    audit = fold_audit(rows, config)
-    if not audit.filter("NOT clean").isEmpty():
-        raise ValueError("a fold is too small or leaks outcomes")
-    scored = []
-    for (fold,) in sorted(audit.select("fold").collect()):
-        training, validation, test = (rows_of(panel, rows, fold, r) for r in ("training", "validation", "test"))
-        ridge = RidgeRanker(features, config.l2).fit(training)
-        boom = fit_boom(training, validation, features, rounds, config.seed)
-        leaders = lambda f: f.filter(F.col("rank_v6") <= contract.inspect)
-        risk = fit_risk(leaders(training), leaders(validation), features, rounds, config.seed)
-        both = lambda f: predict(risk, predict(boom, f, features, "boom"), features, "risk", True)
-        seen = both(validation)
-        weight = choose_blend(seen, "rank_v6_score", "boom", config, contract).filter("chosen").first().weight
-        strength = choose_lambda(blend(seen, "rank_v6_score", "boom", weight), "blend", "risk", config, contract).filter("chosen").first().risk_lambda
-        out = risk_adjusted(blend(both(test), "rank_v6_score", "boom", weight), "blend", "risk", strength, contract.inspect)
-        scored.append(out.select("*", ridge.expression().alias("ridge"), F.lit(fold).alias("fold"), F.lit(weight).alias("blend_weight"), F.lit(strength).alias("risk_lambda")))
-    result = scored[0]
-    for s in scored[1:]:
-        result = result.unionByName(s)
-    return result

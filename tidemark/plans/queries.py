@@ -14,6 +14,7 @@ from ..functions import scalars as S
 from ..functions.scalars import r6
 from ..functions.windows import percentile_rank
 from ..operators import backtest as BT
+from ..operators import boosting as BO
 from ..operators import bitemporal as B
 from ..operators import calendar as C
 from ..operators import evaluation as E
@@ -23,7 +24,9 @@ from ..operators import panel as P
 from ..operators import ranking as R
 from ..operators import research as K
 from ..operators import transactions as X
+from ..operators import walkforward as WF
 from ..operators import worklist as W
+from ..operators.boosting import ListwiseSettings
 from ..sources import archives as RA
 from ..sources import tables as ST
 from . import fixtures as FX
@@ -1029,17 +1032,21 @@ def e10_summary(spark, sf_dir):
     return rounded(E.summarize(E.daily_scores(_two(spark, sf_dir), "s", FIXTURE), FIXTURE), *_SU)
 
 
+#: The library's own block of a horizon's length; 83 dates hold five of them.
+BLOCKS = dataclasses.replace(FIXTURE_RESEARCH, bootstrap_block=14)
+
+
 def _pairs(spark, sf_dir):
     return K.paired(E.daily_scores(_two(spark, sf_dir), "s", FIXTURE), "challenger")
 
 
 _BOOT = f"""{_TWO}, pr AS (SELECT a.decision_date, a.spy_return_20d, a.precision_at_10 - b.precision_at_10 AS dp, a.downside_at_10 - b.downside_at_10 AS dd, a.catastrophic_loss_at_10 - b.catastrophic_loss_at_10 AS dc, a.basket_return AS ca, b.basket_return AS ib, row_number() OVER (ORDER BY a.decision_date) - 1 AS pos, count(*) OVER () AS n FROM dl a JOIN dl b ON b.decision_date = a.decision_date AND b.strategy = 'rank-v6' WHERE a.strategy = 'challenger'),
-dr AS (SELECT rep, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || CAST(z // 3 AS VARCHAR) || ':20260723'), 1, 13) AS BIGINT) % ((SELECT max(n) FROM pr) - 3 + 1) + z % 3 AS pos FROM range(10000) t(rep), range((SELECT max(n) FROM pr)) u(z)), sp AS (SELECT rep, pr.* FROM dr JOIN pr ON pr.pos = dr.pos)"""
+dr AS (SELECT rep, CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || ':' || CAST(z // 14 AS VARCHAR) || ':20260723'), 1, 13) AS BIGINT) % ((SELECT max(n) FROM pr) - 14 + 1) + z % 14 AS pos FROM range(10000) t(rep), range((SELECT max(n) FROM pr)) u(z)), sp AS (SELECT rep, pr.* FROM dr JOIN pr ON pr.pos = dr.pos)"""
 
 
 @query(f"WITH {_BOOT}, m AS (SELECT rep, avg(dp) AS v FROM sp GROUP BY rep) SELECT round((SELECT avg(dp) FROM pr), 6) + 0.0 AS estimate, (SELECT count(*) FROM pr) AS paired_dates, round(quantile_cont(v, 0.025), 6) + 0.0 AS lower_95, round(quantile_cont(v, 0.975), 6) + 0.0 AS upper_95, round(avg(CASE WHEN v > 1e-12 THEN 1 ELSE 0 END), 6) + 0.0 AS probability_positive FROM m")
 def k08_block_bootstrap(spark, sf_dir):
-    return rounded(K.bootstrap(_pairs(spark, sf_dir), FIXTURE_RESEARCH), "estimate", "lower_95", "upper_95", "probability_positive")
+    return rounded(K.bootstrap(_pairs(spark, sf_dir), BLOCKS), "estimate", "lower_95", "upper_95", "probability_positive")
 
 
 def _es(c: str) -> str:
@@ -1049,7 +1056,7 @@ def _es(c: str) -> str:
 @query(f"""WITH {_BOOT}, src AS (SELECT rep, dd, dc, ca, ib FROM sp UNION ALL SELECT -1, dd, dc, ca, ib FROM pr), mt AS (SELECT rep, 'downside' AS metric, avg(dd) AS v FROM src GROUP BY rep UNION ALL SELECT rep, 'catastrophic_loss', avg(dc) FROM src GROUP BY rep UNION ALL SELECT a.rep, 'expected_shortfall', a.v - b.v FROM {_es("ca")} a JOIN {_es("ib")} b ON b.rep = a.rep)
 SELECT metric, round(max(CASE WHEN rep = -1 THEN v END), 6) + 0.0 AS estimate, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 6) + 0.0 AS lower_95, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 6) + 0.0 AS upper_95 FROM mt GROUP BY metric""")
 def k09_tail_bootstrap(spark, sf_dir):
-    return rounded(K.tail_bootstrap(_pairs(spark, sf_dir), FIXTURE_RESEARCH, FIXTURE), "estimate", "lower_95", "upper_95")
+    return rounded(K.tail_bootstrap(_pairs(spark, sf_dir), BLOCKS, FIXTURE), "estimate", "lower_95", "upper_95")
 
 
 _STABLE = f"""{_BOOT}, sg AS (SELECT pr.*, unnest([CASE WHEN pos % 2 = 0 THEN 'test_block_1' ELSE 'test_block_2' END, CASE WHEN spy_return_20d >= 0 THEN 'spy_20d_nonnegative' ELSE 'spy_20d_negative' END]) AS segment FROM pr),
@@ -1078,7 +1085,7 @@ SELECT len(r) = 0 AS passed, CASE WHEN len(r) = 0 THEN 'all_gates_passed' ELSE a
 def k11_promotion(spark, sf_dir):
     daily = FX.stored(E.daily_scores(_two(spark, sf_dir), "s", FIXTURE), "daily")
     p = K.paired(daily, "challenger")
-    out = K.promotion(E.summarize(daily, FIXTURE), K.bootstrap(p, FIXTURE_RESEARCH), K.recent_uplift(p), K.stability(p, _blocks(p), FIXTURE), "challenger", 83, FIXTURE_RESEARCH)
+    out = K.promotion(E.summarize(daily, FIXTURE), K.bootstrap(p, BLOCKS), K.recent_uplift(p), K.stability(p, _blocks(p), FIXTURE), "challenger", 83, FIXTURE_RESEARCH)
     return out.select("passed", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -1138,6 +1145,35 @@ def k04_boosted_risk(spark, sf_dir):
     return FX.boosted(spark, sf_dir, _stored(spark, sf_dir), risk=True)
 
 
+_LAMBDA = f"""WITH {Q.MATURED}, x AS (SELECT ticker, decision_date, score, CASE WHEN is_explosion THEN 31.0 WHEN is_severe_downside THEN 0.0 ELSE 1.0 END AS g FROM mat WHERE is_explosion IS NOT NULL),
+k AS (SELECT *, 1 / log2(1 + row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker)) AS d, row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker) AS k, row_number() OVER (PARTITION BY decision_date ORDER BY g DESC, ticker) AS b FROM x),
+z AS (SELECT decision_date, sum(CASE WHEN b <= 13 THEN g / log2(1 + b) END) AS best, max(score) > min(score) AS spread FROM k GROUP BY 1),
+p AS (SELECT hi.decision_date, hi.ticker AS h, lo.ticker AS l, abs(hi.g - lo.g) * abs(hi.d - lo.d) / best / CASE WHEN spread THEN abs(hi.score - lo.score) + 0.01 ELSE 1 END AS w, 1 / (1 + exp(hi.score - lo.score)) AS push FROM k hi JOIN k lo ON lo.decision_date = hi.decision_date AND hi.g > lo.g AND (hi.k <= 13 OR lo.k <= 13) JOIN z ON z.decision_date = hi.decision_date WHERE best > 0),
+s AS (SELECT decision_date, log2(1 + sum(2 * push * w)) / sum(2 * push * w) AS f FROM p GROUP BY 1), e AS (SELECT decision_date, h AS ticker, -push * w AS l, push * (1 - push) * w AS c FROM p UNION ALL SELECT decision_date, l, push * w, push * (1 - push) * w FROM p),
+t AS (SELECT decision_date, ticker, sum(l) AS l, sum(c) AS c FROM e GROUP BY 1, 2)"""
+
+
+@query(f"{_LAMBDA} SELECT x.ticker, x.decision_date, round(coalesce(l * f, 0), 6) + 0.0 AS gradient, round(coalesce(c * f, 0), 6) + 0.0 AS hessian FROM x LEFT JOIN t ON t.ticker = x.ticker AND t.decision_date = x.decision_date LEFT JOIN s ON s.decision_date = x.decision_date")
+def k03_lambda_gradients(spark, sf_dir):
+    """The listwise ranker's gradients at the incumbent's scores; the SQL goes over all pairs."""
+    m = _stored(spark, sf_dir).filter("is_explosion IS NOT NULL")
+    return rounded(BO.lambdas(m).select("ticker", "decision_date", "gradient", "hessian"), "gradient", "hessian")
+
+
+@query(f"{_LAMBDA} SELECT k.decision_date, round(sum(CASE WHEN k <= 10 THEN g * d END) / sum(CASE WHEN b <= 10 THEN g / log2(1 + b) END), 6) + 0.0 AS ndcg FROM k GROUP BY 1")
+def k03_ndcg(spark, sf_dir):
+    return rounded(BO.ndcg(_stored(spark, sf_dir).filter("is_explosion IS NOT NULL")), "ndcg")
+
+
+@query()
+def k03_listwise_ranker(spark, sf_dir):
+    """A few rounds on two columns, trained on two months of three, scoring all dates."""
+    m = _stored(spark, sf_dir).filter("is_explosion IS NOT NULL").withColumn("rank_v6", F.col("rank").cast("double"))
+    day = F.month("decision_date") + 12 * F.year("decision_date")
+    model = BO.fit_listwise(m.filter(day % 3 != 0), m.filter(day % 3 == 0), ["score", "rank_v6"], ListwiseSettings(rounds=5, learning_rate=0.1, leaf_rows=50), lambda x: FX.stored(x, "scores"))
+    return model.predict(m, "predicted").select("ticker", "decision_date", r6(F.col("predicted")).alias("predicted"))
+
+
 # More of the same families
 
 
@@ -1199,21 +1235,37 @@ def e12_backtest_summary(spark, sf_dir):
 SHORT = Contract(lookback=21, horizon=3, min_average_dollar_volume=200_000.0, min_median_dollar_volume_prior=150_000.0, max_candidates=80)
 
 
-@query()
-def k07_walk_forward(spark, sf_dir):
-    """The whole loop at a lookback of 21 and a horizon of 3: folds, ridge, boosted trees, blend, risk re-rank, scored test dates."""
+#: Few candidates a date, so that pools are complete on most dates; five signals and few rounds.
+NARROW = dataclasses.replace(SHORT, max_candidates=16, inspect=12)
+
+
+def _research_panel(spark, sf_dir, contract: Contract):
+    """Panel and date quality of the base signals, as ``K.research_panel`` gives them of the whole research set."""
     b = FE.with_index(bars(spark, sf_dir))
-    cand = R.candidates(FE.base_features(b, SHORT), SHORT)
-    ranked = FE.cross_sectional_ranks(cand, R.SIGNALS)
+    cand = R.candidates(FE.base_features(b, contract), contract)
     v6 = R.score(cand).select("ticker", F.col("decision_date").alias("dt"), F.col("score").alias("rank_v6_score"), F.col("rank").alias("rank_v6"))
     names = [f"xrank_{s}" for s in R.SIGNALS]
-    rows = ranked.join(v6, ["ticker", "dt"]).select("ticker", F.col("dt").alias("decision_date"), "rank_v6_score", "rank_v6", F.col("market_return_20d").alias("spy_return_20d"), *names)
-    outcomes = FX.stored(L.with_outcomes(rows, L.forward_labels(b, SHORT)), "outcomes")
-    quality = FX.stored(L.date_quality(outcomes, SHORT).withColumn("date_valid", F.col("outcome_coverage") > 0.5), "quality")
-    whole = outcomes.filter("forward_return IS NOT NULL")
-    panel = FX.stored(L.mature(whole, SHORT), "panel")
-    out = K.run_research(panel, quality, dataclasses.replace(FIXTURE_RESEARCH, locked_test_dates=8), SHORT, 2, names)
-    return out.select("fold", "ticker", "decision_date", r6(F.col("ridge")).alias("ridge"), "adjusted", "blend_weight", "risk_lambda")
+    rows = FE.cross_sectional_ranks(cand, R.SIGNALS).join(v6, ["ticker", "dt"]).select("ticker", F.col("dt").alias("decision_date"), "rank_v6_score", "rank_v6", F.col("market_return_20d").alias("spy_return_20d"), *names)
+    outcomes = FX.stored(L.with_outcomes(rows, L.forward_labels(b, contract)), "outcomes")
+    quality = FX.stored(L.date_quality(outcomes, contract), "quality")
+    panel = L.mature(outcomes, contract).join(F.broadcast(quality.select("decision_date", "universe_size", "date_valid")), "decision_date")
+    return FX.stored(panel, "panel"), quality, names
+
+
+def _research_run(spark, sf_dir):
+    panel, quality, names = _research_panel(spark, sf_dir, NARROW)
+    config = dataclasses.replace(FIXTURE_RESEARCH, minimum_training_dates=10, locked_test_dates=15, validation_dates=6, retrain_interval=8)
+    settings = ListwiseSettings(rounds=3, learning_rate=0.2, leaf_rows=20, l2=1.0)
+    run = WF.Run(spark, panel, quality, FX.scratch(spark, "research"), names, config=config, contract=NARROW, listwise=settings, risk_rounds=3)
+    run.fit_all()
+    return run
+
+
+@query()
+def k07_walk_forward(spark, sf_dir):
+    """The whole run at a lookback of 21 and a horizon of 3 over the dates with complete pools: folds, models, scored test dates, fold audit and promotion."""
+    return _research_run(spark, sf_dir).report()["folds"]
+
 
 
 # L: streams
