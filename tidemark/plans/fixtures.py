@@ -16,6 +16,7 @@ from ..operators import research as K
 from ..operators import transactions as X
 from ..sources import archives as RA
 from ..sources import readers as RD
+from ..streaming import facts as SF
 from ..streaming import ingest as SI
 
 
@@ -262,3 +263,36 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(incoming)
     SI.stream_counts(spark, incoming, "event_type string, ts timestamp, value double", out, work, late="3650 days")
     return SI.latest_counts(spark, out)
+
+
+def late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive in two halves by time; after them every seventh event comes again, once two hours late and once days late.
+
+    The watermark of a day lets the former in and leaves the latter out, which the events' spread of weeks makes a real choice."""
+    incoming, out, work = scratch(spark, "events"), scratch(spark, "counts"), scratch(spark, "work")
+    e = stored(T.read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value", "event_id"), "events")
+    top = e.agg(F.max("ts").alias("top"))
+    rows = e.crossJoin(F.broadcast(top))
+    again = rows.filter("event_id % 7 = 0")
+    near, far = again.filter(F.col("ts") >= F.col("top") - F.expr("INTERVAL 20 HOURS")), again.filter(F.col("ts") < F.col("top") - F.expr("INTERVAL 50 HOURS"))
+    # A watermark moves after a batch, so the late rows come in a run of their own, behind one that has moved it.
+    last = rows.filter("ts = top").limit(1).withColumn("value", F.lit(0.0))
+    for part in (rows, last, near.unionByName(far)):
+        part.select("event_type", "ts", "value").coalesce(4).write.mode("append").parquet(incoming)
+        SI.stream_counts(spark, incoming, "event_type string, ts timestamp, value double", out, work, late="1 day")
+    return SI.latest_counts(spark, out)
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """Positions and their revisions as files that arrive out of order: revisions first, repeats, some back-dated, some at odds with what came before."""
+    incoming, out, work = scratch(spark, "arrivals"), scratch(spark, "facts"), scratch(spark, "work")
+    read = positions(spark, sf_dir).withColumn("short_interest", F.col("short_interest").cast("long"))
+    seen = F.when(F.col("revision_flag"), F.col("available_at"))
+    p = stored(read.select("symbol", "settlement_date", "publication_date", "available_at", "short_interest", "stock_split_flag", "revision_flag", seen.alias("observed_at")), "versions")
+    late, first = p.filter("revision_flag"), p.filter("NOT revision_flag")
+    early = late.withColumn("available_at", F.col("available_at") - F.expr("INTERVAL 15 DAYS"))
+    odd = first.filter("day(settlement_date) > 15").withColumn("short_interest", F.col("short_interest") + 1)
+    for rows in (late.unionByName(first.filter("year(settlement_date) >= 1998")), first.unionByName(early), odd.unionByName(late)):
+        rows.repartition(4, "settlement_date").write.mode("append").parquet(incoming)
+        SF.stream_facts(spark, incoming, out, work)
+    return out

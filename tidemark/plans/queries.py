@@ -29,6 +29,7 @@ from ..operators import worklist as W
 from ..operators.boosting import ListwiseSettings
 from ..sources import archives as RA
 from ..sources import tables as ST
+from ..streaming import facts as ST_F
 from . import fixtures as FX
 from . import sql as Q
 
@@ -1286,3 +1287,18 @@ SELECT event_id, user_id, value, available_at FROM (SELECT *, row_number() OVER
 def l03_late_facts(spark, sf_dir):
     """Facts and, two days later, corrections of every fifth one: each stands from its own availability on."""
     return FX.late_facts(spark, sf_dir)
+
+
+@query("""WITH x AS (SELECT max(ts) AS top FROM events), a AS (SELECT event_type, ts, value FROM events UNION ALL SELECT event_type, ts, value FROM events, x WHERE event_id % 7 = 0 AND ts >= top - INTERVAL 20 HOUR UNION ALL (SELECT event_type, ts, 0 FROM events, x WHERE ts = top LIMIT 1))
+SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM a GROUP BY 1, 2""")
+def l02_late_counts(spark, sf_dir):
+    """Rows within the watermark are counted when they come late, rows behind it are not."""
+    return FX.late_counts(spark, sf_dir).withColumn("total", F.round("total", 4) + F.lit(0.0))
+
+
+@query(ORACLE["j06_short_interest"])
+def l04_streamed_positions(spark, sf_dir):
+    """Positions by way of the stateful stream, out of order, with repeats and back-dated rows: what each decision knows is what it knows from the whole table."""
+    p = ST_F.facts(spark, FX.arrivals(spark, sf_dir))
+    out = B.short_interest_features(T.decisions(spark, sf_dir), p.withColumn("short_interest", F.col("short_interest").cast("double")), T.daily_calendar(spark))
+    return rounded(out.select("ticker", "decision_date", "settlement_date", "available_at", "short_interest_age_sessions", "short_interest", "short_interest_delta", "revision_flag"), "short_interest_delta")
