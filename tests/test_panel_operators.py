@@ -156,7 +156,9 @@ def test_thresholds_and_daily_metrics(spark):
     assert (d.precision_at_k, d.base_explosion_rate, d.downside_at_k, d.catastrophic_loss_at_k, d.adverse_path_at_k, d.passed) == (0.1, 0.05, 0.2, 0.1, 0.2, True)
     m = L.mature(ledger(spark, [*returns[:-1], None]), c)
     assert m.filter("is_explosion IS NOT NULL").isEmpty() and E.daily_rankings(m, c).isEmpty()
-    status = lambda rs, **k: E.evidence(L.mature(ledger(spark, rs, **k), c), E.daily_rankings(L.mature(ledger(spark, rs, **k), c), c), c).first().status
+    cal = C.indexed(spark.createDataFrame([(DAY0 + dt.timedelta(days=i),) for i in range(40)], "session date"))
+    latest = cal.agg(F.max("session").alias("session"))
+    status = lambda rs, **k: E.evidence(L.mature(ledger(spark, rs, **k), c), E.daily_rankings(L.mature(ledger(spark, rs, **k), c), c), c, cal, latest).first().status
     assert status(returns) == "EVALUATED" and status(returns[:9]) == "eligible_universe_below_top_10" and status([*returns[:-1], None]) == "complete_universe_outcomes_required"
     assert status([None, *returns[1:]]) == "top_10_outcomes_incomplete" and status([*returns[:10], *[None] * 10]) == "outcome_coverage_below_90pct"
     with pytest.raises(ValueError):
@@ -379,7 +381,9 @@ def test_known_positions_equal_brute_force(spark):
     rng = random.Random(6)
     day = lambda i: DAY0 + dt.timedelta(days=i)
     at = lambda i: dt.datetime.combine(day(i), dt.time(12))
-    versions = [(f"T{rng.randrange(6)}", day(rng.randrange(12)), at(rng.randrange(60)), float(rng.randrange(9)), rng.random() < 0.2, rng.random() < 0.3) for _ in range(300)]
+    drawn = [(f"T{rng.randrange(6)}", day(rng.randrange(12)), at(rng.randrange(60)), float(rng.randrange(9)), rng.random() < 0.2, rng.random() < 0.3) for _ in range(300)]
+    # Valid ones: not available before their settlement, and one of a cycle at one instant.
+    versions = list({v[:3]: v for v in drawn if v[2].date() >= v[1]}.values())
     decisions = [(f"T{t}", day(i), at(i)) for t in range(7) for i in range(0, 60, 3)]
     p = spark.createDataFrame(versions, "symbol string, settlement_date date, available_at timestamp, short_interest double, stock_split_flag boolean, revision_flag boolean")
     d = spark.createDataFrame(decisions, "ticker string, decision_date date, cutoff timestamp")
