@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,3 +238,16 @@ def test_counters_and_odd_rows(spark, odd, empty, docs):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert {r.doc_id: r.n_tokens for r in bpe.collect()} == {r.doc_id: len(plain.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
     assert Counter(r.version for r in counted(odd, {"w": words, "p": pieces}).collect()) == {"w": 11, "p": 11}
+
+
+def test_bands_that_cannot_reach_the_coverage_cost_little(empty):
+    """The first words of a template again and again: every place is a candidate, none can match enough."""
+    index = L.Index(L.TEMPLATES)
+    name = max(L.TEMPLATES, key=lambda n: len(L.TEMPLATES[n]))
+    head = " ".join(L.TEMPLATES[name].split()[:10])
+    start = time.time()
+    found = L.scan((" ".join([head] * 4000)).encode(), index)
+    assert time.time() - start < 5 and name not in {index.names[k] for k, *_ in found}
+    whole = L.scan((" ".join([head] * 300) + " " + L.TEMPLATES[name]).encode(), index)
+    assert [c for k, c, *_ in whole if index.names[k] == name] == [1.0]
+    assert L.license_matches(empty).count() == 0

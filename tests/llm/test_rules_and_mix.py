@@ -183,3 +183,14 @@ def test_every_source_comes_near_its_target_with_and_without_ids(spark):
 def test_draws_are_uniform(spark):
     us = [r[0] for r in spark.range(20000).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("salt")).select(draw(1)).collect()]
     assert 0 <= min(us) and max(us) < 1 and abs(sum(us) / len(us) - 0.5) < 0.01
+
+
+def test_many_rules_are_joined_and_long_urls_judged(spark):
+    """Thousands of rules, of which few are met; a url of a megabyte is judged by all of its path."""
+    rules = tuple(U.word_rule("block", f"word{i}") for i in range(3000)) + (U.wildcard_rule("block", "*/the/end.html"),)
+    long = "http://ok.example.net/" + "a/" * 500_000
+    urls = [(1, "https://word17.example.net/x"), (2, "https://sword17.example.net/x"), (3, "https://a.word2999.org/"), (4, long + "the/end.html"), (5, long + "the/end"), (6, None)]
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.method_rule, len(r.path)) for r in U.judge_urls(frame, (), rules).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "allow"} and got[4][2] == 1_000_013
+    assert got == {r.page_id: (r.verdict, r.method_rule, len(r.path)) for r in U.judge_urls(frame, (), (rules[17], rules[2999], rules[-1])).collect()}

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,11 +96,18 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return out.withColumn("tokens", F.array_distinct(F.split(F.lower("seen"), "[^a-z0-9]+")))
 
 
-def rarest_tokens(urls: DataFrame, rules: tuple[UrlRule, ...]) -> dict[str, list[int]]:
-    """token -> rules filed under it. What comes to the driver is one count per token of the rule set."""
+def rarest_tokens(urls: DataFrame, rules: tuple[UrlRule, ...], inline: int = INLINE_RULES) -> dict[str, list[int]]:
+    """token -> rules filed under it. What comes to the driver is one count per token of the rule set.
+
+    Beyond ``inline`` rules their tokens are a table that the urls' tokens are joined with, so the work is that of urls plus rules."""
     names = sorted({t for r in rules for t in r.tokens})
-    used = F.array_intersect("tokens", F.array(*[F.lit(t) for t in names]).cast("array<string>"))
-    counts = {r["token"]: r["n"] for r in urls.select(F.explode(used).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    if len(rules) <= inline:
+        used = F.array_intersect("tokens", F.array(*[F.lit(t) for t in names]).cast("array<string>"))
+        met = urls.select(F.explode(used).alias("token"))
+    else:
+        table = urls.sparkSession.createDataFrame(pd.DataFrame({"token": names}), "token string")
+        met = urls.select(F.explode("tokens").alias("token")).join(sized(table), "token")
+    counts = {r["token"]: r["n"] for r in met.groupBy("token").agg(F.count("*").alias("n")).collect()}
     filed: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
         if not rule.tokens:
@@ -116,7 +124,7 @@ def _best(cands):
 def judge_urls(pages: DataFrame, listed: tuple[UrlRule, ...] = LISTED, patterns: tuple[UrlRule, ...] = PATTERNS, inline: int = INLINE_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, method_rule. Rows keep their partition: no shuffle while the rules fit ``inline``."""
     urls, rules = with_parts(pages), (*listed, *patterns)
-    filed = rarest_tokens(urls, rules)
+    filed = rarest_tokens(urls, rules, inline)
     entry = lambda i: (i, rules[i].pattern, len(rules[i].rule) if rules[i].listed else -1, rules[i].rule, rules[i].verdict)
     if len(rules) <= inline:
         item = lambda i: F.struct(*[F.lit(v).alias(k) for k, v in zip(("i", "pattern", "size", "rule", "verdict"), entry(i))])
@@ -127,7 +135,8 @@ def judge_urls(pages: DataFrame, listed: tuple[UrlRule, ...] = LISTED, patterns:
         judged = urls.withColumn("best", _best(fits))
     else:
         spark = pages.sparkSession
-        rows = spark.createDataFrame([(t, *entry(i)) for t, ids in filed.items() for i in ids], "token string, i int, pattern string, size int, rule string, verdict string")
+        told = pd.DataFrame([(t, *entry(i)) for t, ids in filed.items() for i in ids], columns=["token", "i", "pattern", "size", "rule", "verdict"])
+        rows = stage(spark.createDataFrame(told, "token string, i int, pattern string, size int, rule string, verdict string"), "rules")
         # Each different host and path meets its rules once; a hot one is split by hub_join where its verdict goes back to the rows.
         different = stage(urls.groupBy("seen").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "urls")
         hits = different.select("seen", "n", F.explode("tokens").alias("token")).join(sized(rows), "token").filter(F.regexp("seen", F.col("pattern")))
