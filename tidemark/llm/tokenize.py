@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Bytes that a worker keeps pieces and their ids in, half of them recent, half from the time before; longer pieces aren't kept.
-CACHE_BYTES, LONGEST = 160 << 20, 256
+CACHE_BYTES, LONGEST = 256 << 20, 256
 #: What an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
 
