@@ -2,13 +2,14 @@ import fnmatch
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality_rules as Q
 from tidemark.llm import url_filter as U
-from tidemark.llm.exact_dedup import dedup, keep_last
+from tidemark.llm.exact_dedup import Seen, dedup, follow, keep_last
 from tidemark.llm.mixing import draw, emit, mix, source_targets
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,6 +130,52 @@ def test_dedup_splits_digests_that_collide(docs, odd):
         assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_arrivals_equal_brute_force_and_change_nothing_when_sent_again(spark, docs, odd, tmp_path, weak):
+    digest = {"digest": lambda c: F.substring(F.sha2(c, 256), 1, 1)} if weak else {}
+    seen, rows = Seen(spark, f"{tmp_path}/seen", **digest), []
+    parts = [docs.limit(120), odd, docs.orderBy(F.desc("doc_id")).limit(120), odd.limit(0), docs.limit(40)]
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{tmp_path}/in{i}")
+        rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/in{i}").select("doc_id", "text").collect()]
+        assert seen.arrive(i, f"{tmp_path}/in{i}") and not seen.arrive(i, f"{tmp_path}/in{i}")
+        got = seen.verdicts().collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_dedup(rows), i
+        assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
+
+
+def test_an_arrival_that_broke_off_is_finished_by_the_next(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(f"{tmp_path}/a")
+    odd.limit(5).write.parquet(f"{tmp_path}/b")
+    whole = brute_dedup([(r.doc_id, r.text) for x in "ab" for r in spark.read.parquet(f"{tmp_path}/{x}").select("doc_id", "text").collect()])
+    with monkeypatch.context() as m:
+        m.setattr("tidemark.llm.exact_dedup.mixed_digests", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Seen(spark, f"{tmp_path}/seen").arrive(1, f"{tmp_path}/a")
+    seen = Seen(spark, f"{tmp_path}/seen")
+    assert seen.arrive(2, f"{tmp_path}/b") and not seen.arrive(1, f"{tmp_path}/a")
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in seen.verdicts().collect()) == whole
+
+
+def test_locators_are_followed_into_their_files_alone(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    rows = spark.range(0, 80_000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("T "), "id").alias("text"), F.lit(1).alias("_metadata"), F.lit("x").alias("file"))
+    rows.write.parquet(at)
+    content = spark.read.parquet(at)
+    place = content.metadataColumn("_metadata")
+    named = content.select("doc_id", place["file_path"].alias("file"), place["row_index"].alias("row"))
+    want = {7, 9_999, 70_001}
+    hit = {r.file for r in named.filter(F.col("doc_id").isin(*want)).select("file").collect()}
+    named = spark.createDataFrame(named.collect(), named.schema)
+    for other in Path(at).glob("part-*"):
+        if other.name not in {x.rsplit("/", 1)[1] for x in hit}:
+            other.unlink()
+    for most in (8_192, 1):
+        got = follow(content, named.filter(F.col("doc_id").isin(*want)).select("file", "row"), lambda x: x, most)
+        assert {r.doc_id: r.norm for r in got.collect()} == {i: f"t {i}" for i in want}
+    assert len(hit) == 2 and follow(content, named.limit(0).select("file", "row"), lambda x: x).count() == 0
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}

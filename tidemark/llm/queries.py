@@ -41,7 +41,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents"), plain=True)
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
