@@ -34,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return exact_dedup.keep_last(docs)
+    """Of equal texts the row with the largest doc_id stays. ``docs`` is the table that the stage before wrote, a plain read of files."""
+    return exact_dedup.keep_last(docs, plain=True)
 
 
 @_stage
