@@ -104,6 +104,7 @@ def test_dedup(request, which):
     kept = [r for r in got if r.kept]
     assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
     assert keep_last(frame).columns == frame.columns
+    assert keep_last(frame, plain=True).count() == len(kept)
 
 
 def test_many_rows_of_one_text_without_id(spark):

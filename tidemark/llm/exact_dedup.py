@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def _place(docs: DataFrame) -> list[Column]:
     return [at["file_path"].alias("file"), at["row_index"].alias("row")]
 
 
+def _located(docs: DataFrame) -> bool:
+    try:
+        docs.select(*_place(docs)).schema
+    except AnalysisException:
+        return False
+    return True
+
+
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, digest, text_sha256 (null where it is the digest), file, row. One pass over whole texts; texts don't leave it.
 
@@ -222,8 +231,8 @@ class Seen:
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, plain: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    ``plain`` says that ``docs`` is a plain read of Parquet files, whose rows have locators; other tables' ids and texts are written first."""
-    if not plain:
+    ``plain`` says that ``docs`` is a plain read of Parquet files, whose rows have locators; other tables' ids and texts, and those that turn out to be without, are written first."""
+    if not (plain and _located(docs)):
         docs = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "content")
     seen = Seen(docs.sparkSession, stage_path(docs.sparkSession, "dedup-stream"), digest)
     seen._take(0, docs, docs)
