@@ -156,3 +156,14 @@ def test_nothing_outside_imports_the_corpus_operators():
     for p in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", p.read_text(), re.M), p
+
+
+def test_page_texts_are_those_of_their_sql(spark, tmp_path):
+    """References that lack their semicolon, others than the four, a reference of a reference, white space beyond ASCII, nothing at all."""
+    pages = ["<p>a&amp;&amp b&ampc &copy &quot;d&quot;</p>", "x &lt;y&gt; &eacute; &#39; &nbsp;", "&amp;copy; &amp;amp;", "a\u00a0b\x0bc\u2003d \t\n e", "<script>x</SCRIPT >&middot;", " <p> </p> ", "", None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in entry.queries()["b18_html_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(entry.oracle_sql()["b18_html_text"]).fetchall()) and len(got) == len(pages)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -156,16 +157,23 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
-def html_text(c: Column, entities: bool = True) -> Column:
-    """Text of a page: scripts and styles dropped, tags as spaces, entities resolved, white space collapsed; null if nothing is left."""
+#: References that pages without a full entity table are read by, in the order of their resolution.
+REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def html_text(c: Column, entities: bool | Sequence[tuple[str, str]] = True, space: str = r"(?U)\s+") -> Column:
+    """Text of a page: scripts and styles dropped, tags as spaces, entities resolved, white space collapsed; null if nothing is left.
+
+    entities: True for HTML's whole table, which knows references without their semicolon too; pairs for these alone, as they are spelt; False for
+    ``REFERENCES``. space: the pattern of what becomes one space."""
     bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    if entities:
+    if entities is True:
         bare = unescape(bare)
     else:
-        for name, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        for name, sign in entities or REFERENCES:
             bare = F.replace(bare, F.lit(name), F.lit(sign))
-    text = F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    text = F.trim(F.regexp_replace(bare, space, " "))
     return F.when(text != "", text)
 
 
