@@ -93,3 +93,22 @@ def test_a_batch_that_is_repeated_replaces_itself(spark):
     assert {tuple(r) for r in SF.facts(spark, out).collect()} == set(rows) and SF.facts(spark, out).count() == len(rows)
     with pytest.raises(Exception, match="conflicting"):
         known(spark, SF.facts(spark, out).unionByName(spark.createDataFrame([(*rows[0][:4], rows[0][4] + 1, *rows[0][5:])], SF.FACTS)))
+
+
+def test_versions_are_judged_by_the_bucket(spark):
+    """However the symbols are dealt, the facts are the same; a null beside a quantity beyond 2**53 doesn't round it; repeats and conflicts are told apart."""
+    big = 2**53 + 1
+    good = [version(s, c, 9, big + c) for s in "ABCDEFGH" for c in range(3)]
+    late = [version(s, 0, 20, big - 1, True) for s in "ABCD"]
+    none = [(*r[:4], None, *r[5:]) for r in good[:2]]
+    odd = [version(s, 1, 9, big) for s in "GH"]
+    for buckets in (1, 3):
+        incoming, out, work = (FX.scratch(spark, n) for n in ("t-arrivals", "t-facts", "t-work"))
+        for part in (good[6:] + none, odd + late + good):
+            spark.createDataFrame(part, SF.FACTS).coalesce(1).write.mode("append").parquet(incoming)
+            SF.stream_facts(spark, incoming, out, work, buckets=buckets)
+        assert {tuple(r) for r in SF.facts(spark, out).collect()} == set(good + late) and SF.facts(spark, out).count() == len(good + late)
+        told = SF.rejected(spark, out)
+        assert {tuple(r) for r in told.filter("reason = 'incomplete'").drop("reason").collect()} == set(none)
+        assert {tuple(r) for r in told.filter("reason = 'conflicting_version'").drop("reason").collect()} == set(odd) and told.count() == 4
+        assert {(r.symbol, r.settlement_date): r.short_interest for r in SF.newest(spark, out).collect()} == {(r[0], r[1]): r[4] for r in good + late}
