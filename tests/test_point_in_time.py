@@ -7,12 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_panel_operators import panel, sessions
+from tidemark.adapters import driver_tables as T
 from tidemark.contract import Contract
 from tidemark.operators import backtest as BT
+from tidemark.operators import bitemporal as B
 from tidemark.operators import features as FE
 from tidemark.operators import labels as L
 from tidemark.operators import ranking as R
 from tidemark.operators import transactions as X
+from tidemark.plans import fixtures as FX
+from tidemark.sources import archives as RA
 
 FLAGS = ("positive", "completed", "terminated", "supp_completed", "supp_terminated")
 T0 = dt.datetime(2020, 1, 1)
@@ -119,3 +123,26 @@ def test_the_last_of_repeated_bars_counts_and_without_a_sequence_they_are_refuse
     for build in (FE.base_features, lambda x: L.forward_labels(x, Contract()), lambda x: R.rank_dates(x, LOOSE)):
         with pytest.raises(Exception, match="repeats A on"):
             build(twice.drop("seq")).write.format("noop").mode("overwrite").save()
+
+
+def test_feature_steps_hash_and_read_once(spark, sf, monkeypatch):
+    """Neither filings nor transactions are sorted to be made unique; files of positions aren't each summed from the line items."""
+    for out in (B.filing_features(T.decisions(spark, sf), T.filings(spark, sf), T.daily_calendar(spark)), B.insider_features(T.decisions(spark, sf), T.insider(spark, sf), T.daily_calendar(spark))):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    read, store = [], RA.store
+    monkeypatch.setattr(RA, "store", lambda rows, *a: (read.extend(rows.inputFiles()), store(rows, *a))[1])
+    FX.short_interest_read(spark, sf)
+    assert read and not [f for f in read if "lineitem" in f]
+
+
+def test_reports_that_differ_by_an_unknown_plan_clash(spark):
+    """One report of a transaction names a plan, the other doesn't say; both leave it open."""
+    day, cal = dt.date(1996, 3, 29), T.daily_calendar(spark)
+    asked = spark.createDataFrame([("A", day)], "ticker string, decision_date date")
+    row = lambda plan, owner: ("A", dt.datetime(1996, 3, 20), "P", 2.0, 3.0, owner, plan, "t")
+    of = lambda *rows: B.insider_features(asked, spark.createDataFrame(rows, "ticker string, available_at timestamp, transaction_code string, shares double, price double, insider_id string, is_10b5_1 boolean, transaction_id string"), cal)
+    for rows in ((row(None, "x"), row(True, "y")), (row(True, "x"), row(False, "y"))):
+        with pytest.raises(Exception, match="conflicting reports"):
+            of(*rows).select("form4_non_10b5_1_buy_usd").collect()
+    got = of(row(None, "x"), row(None, "y")).first()
+    assert (got.form4_open_market_buy_usd, got.form4_unknown_10b5_1_buy_usd, got.form4_10b5_1_buy_usd, got.distinct_insider_buyers) == (6.0, 6.0, 0.0, 2)

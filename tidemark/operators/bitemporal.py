@@ -147,18 +147,23 @@ def in_window(decisions: DataFrame, events: DataFrame, calendar: DataFrame, look
 
 def filing_features(decisions: DataFrame, filings: DataFrame, calendar: DataFrame, lookback: int = 60) -> DataFrame:
     """Counts and flags of filings in each decision's window; decisions without filings aren't returned."""
-    f = filings.dropDuplicates(["ticker", "accession_number"]).withColumn("form", form(F.col("form"))).withColumn("base", base_form(F.col("form"))).withColumn("item_list", items(F.col("items")))
-    e = in_window(decisions, f, calendar, lookback)
-    base, has = F.col("base"), lambda b: F.max(b.cast("int")) == 1
-    own = F.arrays_overlap("item_list", F.array(*[F.lit(x) for x in MATERIAL_ITEMS]))
-    earnings = (base == "8-K") & F.array_contains("item_list", "2.02")
+    base, item_list = base_form(form(F.col("form"))), items(F.col("items"))
+    own = F.arrays_overlap(item_list, F.array(*[F.lit(x) for x in MATERIAL_ITEMS]))
+    # What a filing counts as, before its copies are dropped: flags take a hash aggregate and little of a shuffle, texts a sort.
+    f = filings.select(
+        "ticker", "accession_number", "available_at",
+        ((base == "8-K") & F.array_contains(item_list, "2.02")).alias("earnings"), base.isin("8-K", "6-K").alias("current"), ((base == "6-K") | ((base == "8-K") & own)).alias("material"),
+        base.isin(*OFFERING_FORMS).alias("offering"), base.isin(*LATE_FORMS).alias("late"), (form(F.col("form")) == "SC 13D").alias("new_13d"),
+    )
+    e = in_window(decisions, f.dropDuplicates(["ticker", "accession_number"]), calendar, lookback)
+    has = lambda c: F.max(F.col(c).cast("int")) == 1
     return e.groupBy("ticker", "decision_date").agg(
-        (F.max("d_idx") - F.max(F.when(earnings, F.col("idx")))).alias("days_since_8k_earnings"),
-        F.count(F.when(base.isin("8-K", "6-K"), 1)).alias("current_report_count"),
-        F.count(F.when((base == "6-K") | ((base == "8-K") & own), 1)).alias("material_event_count"),
-        has(base.isin(*OFFERING_FORMS)).alias("recent_offering_risk"),
-        has(base.isin(*LATE_FORMS)).alias("late_filing_risk"),
-        has(F.col("form") == "SC 13D").alias("new_13d"),
+        (F.max("d_idx") - F.max(F.when(F.col("earnings"), F.col("idx")))).alias("days_since_8k_earnings"),
+        F.count(F.when(F.col("current"), 1)).alias("current_report_count"),
+        F.count(F.when(F.col("material"), 1)).alias("material_event_count"),
+        has("offering").alias("recent_offering_risk"),
+        has("late").alias("late_filing_risk"),
+        has("new_13d").alias("new_13d"),
     )
 
 
@@ -169,10 +174,12 @@ def insider_features(decisions: DataFrame, trades: DataFrame, calendar: DataFram
     buys = trades.filter("transaction_code = 'P' AND shares > 0 AND price > 0").withColumn("amount", F.col("shares") * F.col("price"))
     e = in_window(decisions, buys, calendar, lookback)
     keys = ["ticker", "decision_date"]
-    told = F.struct("amount", "is_10b5_1")
-    once = e.filter("transaction_id IS NOT NULL").groupBy(*keys, "transaction_id").agg(F.min(told).alias("a"), F.max(told).alias("z"))
+    plan = F.col("is_10b5_1").cast("int")
+    spread = (F.min("amount").alias("a"), F.max("amount").alias("z"), F.min(plan).alias("p"), F.max(plan).alias("q"), F.count(plan).alias("told"), F.count("*").alias("rows"))
+    once = e.filter("transaction_id IS NOT NULL").groupBy(*keys, "transaction_id").agg(*spread)
+    differ = ~F.col("a").eqNullSafe(F.col("z")) | ~F.col("p").eqNullSafe(F.col("q")) | ((F.col("told") > 0) & (F.col("told") < F.col("rows")))
     clash = F.raise_error(F.concat(F.lit("conflicting reports of transaction "), F.col("transaction_id")))
-    once = once.select(*keys, F.when(~F.col("a").eqNullSafe(F.col("z")), clash).otherwise(F.col("z")).alias("t")).select(*keys, "t.amount", "t.is_10b5_1")
+    once = once.select(*keys, F.when(differ, clash.cast("double")).otherwise(F.col("z")).alias("amount"), F.when(differ, clash.cast("boolean")).otherwise(F.col("q") == 1).alias("is_10b5_1"))
     money = once.unionByName(e.filter("transaction_id IS NULL").select(*keys, "amount", "is_10b5_1"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0.0))
     plan = F.col("is_10b5_1")

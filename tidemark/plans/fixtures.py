@@ -99,7 +99,8 @@ def short_interest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some suppliers' cycles of two years come again as revised rows, a tenth more, in files observed at later dates."""
     root = scratch(spark, "archive")
-    s = short_positions(spark, sf_dir)
+    # Every file reads them twice, for its digest and its rows.
+    s = stored(short_positions(spark, sf_dir), "quantities")
 
     def put(rows: DataFrame, quantity, mark: str, period: str, observed_at: str) -> None:
         own = rows.select(

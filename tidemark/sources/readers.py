@@ -79,7 +79,8 @@ def short_interest_file(spark: SparkSession, path: str | list[str], calendar: Da
     plain = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in d.columns}
     col = lambda n: next((F.col(f"`{plain[a]}`") for a in ALIASES[n] if a in plain), F.lit(None).cast("string"))
     revised = S.flag(col("revision_flag"), S.REVISED_YES)
-    seen = F.to_date(observed_at) if observed_at is not None else F.lit(None).cast("date")
+    # A row that isn't revised needs no observation, whose date is often taken from a path.
+    seen = F.when(F.coalesce(revised, F.lit(True)), F.to_date(observed_at)) if observed_at is not None else F.lit(None).cast("date")
     rows = d.select(
         S.ticker(col("symbol")).alias("symbol"), S.date(col("settlement_date")).alias("settlement_date"), S.count(col("short_interest")).alias("short_interest"),
         S.flag(col("stock_split_flag"), S.SPLIT_YES).alias("stock_split_flag"), revised.alias("revision_flag"), seen.alias("_seen"),
