@@ -146,3 +146,14 @@ def test_reports_that_differ_by_an_unknown_plan_clash(spark):
             of(*rows).select("form4_non_10b5_1_buy_usd").collect()
     got = of(row(None, "x"), row(None, "y")).first()
     assert (got.form4_open_market_buy_usd, got.form4_unknown_10b5_1_buy_usd, got.form4_10b5_1_buy_usd, got.distinct_insider_buyers) == (6.0, 6.0, 0.0, 2)
+
+
+def test_the_timeline_is_dealt_by_its_rows(spark, sf, monkeypatch):
+    """A task's share of the timeline is bounded by rows, not by a number of parts; the states stay."""
+    f, d = FX.deal_filings(spark, sf), FX.deal_decisions(spark, sf)
+    want = sorted(map(str, X.states_as_of(f, d).collect()))
+    monkeypatch.setattr(X, "_LINE_ROWS", 500)
+    out = X.states_as_of(f, d)
+    rows = f.count() - f.filter("form = 'S-4'").count() + 2 * d.count()
+    assert "hashpartitioning(ticker#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, out.collect())) == want

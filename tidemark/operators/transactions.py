@@ -74,6 +74,20 @@ def _lost() -> Column:
     return F.struct(F.lit("unknown").alias("state"), F.lit("transaction_amendment_without_base_filing").alias("reason"))
 
 
+#: States that events bring about, with their reasons, which tell them apart.
+EVENTS = (
+    ("active", "target_tender_offer_form_SC_14D9"), ("active", "definitive_target_transaction_language"), ("completed", "transaction_completed"),
+    ("terminated", "transaction_terminated_or_withdrawn"), ("unknown", "transaction_amendment_without_base_filing"),
+)
+#: Rows of the timeline that a task is given.
+_LINE_ROWS = 100_000
+
+
+def _code(event: Column) -> Column:
+    """The number of an event in EVENTS, from 1; null without one."""
+    return F.nullif(F.array_position(F.array(*[F.lit(reason) for _, reason in EVENTS]), event["reason"]).cast("int"), F.lit(0))
+
+
 def transaction_events(filings: DataFrame) -> DataFrame:
     """filings (ticker, accepted_at, accession_number, form, event flags, optional in_search) with the event that each brings about, if any."""
     f = _acting(filings)
@@ -105,22 +119,27 @@ def states_as_of(filings: DataFrame, decisions: DataFrame, lookback_days: int =
 
     decisions = require_unique(decisions.select("ticker", "decision_date", "decision_at"), ["ticker", "decision_date"], "decisions")
     f = _acting(filings)
-    row = lambda what: F.struct(F.col("accepted_at").alias("at"), "accession_number", "form", what.alias("event"))
+    # Events travel as numbers, and a filing's names once in its own row: windows sort all rows of a task.
     marks = f.select(
-        "ticker", F.col("accepted_at").alias("at"), F.lit(1).alias("kind"), "accession_number", F.lit(None).cast("date").alias("decision_date"), F.lit(None).cast("timestamp").alias("until"),
-        F.coalesce("_toggle", F.lit(0)).alias("toggle"), F.col("_set").alias("set"), F.when(F.col("_act"), row(F.col("_begun"))).alias("begins"),
-        F.when(F.col("_toggle") == 1, F.col("_ended")).alias("turns_to"), F.when(~F.col("_act") & F.col("_ended").isNotNull(), row(F.col("_ended"))).alias("ends"), F.when(F.col("_late"), row(_lost())).alias("late"),
+        "ticker", F.col("accepted_at").alias("at"), F.lit(1).alias("kind"), "accession_number", "form", F.lit(None).cast("date").alias("decision_date"), F.lit(None).cast("timestamp").alias("until"),
+        F.coalesce("_toggle", F.lit(0)).alias("toggle"), F.col("_set").alias("set"), F.when(F.col("_act"), _code(F.col("_begun"))).alias("begins"),
+        F.when(F.col("_toggle") == 1, _code(F.col("_ended"))).alias("turns_to"), F.when(~F.col("_act"), _code(F.col("_ended"))).alias("ends"), F.when(F.col("_late"), _code(_lost())).alias("late"),
     )
     start = (F.to_date("decision_at") - lookback_days).cast("timestamp")
     at = lambda when, kind: decisions.select("ticker", when.alias("at"), F.lit(kind).alias("kind"), F.lit("").alias("accession_number"), "decision_date", F.col("decision_at").alias("until"))
     line = marks.unionByName(at(start, 0), allowMissingColumns=True).unionByName(at(F.col("decision_at"), 2), allowMissingColumns=True)
+    # Whole tickers in as many parts as their rows ask for, so that what a task sorts doesn't grow with the input.
+    line = line.repartition(max(1, -(-line.count() // _LINE_ROWS)), "ticker")
+    row = lambda event: F.when(F.col(event).isNotNull(), F.struct("at", "accession_number", "form", F.col(event).alias("event")))
     back = Window.partitionBy("ticker").orderBy(F.col("at").desc(), F.col("kind").desc(), F.col("accession_number").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    line = line.withColumn("next_end", F.last("ends", ignorenulls=True).over(back)).withColumn("next_late", F.last("late", ignorenulls=True).over(back))
+    line = line.withColumn("next_end", F.last(row("ends"), ignorenulls=True).over(back)).withColumn("next_late", F.last(row("late"), ignorenulls=True).over(back))
+    # The next end is asked for by what begins, the next late amendment by the start of a window.
+    line = line.withColumns({"next_end": F.when(F.col("begins").isNotNull(), F.col("next_end")), "next_late": F.when(F.col("kind") == 0, F.col("next_late"))}).drop("ends", "late")
     ahead = Window.partitionBy("ticker").orderBy("at", "kind", "accession_number").rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumn("turns", F.coalesce(F.sum("toggle").over(ahead), F.lit(0)))
     line = line.withColumn("setter", F.last(F.when(F.col("set").isNotNull(), F.struct("at", F.col("set").alias("s"), F.col("turns").alias("t"))), ignorenulls=True).over(ahead))
-    begun = F.when(F.col("begins").isNotNull(), F.struct(F.col("begins").alias("own"), "turns_to", "turns", "setter", "next_end"))
-    line = line.withColumn("begun", F.last(begun, ignorenulls=True).over(ahead)).filter("kind <> 1")
+    begun = F.when(F.col("begins").isNotNull(), F.struct(row("begins").alias("own"), "turns_to", "turns", "setter", "next_end"))
+    line = line.withColumn("begun", F.last(begun, ignorenulls=True).over(ahead)).filter("kind <> 1").select("ticker", "at", "kind", "decision_date", "until", "turns", "next_late", "begun")
     of = lambda kind, *columns: F.max_by(F.struct(*columns), F.when(F.col("kind") == kind, 1))  # noqa: E731  one row of each kind
     met = line.groupBy("ticker", "decision_date").agg(F.first("until").alias("until"), of(0, "at", "turns", "next_late").alias("a"), of(2, "begun").alias("z"))
     met = met.select("ticker", "decision_date", "until", "a", F.col("z.begun").alias("b"))
@@ -134,10 +153,9 @@ def states_as_of(filings: DataFrame, decisions: DataFrame, lookback_days: int =
         .when(inside, F.col("b.own"))
         .when(F.col("a.next_late.at") <= F.col("until"), F.col("a.next_late"))
     )
+    named = lambda k: F.coalesce(*[F.when(F.col("l.event") == i, F.lit(told[k])) for i, told in enumerate(EVENTS, 1)], F.lit(("none", "no_definitive_transaction_filing")[k]))
     out = met.withColumn("l", last).select(
-        "ticker", "decision_date",
-        F.coalesce(F.col("l.event.state"), F.lit("none")).alias("state"),
-        F.coalesce(F.col("l.event.reason"), F.lit("no_definitive_transaction_filing")).alias("reason"),
+        "ticker", "decision_date", named(0).alias("state"), named(1).alias("reason"),
         F.col("l.form").alias("form"), F.col("l.accession_number").alias("accession_number"), F.col("l.at").alias("accepted_at"),
     )
     if strict and not out.filter("state = 'unknown'").isEmpty():
