@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,44 @@ def test_the_timeline_is_dealt_by_its_rows(spark, sf, monkeypatch):
     rows = f.count() - f.filter("form = 'S-4'").count() + 2 * d.count()
     assert "hashpartitioning(ticker#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan
     assert sorted(map(str, out.collect())) == want
+
+
+def by_ticker(rows):
+    """What a plan broadcasts under a ticker."""
+    return re.findall(r"HashedRelationBroadcastMode\(List\(input\[\d+, string.*", rows._jdf.queryExecution().executedPlan().toString())
+
+
+def test_feature_steps_never_broadcast_decisions(spark, sf):
+    """A plan takes every ticker at every date for next to nothing, as the dates come from an exploded calendar."""
+    asked, cal = T.decisions(spark, sf), T.daily_calendar(spark)
+    assert by_ticker(T.filings(spark, sf).join(asked, "ticker"))
+    positions = spark.createDataFrame([("S000001", dt.date(1996, 3, 15), dt.datetime(1996, 3, 27), 5.0, False, False)], "symbol string, settlement_date date, available_at timestamp, short_interest double, stock_split_flag boolean, revision_flag boolean")
+    volumes = asked.withColumn("average_daily_volume", F.lit(2.0))
+    for out in (
+        B.filing_features(asked, T.filings(spark, sf), cal), B.insider_features(asked, T.insider(spark, sf), cal), B.window_coverage(asked, T.coverage(spark, sf), cal, "filings"),
+        FX.event_features(spark, sf), B.short_interest_features(asked, positions, cal, volumes),
+    ):
+        assert not by_ticker(out)
+
+
+def test_coverage_of_windows_counts_sessions_by_hand(spark):
+    """Touching, overlapping, broken and unordered intervals against a count of the window's sessions; a decision that comes twice is one."""
+    cal, draw = T.daily_calendar(spark), random.Random(4)
+    days = [r.session for r in cal.orderBy("idx").collect()]
+    some, rows = days[100:180], []
+    for k in range(60):
+        for _ in range(draw.randrange(0, 5)):
+            a = some[0] + dt.timedelta(draw.randrange(0, 110))
+            rows.append((f"T{k}", "filings", a, a + dt.timedelta(draw.choice((-3, 0, 2, 10, 40, 90))), draw.choice(("complete", "complete", "complete", "partial", "missing"))))
+    rows.append(("T0", "insider", days[0], days[-1], "complete"))
+    asked = [(f"T{k}", days[i]) for k in range(61) for i in (5, 120, 131, 150, 170)]
+    cover = spark.createDataFrame(rows, "ticker string, source string, coverage_start date, coverage_end date, status string")
+    out = B.window_coverage(spark.createDataFrame(asked + asked[:7], "ticker string, decision_date date"), cover, cal, "filings", 10).collect()
+    assert len(out) == len(asked)
+    for r in out:
+        i, own = days.index(r.decision_date), [x for x in rows if x[0] == r.ticker and x[1] == "filings"]
+        window = days[max(0, i - 9) : i + 1]
+        held = lambda kinds: [d for d in window if any(x[2] <= d <= x[3] for x in own if x[4] in kinds)]  # noqa: B023, E731
+        status = "complete" if len(held(("complete",))) == 10 else "partial" if held(("complete", "partial")) else "missing"
+        assert (r.status, r.start, r.end) == (status, min((x[2] for x in own), default=None), max((x[3] for x in own), default=None)), r
+    assert {r.status for r in out} == {"complete", "partial", "missing"}

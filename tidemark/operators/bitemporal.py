@@ -19,6 +19,14 @@ OFFERING_FORMS = ("S-3", "424B5", "EFFECT")
 LATE_FORMS = ("NT 10-Q", "NT 10-K")
 
 
+def by_key(rows: DataFrame) -> DataFrame:
+    """Rows of a panel's grain, one or more per ticker and decision: joined by a shuffle whatever a plan takes them for.
+
+    Estimates don't see that every ticker meets every date (dates come from an exploded calendar, which counts as a row), so millions of
+    decisions pass for a few MB and would be broadcast, whole, through the driver."""
+    return rows.hint("merge")
+
+
 def newest_known(rows: DataFrame, keys: list[str], known: Column, order: list[str]) -> DataFrame:
     """Per key the row with the largest order among those that ``known`` admits; an aggregate, so versions combine early."""
     rest = [c for c in rows.columns if c not in keys]
@@ -92,8 +100,8 @@ def short_interest_features(decisions: DataFrame, positions: DataFrame, calendar
     k = k.filter(fresh)
     split = F.col("previous_interest").isNotNull() & (F.col("split_flag") | F.coalesce("previous_split_flag", F.lit(False)))
     k = k.withColumn("split_suppressed", split).withColumn("short_interest_delta", F.when((F.col("previous_interest") > 0) & ~split, F.col("short_interest") / F.col("previous_interest") - 1.0))
-    out = decisions.select("ticker", "decision_date").join(k, ["ticker", "decision_date"], "left")
-    out = out.join(volumes, ["ticker", "decision_date"], "left") if volumes is not None else out.withColumn("average_daily_volume", F.lit(None).cast("double"))
+    out = decisions.select("ticker", "decision_date").join(by_key(k), ["ticker", "decision_date"], "left")
+    out = out.join(by_key(volumes), ["ticker", "decision_date"], "left") if volumes is not None else out.withColumn("average_daily_volume", F.lit(None).cast("double"))
     out = out.join(shares, "ticker", "left") if shares is not None else out.withColumn("shares_outstanding", F.lit(None).cast("double"))
     over = lambda c: F.when(F.col(c) > 0, F.col("short_interest") / F.col(c))
     return out.select(
@@ -103,10 +111,11 @@ def short_interest_features(decisions: DataFrame, positions: DataFrame, calendar
 
 
 def window_coverage(decisions: DataFrame, coverage: DataFrame, calendar: DataFrame, source: str, lookback: int = 60) -> DataFrame:
-    """ticker, decision_date, status, start, end of a source: complete if every session of the window lies in a complete interval,
+    """ticker, decision_date (each pair once), status, start, end of a source: complete if every session of the window lies in a complete interval,
     partial if one that isn't missing overlaps it, else missing.
 
-    Intervals become session positions, so that overlap is arithmetic: complete intervals of a ticker don't overlap after merging."""
+    Intervals become session positions, so that overlap is arithmetic: complete intervals of a ticker don't touch after merging, so a whole
+    window lies in one of them. Decisions meet all intervals, merged and as they came, in one join by ticker, whose partitions the aggregate keeps."""
     w = C.window_before(decisions.select("ticker", "decision_date"), calendar, lookback).select("ticker", "decision_date", "first_idx", "d_idx")
     pos = calendar.select("session", "idx")
     iv = coverage.filter(F.col("source") == source).select("ticker", "coverage_start", "coverage_end", "status")
@@ -115,13 +124,14 @@ def window_coverage(decisions: DataFrame, coverage: DataFrame, calendar: DataFra
     after = days.join(pos, "session").select(F.date_sub("day", 1).alias("coverage_end"), (F.col("idx") - 1).alias("hi"))
     top = calendar.agg(F.max("idx").alias("top"))
     iv = iv.join(F.broadcast(lo), "coverage_start", "left").join(F.broadcast(after), "coverage_end", "left").crossJoin(F.broadcast(top)).withColumn("hi", F.coalesce("hi", "top"))
-    merged = _merge(iv.filter("status = 'complete' AND lo IS NOT NULL AND hi >= lo"))
-    full = w.join(merged, "ticker").withColumn("n", F.greatest(F.lit(0), F.least("d_idx", "hi") - F.greatest("first_idx", "lo") + 1))
-    full = full.groupBy("ticker", "decision_date").agg(F.sum("n").alias("n"))
-    part = w.join(iv.filter("status != 'missing' AND lo IS NOT NULL"), "ticker").filter("lo <= d_idx AND hi >= first_idx AND hi >= lo").select("ticker", "decision_date").distinct().withColumn("some", F.lit(True))
-    ends = coverage.filter(F.col("source") == source).groupBy("ticker").agg(F.min("coverage_start").alias("start"), F.max("coverage_end").alias("end"))
-    out = w.select("ticker", "decision_date").join(full, ["ticker", "decision_date"], "left").join(part, ["ticker", "decision_date"], "left").join(ends, "ticker", "left")
-    status = F.when(F.col("n") >= lookback, "complete").when(F.col("some"), "partial").otherwise("missing")
+    whole = _merge(iv.filter("status = 'complete' AND lo IS NOT NULL AND hi >= lo")).withColumn("whole", F.lit(True))
+    told = iv.select("ticker", "lo", "hi", F.expr("status != 'missing' AND lo IS NOT NULL AND hi >= lo").alias("told"), "coverage_start", "coverage_end")
+    met = by_key(w).join(told.unionByName(whole, allowMissingColumns=True), "ticker", "left")
+    out = met.groupBy("ticker", "decision_date").agg(
+        F.max(F.expr("whole AND lo <= first_idx AND hi >= d_idx")).alias("all"), F.max(F.expr("told AND lo <= d_idx AND hi >= first_idx")).alias("some"),
+        F.min("coverage_start").alias("start"), F.max("coverage_end").alias("end"),
+    )
+    status = F.when(F.col("all"), "complete").when(F.col("some"), "partial").otherwise("missing")
     return out.select("ticker", "decision_date", status.alias("status"), "start", "end")
 
 
@@ -141,7 +151,7 @@ def in_window(decisions: DataFrame, events: DataFrame, calendar: DataFrame, look
     w = C.window_before(decisions.select("ticker", "decision_date"), calendar, lookback)
     w = w.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("first_idx") / lookback), F.floor(F.col("d_idx") / lookback)))))
     e = C.effective_session(events, calendar).filter("idx IS NOT NULL").withColumn("block", F.floor(F.col("idx") / lookback))
-    hit = w.join(e, ["ticker", "block"])
+    hit = by_key(w).join(e, ["ticker", "block"])
     return hit.filter((F.col("idx") >= F.col("first_idx")) & (F.col("idx") <= F.col("d_idx")) & (F.col("available_at") <= F.col("close_ts"))).drop("block")
 
 
@@ -187,7 +197,7 @@ def insider_features(decisions: DataFrame, trades: DataFrame, calendar: DataFram
         total(F.lit(True)).alias("form4_open_market_buy_usd"), total(plan).alias("form4_10b5_1_buy_usd"), total(~plan).alias("form4_non_10b5_1_buy_usd"), total(plan.isNull()).alias("form4_unknown_10b5_1_buy_usd")
     )
     who = e.groupBy(*keys).agg(F.countDistinct("insider_id").alias("distinct_insider_buyers"))
-    return sums.join(who, keys).withColumn("cluster_buy", F.col("distinct_insider_buyers") >= cluster)
+    return sums.join(by_key(who), keys).withColumn("cluster_buy", F.col("distinct_insider_buyers") >= cluster)
 
 
 def event_features(decisions: DataFrame, filings: DataFrame, trades: DataFrame, coverage: DataFrame, calendar: DataFrame, lookback: int = 60) -> DataFrame:
@@ -196,7 +206,7 @@ def event_features(decisions: DataFrame, filings: DataFrame, trades: DataFrame,
     out = checked_decisions(decisions, calendar).select(*keys)
     for name, rows in (("filings", filing_features(decisions, filings, calendar, lookback)), ("insider", insider_features(decisions, trades, calendar, lookback))):
         c = window_coverage(decisions, coverage, calendar, name, lookback).select(*keys, F.col("status").alias(f"{name}_coverage"))
-        out = out.join(c, keys, "left").join(rows, keys, "left")
+        out = out.join(by_key(c), keys, "left").join(by_key(rows), keys, "left")
         for column, kind in rows.dtypes:
             if column in keys:
                 continue
