@@ -178,6 +178,20 @@ def test_feature_steps_never_broadcast_decisions(spark, sf):
         assert not by_ticker(out)
 
 
+def test_a_panel_is_enriched_without_broadcasts_of_it(spark, sf, monkeypatch):
+    """Neither where its keys are checked nor where it gets the features."""
+    asked, kind, seen = T.decisions(spark, sf), type(spark.range(1)), []
+    empty = kind.isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda rows: (seen.extend(by_ticker(rows)), empty(rows))[1])
+    # These features are derived from the decisions, so a plan takes them for next to nothing as well.
+    out = B.enrich(asked, asked.filter("decision_date > '1998-01-01'").withColumn("x", F.lit(1.5)), "s1")
+    assert not seen and not by_ticker(out)
+    got = out.groupBy("x").count().collect()
+    assert {r.x for r in got} == {0.0, 1.5} and sum(r["count"] for r in got) == asked.count()
+    with pytest.raises(ValueError, match="outside the panel"):
+        B.enrich(asked.filter("decision_date > '1998-01-01'"), asked.withColumn("x", F.lit(1.5)), "s1")
+
+
 def test_coverage_of_windows_counts_sessions_by_hand(spark):
     """Touching, overlapping, broken and unordered intervals against a count of the window's sessions; a decision that comes twice is one."""
     cal, draw = T.daily_calendar(spark), random.Random(4)

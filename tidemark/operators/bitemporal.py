@@ -249,11 +249,11 @@ def enrich(panel: DataFrame, features: DataFrame, source_snapshot: str) -> DataF
     if not source_snapshot.strip():
         raise ValueError("the snapshot of external features needs a name")
     require_unique(features, keys, "external features")
-    if not features.join(panel.select(*keys), keys, "left_anti").isEmpty():
+    if not features.join(by_key(panel.select(*keys)), keys, "left_anti").isEmpty():
         raise ValueError("external features hold keys outside the panel")
     filled = features.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in extra])
     require_finite(filled, extra)
-    return panel.join(filled, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in extra})
+    return panel.join(by_key(filled), keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in extra})
 
 
 def enriched_digest(panel_snapshot: str, source_snapshot: str) -> Column:
