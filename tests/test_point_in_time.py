@@ -178,6 +178,13 @@ def test_feature_steps_never_broadcast_decisions(spark, sf):
         assert not by_ticker(out)
 
 
+def test_plans_of_external_features_scan_what_was_made_once(spark, sf):
+    """Neither calendar nor decisions are made within them; where all event features are read, the trades aren't there either."""
+    for whole in (False, True):
+        plan = FX.external(spark, sf, whole)._jdf.queryExecution().executedPlan().toString()
+        assert "weekday" not in plan and ("l_partkey" in plan) != whole
+
+
 def test_a_panel_is_enriched_without_broadcasts_of_it(spark, sf, monkeypatch):
     """Neither where its keys are checked nor where it gets the features."""
     asked, kind, seen = T.decisions(spark, sf), type(spark.range(1)), []

@@ -81,26 +81,22 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RD.symbol_directories(spark, written(listed, "listed"), written(other, "other"), F.lit("2000-01-02").cast("timestamp"))
 
 
-def _cycles(spark: SparkSession) -> DataFrame:
-    return C.reporting_cycles(T.daily_calendar(spark))
-
-
-def short_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def short_positions(spark: SparkSession, sf_dir: str, cal: DataFrame) -> DataFrame:
     """suppkey, settlement_date, quantity: line quantities summed to the cycle that ends on or after the ship date."""
-    ends = _cycles(spark).select(F.col("settlement_date").alias("session"))
+    ends = C.reporting_cycles(cal).select(F.col("settlement_date").alias("session"))
     days = C.all_days(ends)
     li = T.read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"), "l_quantity")
     per = li.join(F.broadcast(days), "day").groupBy("l_suppkey", F.col("session").alias("settlement_date")).agg(F.sum("l_quantity").alias("quantity"))
     return per
 
 
-def short_interest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+def short_interest_read(spark: SparkSession, sf_dir: str, cal: DataFrame | None = None) -> DataFrame:
     """The positions by way of the archive: delimited files with their own header names and thousands separators, one per observation.
 
     Some suppliers' cycles of two years come again as revised rows, a tenth more, in files observed at later dates."""
-    root = scratch(spark, "archive")
+    root, cal = scratch(spark, "archive"), T.daily_calendar(spark) if cal is None else cal
     # Every file reads them twice, for its digest and its rows.
-    s = stored(short_positions(spark, sf_dir), "quantities")
+    s = stored(short_positions(spark, sf_dir, cal), "quantities")
 
     def put(rows: DataFrame, quantity, mark: str, period: str, observed_at: str) -> None:
         own = rows.select(
@@ -114,13 +110,13 @@ def short_interest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = s.filter((F.col("l_suppkey") + F.month("settlement_date")) % 11 == 0)
     for year, mark in ((1998, "R"), (1999, "revised")):
         put(again.filter(F.year("settlement_date") == year), F.floor(quantity * 1.1), mark, f"revised-{year}", f"{year + 1}-06-15")
-    return RA.observed_positions(spark, root, "2001-12-15", T.daily_calendar(spark), _cycles(spark).filter("publication_date IS NOT NULL"))
+    return RA.observed_positions(spark, root, "2001-12-15", cal, C.reporting_cycles(cal).filter("publication_date IS NOT NULL"))
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positions(spark: SparkSession, sf_dir: str, cal: DataFrame | None = None) -> DataFrame:
     """Positions with revisions: a tenth more, observed 20 sessions after settlement, for some suppliers and months."""
-    cal = T.daily_calendar(spark)
-    first = stored(short_interest_read(spark, sf_dir).filter("NOT revision_flag").withColumn("short_interest", F.col("short_interest").cast("double")), "positions")
+    cal = T.daily_calendar(spark) if cal is None else cal
+    first = stored(short_interest_read(spark, sf_dir, cal).filter("NOT revision_flag").withColumn("short_interest", F.col("short_interest").cast("double")), "positions")
     key = F.expr("cast(substring(symbol, 2) AS long)")
     late = first.filter((key + F.month("settlement_date")) % 11 == 0).join(F.broadcast(cal.select(F.col("session").alias("settlement_date"), (F.col("idx") + 21).alias("k"))), "settlement_date")
     late = late.join(F.broadcast(cal.select(F.col("idx").alias("k"), F.col("close_ts").alias("seen"))), "k")
@@ -136,8 +132,14 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.event_features(T.decisions(spark, sf_dir), T.filings(spark, sf_dir), T.insider(spark, sf_dir), T.coverage(spark, sf_dir), T.daily_calendar(spark))
 
 
-def external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_features(spark, sf_dir).join(short_features(spark, sf_dir), ["ticker", "decision_date"], "left")
+def external(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Event and short-interest features of every decision. Calendar and decisions are tables, which plans scan where they would make them again and again.
+
+    whole: event features are a table as well, which halves the plan where all of them are read; what reads a few prunes the others."""
+    cal, asked = stored(T.daily_calendar(spark), "calendar"), stored(T.decisions(spark, sf_dir), "decisions")
+    events = B.event_features(asked, T.filings(spark, sf_dir), T.insider(spark, sf_dir), T.coverage(spark, sf_dir), cal)
+    events = stored(events, "events") if whole else events
+    return events.join(B.by_key(B.short_interest_features(asked, positions(spark, sf_dir, cal), cal)), ["ticker", "decision_date"], "left")
 
 
 def _accession(k) -> F.Column:
